@@ -246,3 +246,52 @@ def rule_rows_sql(src: str = "c", text_col: str = "complaint_text", keep: str =
 SELECT *, CASE WHEN r_text = '' THEN {q(L.EMPTY_RULE_REASONING)} ELSE {why} END AS r_reasoning
 FROM ({rule_verdict_sql(src, text_col, keep)}) rv
 """
+
+
+# ---------------------------------------------------------------------------
+# Text functions
+# ---------------------------------------------------------------------------
+
+PUNCT_SQL = q(__import__("string").punctuation)
+
+
+def clean_sql(col: str) -> str:
+    t = normalize_sql(col)
+    t = f"regexp_replace({t}, 'https?://[^ ]+|www\\.[^ ]+', ' ', 'g')"
+    t = f"regexp_replace({t}, '[^ ]+@[^ ]+', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\b(order|invoice|ticket) *#?\\p{{Nd}}+\\b', ' ', 'g')"
+    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
+
+def preprocess_sql(col: str) -> str:
+    from ..functions.lexicon import CLEANING_STOPWORDS
+    toks = f"regexp_extract_all(translate({clean_sql(col)}, {PUNCT_SQL}, ''), '[\\p{{L}}\\p{{N}}_]+')"
+    kept = f"list_filter({toks}, lambda x: NOT list_contains({arr(CLEANING_STOPWORDS)}, lower(x)))"
+    stem = ("list_transform({k}, lambda x: CASE WHEN suffix(x, 'ies') AND length(x) > 4 "
+            "THEN substr(x, 1, length(x) - 3) || 'y' "
+            "WHEN suffix(x, 's') AND length(x) > 3 AND NOT suffix(x, 'ss') THEN substr(x, 1, length(x) - 1) "
+            "ELSE x END)").format(k=kept)
+    return f"array_to_string({stem}, ' ')"
+
+
+def word_count_sql(col: str) -> str:
+    runs = f"regexp_replace(coalesce({col}, ''), '[^{WS}]+', 'x', 'g')"
+    return f"CAST(length(regexp_replace({runs}, '[{WS}]+', '', 'g')) AS BIGINT)"
+
+
+def template_group_sql(col: str) -> str:
+    t = normalize_sql(col)
+    for pattern, repl in [(r"\$?\b\p{Nd}+(?:\.\p{Nd}+)?\b", "<num>"), (r"\bcmp-\p{Nd}+\b", "<ticket>"),
+                          (r"\b\p{Nd}{1,2} +[a-z]{3} +\p{Nd}{4}\b", "<date>"),
+                          (r"\bi am a +(student|smb|enterprise|premium|standard) +customer and this feels +[a-z]+\b\.?",
+                           "<segment>"),
+                          (r"please escalate this immediately\.?", "<escalate>")]:
+        t = f"regexp_replace({t}, {q(pattern)}, {q(repl)}, 'g')"
+    return f"md5(trim(regexp_replace({t}, ' +', ' ', 'g')))"
+
+
+def join_texts_sql(text: str, finding: str) -> str:
+    a = f"coalesce({py_strip_sql(text)}, '')"
+    b = f"coalesce({py_strip_sql(finding)}, '')"
+    return (f"CASE WHEN {a} <> '' AND {b} <> '' THEN {a} || {q(L.IMAGE_FINDINGS_JOINER)} || {b} "
+            f"WHEN {a} <> '' THEN {a} ELSE {b} END")

@@ -82,3 +82,172 @@ def rule_triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("analysis.reasoning").alias("reasoning"),
         F.col("rule_matches").cast("long").alias("rule_matches"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Text cleaning
+# ---------------------------------------------------------------------------
+
+from ..functions import text as TX  # noqa: E402
+from ..operators import reports as R  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+from ..functions.stopwords import default_stopwords  # noqa: E402
+from ..functions.lexicon import PRIORITIES  # noqa: E402
+
+
+@register("clean_documents", "F1 F2 F3 F4 F5 F6 F7 F21 P1 P7",
+          lambda: f"""
+SELECT doc_id, {O.preprocess_sql('text')} AS cleaned_text, {O.word_count_sql('text')} AS word_count,
+       CAST(length({O.normalize_sql('text')}) AS BIGINT) AS normalized_chars
+FROM documents""", headline=True)
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.preprocess_text(F.col("text")).alias("cleaned_text"),
+                    TX.word_count(F.col("text")).cast("long").alias("word_count"),
+                    F.length(TX.normalize_text(F.col("text"))).cast("long").alias("normalized_chars"))
+
+
+@register("clean_conversations", "F1 F2 F7 F21",
+          lambda: f"""
+SELECT conv_id, turn, role, {O.clean_sql('text')} AS clean_text, {O.preprocess_sql('text')} AS cleaned_text,
+       {O.word_count_sql('text')} AS word_count
+FROM conversations""")
+def clean_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "conversations")
+    return d.select("conv_id", "turn", "role", TX.clean_text(F.col("text")).alias("clean_text"),
+                    TX.preprocess_text(F.col("text")).alias("cleaned_text"),
+                    TX.word_count(F.col("text")).cast("long").alias("word_count"))
+
+
+@register("complaint_cleaning", "S5 P1 F7 Q12",
+          lambda: _c_sql() + f"SELECT complaint_id, {O.preprocess_sql('complaint_text')} AS cleaned_text FROM c")
+def complaint_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir)
+    return c.select("complaint_id", TX.preprocess_text(F.col("complaint_text")).alias("cleaned_text"))
+
+
+@register("template_groups", "F14 Q1",
+          lambda: _c_sql() + f"SELECT complaint_id, {O.template_group_sql('complaint_text')} AS evaluation_group FROM c")
+def template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir)
+    return c.select("complaint_id", TX.template_group(F.col("complaint_text")).alias("evaluation_group"))
+
+
+@register("document_entities", "F8",
+          lambda: f"SELECT doc_id, array_to_string({O.entities_sql(O.normalize_sql('text'))}, ', ') AS entities "
+                  f"FROM documents")
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents").select("doc_id", TX.normalize_text(F.col("text")).alias("t"))
+    return d.select("doc_id", F.array_join(TX.extract_entities(F.col("t")), ", ").alias("entities"))
+
+
+@register("merged_texts", "F25",
+          lambda: _c_sql() + f"SELECT complaint_id, {O.join_texts_sql('complaint_text', 'image_finding')} AS shared_text FROM c")
+def merged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir)
+    return c.select("complaint_id", TX.join_texts(F.col("complaint_text"), F.col("image_finding")).alias("shared_text"))
+
+
+# ---------------------------------------------------------------------------
+# Reports (A1-A8, T1, T4, T5, C16)
+# ---------------------------------------------------------------------------
+
+@register("department_distribution", "A1",
+          lambda: _c_sql() + "SELECT true_department AS department, count(*) AS count FROM c "
+                             "WHERE true_department IS NOT NULL GROUP BY true_department")
+def department_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.value_counts(complaint_view(spark, sf_dir), "true_department", "department")
+
+
+@register("priority_distribution", "A2",
+          lambda: _c_sql() + f"""
+SELECT d.ord, d.priority, CAST(coalesce(n.count, 0) AS BIGINT) AS count
+FROM (SELECT CAST(i - 1 AS INTEGER) AS ord, {O.arr(PRIORITIES)}[i] AS priority FROM range(1, {len(PRIORITIES) + 1}) t(i)) d
+LEFT JOIN (SELECT true_priority, count(*) AS count FROM c GROUP BY true_priority) n ON d.priority = n.true_priority""")
+def priority_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.priority_distribution(complaint_view(spark, sf_dir))
+
+
+def _keyword_sql(src: str, col: str, n: int = 15) -> str:
+    sw = O.arr(default_stopwords())
+    return f"""
+SELECT keyword, count(*) AS count
+FROM (SELECT unnest(string_split({O.normalize_sql(col)}, ' ')) AS keyword FROM {src}) w
+WHERE length(keyword) >= 4 AND NOT list_contains({sw}, keyword)
+GROUP BY keyword ORDER BY count DESC, keyword ASC LIMIT {n}"""
+
+
+@register("keyword_frequency", "A3 T4", lambda: _c_sql() + _keyword_sql("c", "complaint_text"))
+def keyword_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.keyword_frequency(complaint_view(spark, sf_dir), "complaint_text", 15)
+
+
+@register("keyword_frequency_documents", "A3 T4", lambda: _keyword_sql("documents", "text"), headline=True)
+def keyword_frequency_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.keyword_frequency(read_table(spark, sf_dir, "documents"), "text", 15)
+
+
+@register("top_issues", "A4 P7 P10 T4",
+          lambda: _c_rules_sql() + """
+SELECT coalesce(r_issue, 'Unknown') AS issue, count(*) AS count FROM r
+GROUP BY 1 ORDER BY count DESC, issue ASC LIMIT 10""")
+def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    v = rule_triage(c).select(F.col("analysis.core_issue").alias("core_issue"))
+    return R.top_values(v, "core_issue", 10)
+
+
+def _hist_sql(src: str, col: str, bins: int) -> str:
+    wc = O.word_count_sql(col)
+    return f"""
+SELECT g.bin,
+       CAST(rg.lo AS DOUBLE) + CAST(g.bin AS DOUBLE) * CAST(rg.hi - rg.lo AS DOUBLE) / {float(bins)} AS bin_start,
+       CAST(rg.lo AS DOUBLE) + CAST(g.bin + 1 AS DOUBLE) * CAST(rg.hi - rg.lo AS DOUBLE) / {float(bins)} AS bin_end,
+       CAST(coalesce(h.count, 0) AS BIGINT) AS count
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range({bins})) g
+CROSS JOIN (SELECT min(wc) AS lo, max(wc) AS hi FROM (SELECT {wc} AS wc FROM {src})) rg
+LEFT JOIN (
+  SELECT bin, count(*) AS count FROM (
+    SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least((wc - lo) * {bins} // (hi - lo), {bins - 1}) END AS INTEGER) AS bin
+    FROM (SELECT {wc} AS wc FROM {src}) x CROSS JOIN (SELECT min({wc}) AS lo, max({wc}) AS hi FROM {src}) r
+  ) b GROUP BY bin
+) h ON g.bin = h.bin"""
+
+
+@register("length_histogram_documents", "A5 F21", lambda: _hist_sql("documents", "text", 25))
+def length_histogram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.length_histogram(read_table(spark, sf_dir, "documents"), "text", 25)
+
+
+@register("length_histogram_complaints", "A6 F21", lambda: _c_sql() + _hist_sql("c", "complaint_text", 15))
+def length_histogram_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.length_histogram(complaint_view(spark, sf_dir), "complaint_text", 15)
+
+
+@register("length_density_documents", "A7")
+def length_density_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.length_density(read_table(spark, sf_dir, "documents"), "text", 200)
+
+
+@register("overview_counts", "C16 A8",
+          lambda: _c_sql() + """
+SELECT count(*) AS rows, count(DISTINCT true_department) AS distinct_true_department,
+       count(DISTINCT true_priority) AS distinct_true_priority, count(DISTINCT product_line) AS distinct_product_line,
+       count(DISTINCT country) AS distinct_country FROM c""")
+def overview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.overview(complaint_view(spark, sf_dir), ["true_department", "true_priority", "product_line", "country"])
+
+
+@register("first_complaints", "T1",
+          lambda: _c_sql() + "SELECT complaint_id, complaint_text FROM c ORDER BY complaint_id LIMIT 12")
+def first_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_rows(complaint_view(spark, sf_dir).select("complaint_id", "complaint_text"), 12)
+
+
+@register("seeded_sample", "T5",
+          lambda: _c_sql() + """
+SELECT complaint_id, true_department FROM c
+ORDER BY md5('42:' || CAST(complaint_id AS VARCHAR)), complaint_id LIMIT 6000""")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir).select("complaint_id", "true_department")
+    return R.seeded_sample(c, 6000, 42)
