@@ -47,6 +47,18 @@ def detect_priority(t: Column, default_priority: Column):
     return prio, factor
 
 
+def _match(t: Column, term: L.Term) -> Column:
+    """``t rlike regex``, skipped when none of the term's required substrings occurs."""
+    req = term.required
+    if not req:
+        return t.rlike(term.regex)
+    pre = None
+    for r in req:
+        c = t.contains(r)
+        pre = c if pre is None else (pre | c)
+    return F.when(pre, t.rlike(term.regex)).otherwise(F.lit(False))
+
+
 def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
@@ -65,7 +77,7 @@ def rule_triage(df: DataFrame, text_col: str = "complaint_text", out_col: str =
     hit = F.col(_TMP + "hits")
 
     step1 = df.withColumn(_TMP + "t", normalize_text(F.col(text_col)))
-    step1 = step1.withColumn(_TMP + "hits", F.array(*[t.rlike(term.regex) for term in terms]))
+    step1 = step1.withColumn(_TMP + "hits", F.array(*[_match(t, term) for term in terms]))
 
     def h(i):
         return hit.getItem(i)

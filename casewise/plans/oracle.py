@@ -295,3 +295,105 @@ def join_texts_sql(text: str, finding: str) -> str:
     b = f"coalesce({py_strip_sql(finding)}, '')"
     return (f"CASE WHEN {a} <> '' AND {b} <> '' THEN {a} || {q(L.IMAGE_FINDINGS_JOINER)} || {b} "
             f"WHEN {a} <> '' THEN {a} ELSE {b} END")
+
+
+# ---------------------------------------------------------------------------
+# Split, hashed vectors, neighbours, retrieval verdict
+# ---------------------------------------------------------------------------
+
+def fmt_fixed_sql(units: str, decimals: int) -> str:
+    scale = 10 ** decimals
+    return (f"(CAST(({units}) // {scale} AS VARCHAR) || '.' || "
+            f"lpad(CAST(({units}) % {scale} AS VARCHAR), {decimals}, '0'))")
+
+
+def split_ctes(src: str = "c", test_size: float = 0.25, seed: int = 42) -> str:
+    """CTEs g (groups) and split(complaint_id, evaluation_group, split)."""
+    return f"""
+g AS MATERIALIZED (SELECT complaint_id, evaluation_group, md5('{seed}:' || evaluation_group) AS skey
+                   FROM (SELECT complaint_id, {template_group_sql('complaint_text')} AS evaluation_group FROM {src})),
+cut AS (SELECT skey, row_number() OVER (ORDER BY skey) AS rn, count(*) OVER () AS total
+        FROM (SELECT DISTINCT skey FROM g)),
+split AS MATERIALIZED (
+  SELECT g.complaint_id, g.evaluation_group,
+         CASE WHEN cut.rn <= ceil({test_size} * cut.total) THEN 'test' ELSE 'train' END AS split
+  FROM g JOIN cut USING (skey))"""
+
+
+def vector_ctes(src: str = "c", id_col: str = "complaint_id", text_col: str = "complaint_text",
+                width: int = L.HASH_WIDTH, prefix: str = "") -> str:
+    """CTEs {prefix}vec(id, bucket, tf) and {prefix}norm(id, n2)."""
+    return f"""
+{prefix}vec AS MATERIALIZED (
+  SELECT id, bucket, count(*) AS tf FROM (
+    SELECT {id_col} AS id, (('0x' || substr(md5(tk), 1, 8))::BIGINT % {width}) AS bucket
+    FROM (SELECT {id_col}, unnest(regexp_extract_all(lower(coalesce({text_col}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS tk
+          FROM {src})) GROUP BY id, bucket),
+{prefix}norm AS MATERIALIZED (SELECT id, sum(tf * tf) AS n2 FROM {prefix}vec GROUP BY id)"""
+
+
+def knn_ctes(qvec: str, dvec: str, norm: str, k: int = L.DEFAULT_TOP_K, exclude_self: bool = False,
+             name: str = "nn") -> str:
+    """CTE {name}(qid, did, score, rank): exact sparse cosine top-k, positive scores only."""
+    self_cond = "AND qv.id <> dv.id" if exclude_self else ""
+    return f"""
+{name}_pairs AS (SELECT qv.id AS qid, dv.id AS did, sum(qv.tf * dv.tf) AS dot
+                 FROM {qvec} qv JOIN {dvec} dv ON qv.bucket = dv.bucket {self_cond} GROUP BY 1, 2),
+{name} AS MATERIALIZED (
+  SELECT qid, did, score, rank FROM (
+    SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did ASC) AS rank
+    FROM (SELECT p.qid, p.did, CAST(p.dot AS DOUBLE) / sqrt(CAST(nq.n2 * nd.n2 AS DOUBLE)) AS score
+          FROM {name}_pairs p JOIN {norm} nq ON nq.id = p.qid JOIN {norm} nd ON nd.id = p.did
+          WHERE p.dot > 0)) WHERE rank <= {k})"""
+
+
+def retrieval_ctes(nn: str, corpus: str, queries_rules: str, name: str = "rag") -> str:
+    """CTE {name}: retrieval verdict columns per query (left join keeps queries without neighbours).
+
+    ``queries_rules`` must expose complaint_id and the r_* rule columns.
+    """
+    issues = arr(L.ISSUE_NAMES)
+    tasks = arr([L.ISSUE_TASK[i] for i in L.ISSUE_NAMES])
+    votes = []
+    for field in ["core_issue", "department", "priority"]:
+        votes.append(f"""
+{name}_v_{field} AS (SELECT qid, v AS v_{field} FROM (
+    SELECT qid, v, row_number() OVER (PARTITION BY qid ORDER BY w DESC, r ASC) AS rn FROM (
+      SELECT qid, {field} AS v, sum(milli) AS w, min(rank) AS r FROM {name}_nb GROUP BY qid, {field})) WHERE rn = 1)""")
+    ents = "list_sort(list_distinct(r_entities))"
+    why = reasoning_sql("v_core_issue", "v_department", "v_priority", ents, "retrieval-augmented")
+    n = "n_neigh"
+    num = f"(7 * {n} * r_milli + 9 * {n} * max_milli + 7 * sum_milli + 1500 * {n} * strong)"
+    milli = f"least(greatest((2 * {num} + 28 * {n}) // (56 * {n}), 0), 1000)"
+    avg_centi = f"((2 * sum_milli + 10 * {n}) // (20 * {n}))"
+    ev_extra = (f"['Retrieved ' || CAST({n} AS VARCHAR) || ' semantically similar complaints via FAISS.', "
+                f"'Top retrieval similarity: ' || {fmt_fixed_sql('(max_milli + 5) // 10', 2)} || "
+                f"'; average similarity: ' || {fmt_fixed_sql(avg_centi, 2)} || '.']")
+    return f"""
+{name}_nb AS MATERIALIZED (
+  SELECT nn.qid, nn.rank, CAST(floor(nn.score * 1000 + 0.5) AS BIGINT) AS milli,
+         coalesce(d.true_department, 'Customer Service') AS department,
+         coalesce(d.true_priority, 'Medium') AS priority,
+         coalesce(d.true_core_issue, 'General complaint requiring manual triage') AS core_issue
+  FROM {nn} nn JOIN {corpus} d ON d.complaint_id = nn.did),
+{name}_s AS (SELECT qid, count(*) AS n_neigh, max(milli) AS max_milli, sum(milli) AS sum_milli,
+                    count_if(rank <= 3 AND milli >= 600) AS strong FROM {name}_nb GROUP BY qid),
+{",".join(votes)},
+{name} AS MATERIALIZED (
+  SELECT q.complaint_id,
+         CASE WHEN s.qid IS NULL THEN r_issue ELSE v_core_issue END AS g_issue,
+         CASE WHEN s.qid IS NULL THEN r_department ELSE v_department END AS g_department,
+         CASE WHEN s.qid IS NULL THEN r_priority ELSE v_priority END AS g_priority,
+         CASE WHEN s.qid IS NULL THEN r_task
+              WHEN list_position({issues}, v_core_issue) > 0 THEN {tasks}[list_position({issues}, v_core_issue)]
+              ELSE r_task END AS g_task,
+         CASE WHEN s.qid IS NULL THEN r_milli ELSE {milli} END AS g_milli,
+         CASE WHEN s.qid IS NULL THEN r_entities ELSE {ents} END AS g_entities,
+         CASE WHEN s.qid IS NULL THEN r_evidence ELSE list_concat(r_evidence, {ev_extra}) END AS g_evidence,
+         CASE WHEN s.qid IS NULL THEN r_reasoning ELSE {why} END AS g_reasoning,
+         CAST(coalesce(n_neigh, 0) AS BIGINT) AS g_neighbours
+  FROM {queries_rules} q
+  LEFT JOIN {name}_s s ON s.qid = q.complaint_id
+  LEFT JOIN {name}_v_core_issue vi ON vi.qid = q.complaint_id
+  LEFT JOIN {name}_v_department vd ON vd.qid = q.complaint_id
+  LEFT JOIN {name}_v_priority vp ON vp.qid = q.complaint_id)"""

@@ -90,7 +90,7 @@ def rule_triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from ..functions import text as TX  # noqa: E402
 from ..operators import reports as R  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
+from ..sources.tables import read_table, read_text_table  # noqa: E402
 from ..functions.stopwords import default_stopwords  # noqa: E402
 from ..functions.lexicon import PRIORITIES  # noqa: E402
 
@@ -101,7 +101,7 @@ SELECT doc_id, {O.preprocess_sql('text')} AS cleaned_text, {O.word_count_sql('te
        CAST(length({O.normalize_sql('text')}) AS BIGINT) AS normalized_chars
 FROM documents""", headline=True)
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents")
     return d.select("doc_id", TX.preprocess_text(F.col("text")).alias("cleaned_text"),
                     TX.word_count(F.col("text")).cast("long").alias("word_count"),
                     F.length(TX.normalize_text(F.col("text"))).cast("long").alias("normalized_chars"))
@@ -113,7 +113,7 @@ SELECT conv_id, turn, role, {O.clean_sql('text')} AS clean_text, {O.preprocess_s
        {O.word_count_sql('text')} AS word_count
 FROM conversations""")
 def clean_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "conversations")
+    d = read_text_table(spark, sf_dir, "conversations")
     return d.select("conv_id", "turn", "role", TX.clean_text(F.col("text")).alias("clean_text"),
                     TX.preprocess_text(F.col("text")).alias("cleaned_text"),
                     TX.word_count(F.col("text")).cast("long").alias("word_count"))
@@ -137,7 +137,7 @@ def template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
           lambda: f"SELECT doc_id, array_to_string({O.entities_sql(O.normalize_sql('text'))}, ', ') AS entities "
                   f"FROM documents")
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", TX.normalize_text(F.col("text")).alias("t"))
+    d = read_text_table(spark, sf_dir, "documents").select("doc_id", TX.normalize_text(F.col("text")).alias("t"))
     return d.select("doc_id", F.array_join(TX.extract_entities(F.col("t")), ", ").alias("entities"))
 
 
@@ -184,7 +184,7 @@ def keyword_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("keyword_frequency_documents", "A3 T4", lambda: _keyword_sql("documents", "text"), headline=True)
 def keyword_frequency_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.keyword_frequency(read_table(spark, sf_dir, "documents"), "text", 15)
+    return R.keyword_frequency(read_text_table(spark, sf_dir, "documents"), "text", 15)
 
 
 @register("top_issues", "A4 P7 P10 T4",
@@ -216,7 +216,7 @@ LEFT JOIN (
 
 @register("length_histogram_documents", "A5 F21", lambda: _hist_sql("documents", "text", 25))
 def length_histogram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.length_histogram(read_table(spark, sf_dir, "documents"), "text", 25)
+    return R.length_histogram(read_text_table(spark, sf_dir, "documents"), "text", 25)
 
 
 @register("length_histogram_complaints", "A6 F21", lambda: _c_sql() + _hist_sql("c", "complaint_text", 15))
@@ -226,7 +226,7 @@ def length_histogram_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("length_density_documents", "A7")
 def length_density_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.length_density(read_table(spark, sf_dir, "documents"), "text", 200)
+    return R.length_density(read_text_table(spark, sf_dir, "documents"), "text", 200)
 
 
 @register("overview_counts", "C16 A8",
@@ -251,3 +251,104 @@ ORDER BY md5('42:' || CAST(complaint_id AS VARCHAR)), complaint_id LIMIT 6000"""
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = complaint_view(spark, sf_dir).select("complaint_id", "true_department")
     return R.seeded_sample(c, 6000, 42)
+
+
+# ---------------------------------------------------------------------------
+# Split (M12, J9, J10), vectors (M1-M3), neighbours (J6, W4, C4), retrieval
+# ---------------------------------------------------------------------------
+
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import similar as SIM  # noqa: E402
+from ..operators.retrieval import retrieval_triage as _retrieval_triage  # noqa: E402
+
+
+def split_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C with ``evaluation_group`` and ``split`` columns (25% of template groups held out, seed 42)."""
+    return EV.group_split(complaint_view(spark, sf_dir), "complaint_text", 0.25, 42)
+
+
+def _split_sql_prefix() -> str:
+    return _c_sql().rstrip() + "," + O.split_ctes("c") + "\n"
+
+
+@register("group_split", "M12 J9 F14", lambda: _split_sql_prefix() + "SELECT complaint_id, evaluation_group, split FROM split")
+def group_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_view(spark, sf_dir).select("complaint_id", "evaluation_group", "split")
+
+
+@register("split_leakage", "J10 U5",
+          lambda: _split_sql_prefix() + """
+SELECT CAST(sum(in_train) AS BIGINT) AS train_groups, CAST(sum(in_test) AS BIGINT) AS test_groups,
+       CAST(sum(in_train * in_test) AS BIGINT) AS shared_groups
+FROM (SELECT evaluation_group, max(CAST(split = 'train' AS INTEGER)) AS in_train,
+             max(CAST(split = 'test' AS INTEGER)) AS in_test FROM split GROUP BY evaluation_group)""")
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.leakage(split_view(spark, sf_dir))
+
+
+@register("hashed_vectors", "M1 M2 M3",
+          lambda: _c_sql().rstrip() + "," + O.vector_ctes("c") + """
+SELECT v.id AS complaint_id, CAST(v.bucket AS INTEGER) AS bucket, CAST(v.tf AS BIGINT) AS tf,
+       CAST(v.tf AS DOUBLE) / sqrt(CAST(n.n2 AS DOUBLE)) AS weight
+FROM vec v JOIN norm n USING (id)""")
+def hashed_vectors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir)
+    v = SIM.hashed_vectors(c, "complaint_id", "complaint_text")
+    n2 = v.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("n2"))
+    return (v.join(n2, "id").select(F.col("id").alias("complaint_id"), F.col("bucket").cast("int"),
+                                    F.col("tf").cast("long"),
+                                    (F.col("tf").cast("double") / F.sqrt(F.col("n2").cast("double"))).alias("weight")))
+
+
+def _nn_sql_prefix() -> str:
+    return (_split_sql_prefix().rstrip() + ","
+            + O.vector_ctes("c") + ",\n"
+            + "qvec AS (SELECT v.* FROM vec v JOIN split s ON v.id = s.complaint_id WHERE s.split = 'test'),\n"
+            + "dvec AS (SELECT v.* FROM vec v JOIN split s ON v.id = s.complaint_id WHERE s.split = 'train'),"
+            + O.knn_ctes("qvec", "dvec", "norm") + "\n")
+
+
+def _test_train(spark: SparkSession, sf_dir: str):
+    s = split_view(spark, sf_dir)
+    return s.where(F.col("split") == "test"), s.where(F.col("split") == "train")
+
+
+@register("similar_complaints", "J6 W4 C4 M4 F22 J5 P15 T8 Q4",
+          lambda: _nn_sql_prefix() + """
+SELECT nn.qid AS query_id, CAST(nn.rank AS INTEGER) AS rank, CAST(nn.did AS VARCHAR) AS complaint_id,
+       d.true_core_issue AS core_issue, d.true_department AS department,
+       CAST(floor(nn.score * 1000 + 0.5) AS DOUBLE) / 1000.0 AS similarity, nn.score AS raw_score
+FROM nn JOIN c d ON d.complaint_id = nn.did""", headline=True)
+def similar_complaints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, train = _test_train(spark, sf_dir)
+    nn = SIM.similar_complaints(test, train, 5)
+    return nn.select("query_id", F.col("rank").cast("int"), "complaint_id", "core_issue", "department",
+                     (F.floor(F.col("raw_score") * 1000 + 0.5).cast("double") / 1000.0).alias("similarity"),
+                     "raw_score")
+
+
+def _retrieval_sql_prefix() -> str:
+    return (_nn_sql_prefix().rstrip() + ",\n"
+            + f"qr AS MATERIALIZED ({O.rule_rows_sql('(SELECT c.* FROM c JOIN split s USING (complaint_id) WHERE s.split = ' + chr(39) + 'test' + chr(39) + ')')}),"
+            + O.retrieval_ctes("nn", "c", "qr") + "\n")
+
+
+@register("retrieval_triage", "C5 A14 A16 W2 W7 F26 F23 J4 U2 T7",
+          lambda: _retrieval_sql_prefix() + """
+SELECT complaint_id, g_issue AS core_issue, g_department AS department, g_priority AS priority,
+       g_task AS actionable_task, CAST(g_milli AS DOUBLE) / 1000.0 AS confidence_score,
+       array_to_string(g_entities, ', ') AS detected_entities, array_to_string(g_evidence, ' | ') AS supporting_evidence,
+       g_reasoning AS reasoning, g_neighbours AS n_neighbours
+FROM rag""", headline=True)
+def retrieval_triage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, train = _test_train(spark, sf_dir)
+    out = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5)
+    a = "analysis."
+    return out.select("complaint_id", F.col(a + "core_issue").alias("core_issue"),
+                      F.col(a + "department").alias("department"), F.col(a + "priority").alias("priority"),
+                      F.col(a + "actionable_task").alias("actionable_task"),
+                      F.col(a + "confidence_score").alias("confidence_score"),
+                      F.array_join(a + "detected_entities", ", ").alias("detected_entities"),
+                      F.array_join(a + "supporting_evidence", " | ").alias("supporting_evidence"),
+                      F.col(a + "reasoning").alias("reasoning"),
+                      F.size(a + "retrieved_examples").cast("long").alias("n_neighbours"))

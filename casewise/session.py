@@ -65,3 +65,20 @@ def checkpoint(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df, *keys: str):
+    """Hash-partition ``df`` by ``keys`` when it has fewer partitions than the cluster has cores.
+
+    Text operators are CPU-bound per row, while file splits are sized by
+    bytes: a small table of long texts can arrive as one split.  On real data
+    the scan already has far more partitions than cores and this is a no-op
+    (no extra shuffle).  Partitioning by the row id also lets later joins on
+    that id reuse the layout.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    from pyspark.sql import functions as F
+    return df.repartition(cores, *[F.col(k) for k in keys]) if keys else df.repartition(cores)

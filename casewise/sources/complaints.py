@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEPARTMENTS, ISSUE_RULES
+from ..session import spread
 from .tables import read_table
 
 # Three sentences per issue, in lexicon issue order.  Slots: {amount} {days}
@@ -202,7 +203,7 @@ def complaint_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy_dept = _pick(DEPARTMENTS, F.pmod(F.array_position(F.array(*[F.lit(d) for d in DEPARTMENTS]), true_dept), F.lit(len(DEPARTMENTS))))
     issue = _pick(issues, issue_ord)
 
-    return base.select(
+    out = base.select(
         k.alias("complaint_id"),
         text.alias("complaint_text"),
         F.when(F.pmod(k, F.lit(NOISE_MOD)) == 0, noisy_dept).otherwise(true_dept).alias("true_department"),
@@ -225,3 +226,4 @@ def complaint_view(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(_pick(FINDINGS, F.pmod(k, F.lit(len(FINDINGS))))).alias("image_finding"),
         responses_expr(k, issue, true_dept, priority).alias("model_response"),
     )
+    return spread(out, "complaint_id")

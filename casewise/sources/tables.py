@@ -17,3 +17,13 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; Catalyst prunes columns and pushes filters into the scan."""
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id"}
+
+
+def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a text table and spread it over the cores if the scan is too coarse (see ``spread``)."""
+    from ..session import spread
+    return spread(read_table(spark, sf_dir, name), TEXT_KEYS.get(name, "")) if name in TEXT_KEYS else \
+        read_table(spark, sf_dir, name)
