@@ -156,3 +156,29 @@ def confusion_wide(long: DataFrame, labels: list[str]) -> DataFrame:
 def wrong_counts(pred: DataFrame) -> DataFrame:
     """Wrong predictions per model."""
     return pred.groupBy("model").agg(F.count_if(F.col("is_wrong")).alias("wrong"), F.count(F.lit(1)).alias("n"))
+
+
+def stack_predictions(df: DataFrame, verdict_cols: list[str], names: list[str], id_col: str = "complaint_id",
+                      text_col: str = "complaint_text", true_col: str = "true_department") -> DataFrame:
+    """U1 + P5: one prediction row per (model, complaint) in one pass (``inline`` of a per-row array).
+
+    ``is_wrong`` is null-safe: a null prediction counts as wrong, as pandas ``!=`` does.
+    """
+    rows = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c)["department"].alias("predicted_department"),
+                              F.col(c)["priority"].alias("predicted_priority"),
+                              F.col(c)["core_issue"].alias("predicted_issue"),
+                              F.col(c)["confidence_score"].alias("confidence_score"))
+                     for c, n in zip(verdict_cols, names)])
+    out = df.select(id_col, text_col, true_col, F.inline(rows))
+    return out.withColumn("is_wrong", ~F.col(true_col).eqNullSafe(F.col("predicted_department")))
+
+
+def metrics_long(metrics: DataFrame, value_vars: list[str] | None = None) -> DataFrame:
+    """Wide metrics -> (model, metric, score)."""
+    value_vars = value_vars or ["accuracy", "precision", "recall", "f1_score", "avg_confidence"]
+    return metrics.unpivot(["model"], value_vars, "metric", "score")
+
+
+def best_model(metrics: DataFrame, by: str = "accuracy") -> DataFrame:
+    """The top model by a metric (model name breaks ties)."""
+    return metrics.orderBy(F.desc(by), F.asc("model")).limit(1)

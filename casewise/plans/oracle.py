@@ -397,3 +397,81 @@ def retrieval_ctes(nn: str, corpus: str, queries_rules: str, name: str = "rag")
   LEFT JOIN {name}_v_core_issue vi ON vi.qid = q.complaint_id
   LEFT JOIN {name}_v_department vd ON vd.qid = q.complaint_id
   LEFT JOIN {name}_v_priority vp ON vp.qid = q.complaint_id)"""
+
+
+def consensus_ctes(entries: str, name: str = "cons") -> str:
+    """CTE {name}: consensus columns per complaint from an entries CTE
+    (complaint_id, ord, name, issue, dept, prio, milli, task, evidence)."""
+    leaders = []
+    for key, col in [("li", "issue"), ("ld", "dept"), ("lp", "prio")]:
+        leaders.append(f"""
+{name}_{key} AS (SELECT complaint_id, v, w FROM (
+    SELECT complaint_id, {col} AS v, sum(milli) AS w,
+           row_number() OVER (PARTITION BY complaint_id ORDER BY sum(milli) DESC, min(ord) ASC) AS rn
+    FROM {entries} GROUP BY complaint_id, {col}) WHERE rn = 1)""")
+    return ",".join(leaders) + f""",
+{name}_ag AS (
+  SELECT e.*, li.v AS l_issue, ld.v AS l_dept, lp.v AS l_prio, li.w AS w_issue, ld.w AS w_dept, lp.w AS w_prio,
+         (e.issue = li.v AND e.dept = ld.v AND e.prio = lp.v) AS agrees
+  FROM {entries} e JOIN {name}_li li USING (complaint_id) JOIN {name}_ld ld USING (complaint_id)
+  JOIN {name}_lp lp USING (complaint_id)),
+{name}_n AS (SELECT complaint_id, count_if(agrees) AS n, sum(CASE WHEN agrees THEN milli ELSE 0 END) AS s,
+                    coalesce(string_agg(CASE WHEN agrees THEN name END, ', ' ORDER BY ord), '') AS names
+             FROM {name}_ag GROUP BY complaint_id),
+{name}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY complaint_id ORDER BY milli DESC, ord ASC) AS rn
+                              FROM {name}_ag) WHERE rn = 1),
+{name}_win AS (SELECT * FROM (
+    SELECT a.*, row_number() OVER (PARTITION BY a.complaint_id ORDER BY a.milli DESC, a.ord ASC) AS rn2
+    FROM {name}_ag a JOIN {name}_n n USING (complaint_id)
+    WHERE (n.n >= 2 AND a.agrees) OR (n.n < 2)) WHERE rn2 = 1 AND (rn2 = 1)),
+{name} AS MATERIALIZED (
+  SELECT t.complaint_id,
+         CASE WHEN n.n >= 2 THEN w.issue ELSE t.issue END AS c_issue,
+         CASE WHEN n.n >= 2 THEN w.dept ELSE t.dept END AS c_dept,
+         CASE WHEN n.n >= 2 THEN w.prio ELSE t.prio END AS c_prio,
+         CASE WHEN n.n >= 2 THEN w.task ELSE t.task END AS c_task,
+         CASE WHEN n.n >= 2 THEN least((2 * n.s + 100 * n.n * (n.n - 1) + n.n) // (2 * n.n), 1000)
+              ELSE least(greatest((t.milli * 85 + 50) // 100, 200), 750) END AS c_milli,
+         CASE WHEN n.n >= 2 THEN 'This final recommendation is based on model agreement. ' || n.names ||
+                   ' aligned on ''' || t.l_issue || ''' for ' || t.l_dept || ' with ' || t.l_prio || ' priority.'
+              ELSE 'The models did not reach strong consensus, so the dashboard is surfacing the highest-confidence result from '
+                   || t.name || ' while flagging the disagreement for manual review.' END AS c_reasoning,
+         CASE WHEN n.n >= 2 THEN list_concat(['Agreeing models: ' || n.names || '.',
+                   'Consensus issue score: ' || {fmt_fixed_sql('t.w_issue', 3)} || '.',
+                   'Consensus department score: ' || {fmt_fixed_sql('t.w_dept', 3)} || '.',
+                   'Consensus priority score: ' || {fmt_fixed_sql('t.w_prio', 3)} || '.'], w.evidence)
+              ELSE list_concat(['No multi-model consensus was found across issue, department, and priority.',
+                   'Highest-confidence model: ' || t.name || ' (' || {fmt_fixed_sql('t.milli', 3)} || ').',
+                   'Weighted issue leader: ' || t.l_issue || '.',
+                   'Weighted department leader: ' || t.l_dept || '.'], t.evidence) END AS c_evidence,
+         n.names AS c_models
+  FROM {name}_top t JOIN {name}_n n USING (complaint_id) JOIN {name}_win w USING (complaint_id))"""
+
+
+def label_verdict_task_sql(issue: str) -> str:
+    issues = arr(L.ISSUE_NAMES)
+    tasks = arr([L.ISSUE_TASK[i] for i in L.ISSUE_NAMES])
+    return (f"CASE WHEN list_position({issues}, {issue}) > 0 THEN {tasks}[list_position({issues}, {issue})] "
+            f"ELSE {q(L.DEPARTMENT_DEFAULT_TASKS['Customer Service'])} END")
+
+
+def metrics_sql(pred: str) -> str:
+    """SELECT of rounded macro metrics per model from a pred CTE (model, y, p, milli)."""
+    return f"""
+SELECT o.model, CAST(o.n AS BIGINT) AS n, round(CAST(o.correct AS DOUBLE) / o.n, 4) AS accuracy,
+       round(m.pr, 4) AS precision, round(m.rc, 4) AS recall, round(m.f1, 4) AS f1_score,
+       round(CAST(o.ms AS DOUBLE) / (o.n * 1000.0), 4) AS avg_confidence, CAST(m.n_labels AS BIGINT) AS n_labels
+FROM (SELECT model, count(*) AS n, sum(CASE WHEN y = p THEN 1 ELSE 0 END) AS correct, sum(milli) AS ms
+      FROM {pred} GROUP BY model) o
+JOIN (SELECT model, avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END) AS pr,
+             avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END) AS rc,
+             avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END) AS f1,
+             count(*) AS n_labels
+      FROM (SELECT model, label, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(fp) AS DOUBLE) AS fp,
+                   CAST(sum(fn) AS DOUBLE) AS fn
+            FROM (SELECT model, y AS label, CASE WHEN y = p THEN 1 ELSE 0 END AS tp, 0 AS fp,
+                         CASE WHEN y <> p THEN 1 ELSE 0 END AS fn FROM {pred} WHERE y IS NOT NULL
+                  UNION ALL
+                  SELECT model, p, 0, CASE WHEN y <> p THEN 1 ELSE 0 END, 0 FROM {pred} WHERE p IS NOT NULL)
+            GROUP BY model, label)
+      GROUP BY model) m USING (model)"""

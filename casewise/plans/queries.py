@@ -352,3 +352,127 @@ def retrieval_triage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(a + "supporting_evidence", " | ").alias("supporting_evidence"),
                       F.col(a + "reasoning").alias("reasoning"),
                       F.size(a + "retrieved_examples").cast("long").alias("n_neighbours"))
+
+
+# ---------------------------------------------------------------------------
+# Consensus
+# ---------------------------------------------------------------------------
+
+from ..operators.consensus import consensus as _consensus, label_verdict  # noqa: E402
+from ..functions import lexicon as LX  # noqa: E402
+
+
+def three_verdicts(spark: SparkSession, sf_dir: str, ml_col=None) -> DataFrame:
+    """Test-split complaints with ``rule``, ``ml`` and ``retrieval`` verdict columns.
+
+    ``ml_col`` builds the ML-slot verdict; by default the label-derived
+    reference verdict (so the consensus stays SQL-checkable).
+    """
+    test, train = _test_train(spark, sf_dir)
+    q = test.select("complaint_id", "complaint_text", "true_core_issue", "true_department", "true_priority")
+    q = rule_triage(q, out_col="rule")
+    q = q.withColumn("ml", ml_col if ml_col is not None else label_verdict(q))
+    return _retrieval_triage(q, train, 5, baseline_col="rule", out_col="retrieval")
+
+
+def _consensus_sql() -> str:
+    entries = f"""
+ent AS (
+  SELECT complaint_id, 0 AS ord, 'Rule-Based' AS name, r_issue AS issue, r_department AS dept, r_priority AS prio,
+         r_milli AS milli, r_task AS task, r_evidence AS evidence FROM qr
+  UNION ALL
+  SELECT complaint_id, 1, 'ML Baseline', true_core_issue, true_department, true_priority,
+         (complaint_id * 37) % 500 + 400, {O.label_verdict_task_sql('true_core_issue')},
+         ['Label-derived reference verdict.'] FROM qr
+  UNION ALL
+  SELECT complaint_id, 2, 'RAG + LLM', g_issue, g_department, g_priority, g_milli, g_task, g_evidence FROM rag),"""
+    return _retrieval_sql_prefix().rstrip() + "," + entries + O.consensus_ctes("ent") + """
+SELECT complaint_id, c_issue AS core_issue, c_dept AS department, c_prio AS priority, c_task AS actionable_task,
+       CAST(c_milli AS DOUBLE) / 1000.0 AS confidence_score, c_reasoning AS reasoning,
+       array_to_string(c_evidence, ' | ') AS supporting_evidence, c_models AS agreeing_models
+FROM cons"""
+
+
+@register("consensus", "C8 C7 A18 A19 W3 F27 F23 P13", _consensus_sql, headline=True)
+def consensus_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _consensus(three_verdicts(spark, sf_dir), ["rule", "ml", "retrieval"], LX.MODEL_ORDER, "rec")
+    return v.select("complaint_id", F.col("rec.core_issue").alias("core_issue"),
+                    F.col("rec.department").alias("department"), F.col("rec.priority").alias("priority"),
+                    F.col("rec.actionable_task").alias("actionable_task"),
+                    F.col("rec.confidence_score").alias("confidence_score"),
+                    F.col("rec.reasoning").alias("reasoning"),
+                    F.array_join("rec.supporting_evidence", " | ").alias("supporting_evidence"),
+                    F.array_join("rec_models", ", ").alias("agreeing_models"))
+
+
+# ---------------------------------------------------------------------------
+# Model comparison
+# ---------------------------------------------------------------------------
+
+def _pred_sql_prefix() -> str:
+    """Consensus prefix + pred CTE (model, complaint_id, y, p, milli)."""
+    entries_sql = _consensus_sql()
+    head = entries_sql[:entries_sql.index(O.consensus_ctes("ent").split(",\ncons_ld")[0])]
+    return head + """
+pred AS (SELECT e.name AS model, e.complaint_id, q.true_department AS y, e.dept AS p, e.milli
+         FROM ent e JOIN qr q USING (complaint_id))
+"""
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = three_verdicts(spark, sf_dir)
+    return EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
+
+
+def _metrics_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.round_metrics(EV.macro_metrics(predictions(spark, sf_dir)), 4)
+
+
+@register("model_metrics", "C9 C12 A10 A11 A12 J7 U1", lambda: _pred_sql_prefix() + O.metrics_sql("pred"),
+          headline=True)
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics_df(spark, sf_dir)
+
+
+@register("model_predictions", "U1 P5 J7 P3",
+          lambda: _pred_sql_prefix() + """
+SELECT model, complaint_id, y AS true_department, p AS predicted_department,
+       CAST(milli AS DOUBLE) / 1000.0 AS confidence_score, NOT (y IS NOT DISTINCT FROM p) AS is_wrong FROM pred""")
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(spark, sf_dir).select("model", "complaint_id", "true_department", "predicted_department",
+                                             "confidence_score", "is_wrong")
+
+
+@register("confusion_matrix", "A13 A22 C13",
+          lambda: _pred_sql_prefix() + """
+SELECT g.model, g.actual, g.predicted, CAST(coalesce(c.count, 0) AS BIGINT) AS count
+FROM (SELECT m.model, a.label AS actual, b.label AS predicted
+      FROM (SELECT DISTINCT model FROM pred) m, (SELECT DISTINCT true_department AS label FROM c WHERE true_department IS NOT NULL) a,
+           (SELECT DISTINCT true_department AS label FROM c WHERE true_department IS NOT NULL) b) g
+LEFT JOIN (SELECT model, y AS actual, p AS predicted, count(*) AS count FROM pred
+           WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL) c USING (model, actual, predicted)""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = EV.sorted_labels(complaint_view(spark, sf_dir), "true_department")
+    return EV.confusion(predictions(spark, sf_dir), labels, LX.MODEL_ORDER)
+
+
+@register("error_counts", "A21 C13 P6",
+          lambda: _pred_sql_prefix() + """
+SELECT model, CAST(count_if(NOT (y IS NOT DISTINCT FROM p)) AS BIGINT) AS wrong, count(*) AS n FROM pred GROUP BY model""")
+def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.wrong_counts(predictions(spark, sf_dir))
+
+
+@register("metrics_long", "P16 Q9",
+          lambda: _pred_sql_prefix().rstrip() + ",\nmet AS (" + O.metrics_sql("pred") + """)
+SELECT model, metric, score FROM met
+UNPIVOT (score FOR metric IN (accuracy, precision, recall, f1_score, avg_confidence))""")
+def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.metrics_long(_metrics_df(spark, sf_dir))
+
+
+@register("best_model", "T3",
+          lambda: _pred_sql_prefix().rstrip() + ",\nmet AS (" + O.metrics_sql("pred") + """)
+SELECT * FROM met ORDER BY accuracy DESC, model ASC LIMIT 1""")
+def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.best_model(_metrics_df(spark, sf_dir))
