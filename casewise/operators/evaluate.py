@@ -56,8 +56,15 @@ def split_cut(grouped: DataFrame, test_size: float = 0.25) -> tuple[str, str | N
 
 def group_split(df: DataFrame, text_col: str = "complaint_text", test_size: float = 0.25, seed: int = 42,
                 fixed: bool = False) -> DataFrame:
-    """Add ``evaluation_group`` and ``split`` ('train'/'test') to every row."""
-    grouped = add_groups(df, text_col, seed, fixed)
+    """Add ``evaluation_group`` and ``split`` ('train'/'test') to every row.
+
+    The grouped table is written once as Parquet under the shared checkpoint
+    folder: the cut needs two small jobs over it and every later consumer
+    (both sides, the neighbour search) reads it instead of recomputing the
+    text work, and lineage stays short if executors are lost.
+    """
+    from ..session import materialize
+    grouped = materialize(add_groups(df, text_col, seed, fixed), "grouped")
     prefix, last = split_cut(grouped, test_size)
     key = F.col("_split_key")
     p = F.substring(key, 1, PREFIX)

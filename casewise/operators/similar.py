@@ -66,20 +66,31 @@ def _dense_counts(bucket_lists, width: int) -> np.ndarray:
     return m
 
 
-def _local_topk(scores: np.ndarray, k: int, valid: np.ndarray):
-    """Per row: indices of the k best columns (ties to the lower column), skipping invalid ones."""
-    s = np.where(valid, scores, -np.inf)
+def _select_topk(rows: np.ndarray, cols: np.ndarray, exact: np.ndarray, k: int):
+    """Among candidate (row, col) pairs keep, per row, the k best by (exact desc, col asc)."""
+    if rows.size == 0:
+        return rows, cols, exact
+    order = np.lexsort((cols, -exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+    pos = np.arange(rows.size) - np.repeat(starts, np.diff(np.r_[starts, rows.size]))
+    keep = pos < k
+    return rows[keep], cols[keep], exact[keep]
+
+
+def _candidates(approx: np.ndarray, valid: np.ndarray, k: int, margin: float = 1e-5):
+    """(row, col) pairs whose approximate score can still be in the row's top k.
+
+    ``approx`` is a float32 estimate of the score (relative error far below
+    ``margin``); every pair whose exact score reaches the k-th best exact
+    score survives, so the final exact ranking is unaffected.
+    """
+    s = np.where(valid, approx, np.float32(-np.inf))
     n = s.shape[1]
     kk = min(k, n)
-    if kk == 0:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1:kk]
-    finite = np.isfinite(s)
-    gt = (s > kth) & finite
-    eq = (s == kth) & finite
-    need = kk - gt.sum(axis=1, keepdims=True)
-    take = gt | (eq & (np.cumsum(eq, axis=1) <= need))
-    return np.nonzero(take)
+    kth = np.partition(s, n - kk, axis=1)[:, n - kk:n - kk + 1]
+    thr = np.where(np.isfinite(kth), kth - np.abs(kth) * margin - margin * 1e-3, -np.inf)
+    return np.nonzero((s >= thr) & valid)
 
 
 def _block_fn(mode: str, k: int, width: int, exclude_self: bool, normalize: bool):
@@ -101,30 +112,43 @@ def _block_fn(mode: str, k: int, width: int, exclude_self: bool, normalize: bool
             dm = np.stack([np.asarray(v, dtype=np.float64) for v in dpdf["v"]])
             n2q = (qm * qm).sum(axis=1)
             n2d = (dm * dm).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inv_q = np.where(n2q > 0, 1.0 / np.sqrt(n2q.astype(np.float64)), 0.0).astype(np.float32)
+            inv_d = np.where(n2d > 0, 1.0 / np.sqrt(n2d.astype(np.float64)), 0.0).astype(np.float32)
+        qm32 = qm.astype(np.float32)
         out_q, out_d, out_s = [], [], []
         step = 4096
         for start in range(0, len(did), step):
             sl = slice(start, start + step)
-            dot = (qm @ dm[sl].T).astype(np.float64)
+            dot = qm32 @ (dm[sl].T if dm.dtype == np.float32 else dm[sl].T.astype(np.float32))
             if mode == "sparse":
-                den = np.sqrt((n2q[:, None] * n2d[None, sl]).astype(np.float64))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = dot / den
-                valid = dot > 0
+                valid = dot > 0          # counts are integers: float32 products are exact
+                approx = dot * inv_q[:, None] * inv_d[None, sl]
+            elif normalize:
+                valid = np.ones(dot.shape, dtype=bool)
+                approx = dot * inv_q[:, None] * inv_d[None, sl]
             else:
+                valid = np.ones(dot.shape, dtype=bool)
+                approx = dot
+            if exclude_self:
+                valid &= qid[:, None] != did[None, sl]
+            rows, cols = _candidates(approx, valid, k)
+            # Exact scores for the candidates only.
+            if mode == "sparse":
+                # Integer counts: the float32 dot products are already exact.
+                exact = dot[rows, cols].astype(np.float64) / np.sqrt((n2q[rows] * n2d[sl][cols]).astype(np.float64))
+            else:
+                d64 = np.einsum("ij,ij->i", qm[rows], dm[sl][cols])
                 if normalize:
-                    den = np.sqrt(n2q[:, None] * n2d[None, sl])
+                    den = np.sqrt(n2q[rows] * n2d[sl][cols])
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        score = np.where(den > 0, dot / den, 0.0)
+                        exact = np.where(den > 0, d64 / den, 0.0)
                 else:
-                    score = dot
-                valid = np.ones_like(score, dtype=bool)
-            if exclude_self:
-                valid &= qid[:, None] != did[None, sl]
-            rows, cols = _local_topk(score, k, valid)
+                    exact = d64
+            rows, cols, exact = _select_topk(rows, cols, exact, k)
             out_q.append(qid[rows])
             out_d.append(did[sl][cols])
-            out_s.append(score[rows, cols])
+            out_s.append(exact)
         if not out_q:
             return empty
         return pd.DataFrame({"qid": np.concatenate(out_q), "did": np.concatenate(out_d),

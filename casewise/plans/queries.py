@@ -476,3 +476,55 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM met ORDER BY accuracy DESC, model ASC LIMIT 1""")
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.best_model(_metrics_df(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Spark ML: classifiers (C2, C3, M5, M7-M9) and clusters
+# ---------------------------------------------------------------------------
+
+from ..operators import ml as ML  # noqa: E402
+from ..operators import cluster as CL  # noqa: E402
+
+
+def _ml_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, train = _test_train(spark, sf_dir)
+    models = ML.fit_triage_models(train)
+    return ML.ml_triage(test.select("complaint_id", "complaint_text", "true_department", "true_priority",
+                                    "true_core_issue"), models)
+
+
+@register("ml_triage", "C2 C3 M5 M7 M8 M9 W5 S17 Q6 Q17")
+def ml_triage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _ml_verdicts(spark, sf_dir)
+    a = "analysis."
+    return v.select("complaint_id", F.col(a + "core_issue").alias("core_issue"),
+                    F.col(a + "department").alias("department"), F.col(a + "priority").alias("priority"),
+                    F.col(a + "actionable_task").alias("actionable_task"),
+                    F.col(a + "confidence_score").alias("confidence_score"),
+                    F.array_join(a + "supporting_evidence", " | ").alias("supporting_evidence"))
+
+
+@register("ml_model_comparison", "C9 C12 M7 A10 A11 A12")
+def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full comparison with the real classifier in the ML slot (rows-only check)."""
+    test, train = _test_train(spark, sf_dir)
+    models = ML.fit_triage_models(train)
+    q = test.select("complaint_id", "complaint_text", "true_core_issue", "true_department", "true_priority")
+    q = rule_triage(q, out_col="rule")
+    q = ML.ml_triage(q, models, out_col="ml")
+    v = _retrieval_triage(q, train, 5, baseline_col="rule", out_col="retrieval")
+    pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
+    return EV.round_metrics(EV.macro_metrics(pred), 4)
+
+
+@register("cluster_summary", "C14 M6 M10 A9 T2 W6")
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    _, summary = CL.cluster_report(c, k=6, n_init=20)
+    return summary
+
+
+@register("cluster_map", "M11 Q8")
+def cluster_map_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    return CL.cluster_map(c, k=6, sample=700, n_init=20)

@@ -78,7 +78,24 @@ def spread(df, *keys: str):
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    # Only call this on a plain scan: on a plan with exchanges, asking for the
+    # RDD would make adaptive execution run the upstream stages.
     if df.rdd.getNumPartitions() >= cores:
         return df
     from pyspark.sql import functions as F
     return df.repartition(cores, *[F.col(k) for k in keys]) if keys else df.repartition(cores)
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    This cuts lineage like ``checkpoint()`` but costs one job instead of two
+    (a reliable RDD checkpoint recomputes its input unless cached), and the
+    result is columnar: later readers prune columns and push filters.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
