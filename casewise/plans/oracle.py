@@ -475,3 +475,45 @@ JOIN (SELECT model, avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END)
                   SELECT model, p, 0, CASE WHEN y <> p THEN 1 ELSE 0 END, 0 FROM {pred} WHERE p IS NOT NULL)
             GROUP BY model, label)
       GROUP BY model) m USING (model)"""
+
+
+# ---------------------------------------------------------------------------
+# Outside-model answers
+# ---------------------------------------------------------------------------
+
+def validate_sql(s: str) -> str:
+    """SELECT-list fragment: v_ok, v_message and sanitized v_* fields from JSON string column ``s``."""
+    raw = s
+    s = f"(CASE WHEN json_valid({raw}) THEN {raw} END)"   # JSON functions only ever see valid input
+
+    def get(key):
+        return f"json_extract_string({s}, '$.{key}')"
+
+    def as_text(x):
+        return f"coalesce({x}, 'None')"
+    missing = "NULL"
+    for key in reversed(L.OUTPUT_KEYS):
+        missing = f"CASE WHEN NOT list_contains(json_keys({s}), '{key}') THEN '{key}' ELSE {missing} END"
+    ents_text = (f"CASE WHEN json_type({s}, '$.detected_entities') = 'ARRAY' "
+                 f"THEN array_to_string(from_json(json_extract({s}, '$.detected_entities'), '[\"VARCHAR\"]'), ', ') "
+                 f"ELSE {as_text(get('detected_entities'))} END")
+    dept = py_strip_sql(as_text(get("department")))
+    prio_low = f"lower({py_strip_sql(f'coalesce({get(chr(112) + "riority")}, {q("")})')})"
+    prio = "CASE " + " ".join(f"WHEN {prio_low} = '{p.lower()}' THEN '{p}'" for p in L.PRIORITIES) + " END"
+    conf = f"TRY_CAST({py_strip_sql(get('confidence_score'))} AS DOUBLE)"
+    core = py_strip_sql(as_text(get("core_issue")))
+    task = py_strip_sql(as_text(get("actionable_task")))
+    why = py_strip_sql(as_text(get("reasoning")))
+    msg = (f"CASE WHEN {raw} IS NULL OR NOT json_valid({raw}) THEN 'Invalid JSON.' "
+           f"WHEN json_type({s}) <> 'OBJECT' THEN 'JSON root must be an object.' "
+           f"WHEN ({missing}) IS NOT NULL THEN 'Missing key: ' || ({missing}) "
+           f"WHEN NOT list_contains({arr(L.DEPARTMENTS)}, {dept}) THEN 'Invalid department: ' || {dept} "
+           f"WHEN ({prio}) IS NULL THEN 'Invalid priority: ' "
+           f"WHEN ({conf}) IS NULL THEN 'confidence_score must be numeric.' "
+           f"WHEN isnan({conf}) OR {conf} < 0.0 OR {conf} > 1.0 THEN 'confidence_score must be between 0 and 1.' "
+           f"WHEN length({core}) < 1 OR length({core}) > 180 THEN 'Invalid verdict field: core_issue' "
+           f"WHEN length({task}) < 1 OR length({task}) > 300 THEN 'Invalid verdict field: actionable_task' "
+           f"ELSE 'valid' END")
+    return (f"{msg} AS v_message, {core} AS v_core_issue, {entities_sql(normalize_sql(ents_text))} AS v_entities, "
+            f"{dept} AS v_department, {prio} AS v_priority, {task} AS v_task, {why} AS v_reasoning, "
+            f"round({conf}, 3) AS v_confidence")

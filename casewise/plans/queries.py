@@ -528,3 +528,65 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_map_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
     return CL.cluster_map(c, k=6, sample=700, n_init=20)
+
+
+# ---------------------------------------------------------------------------
+# Outside-model answers
+# ---------------------------------------------------------------------------
+
+from ..operators import responses as RS  # noqa: E402
+
+
+@register("response_validation", "F15 F16 U4",
+          lambda: _c_sql() + f"""
+SELECT complaint_id, v_message = 'valid' AS is_valid, v_message AS message,
+       CASE WHEN v_message = 'valid' THEN v_core_issue END AS core_issue,
+       CASE WHEN v_message = 'valid' THEN v_department END AS department,
+       CASE WHEN v_message = 'valid' THEN v_priority END AS priority,
+       CASE WHEN v_message = 'valid' THEN v_confidence END AS confidence_score,
+       CASE WHEN v_message = 'valid' THEN array_to_string(v_entities, ', ') END AS detected_entities
+FROM (SELECT complaint_id, {O.validate_sql('model_response')} FROM c)""")
+def response_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir).select("complaint_id", RS.validate_response("model_response").alias("v"))
+    ok = F.col("v.ok")
+    return c.select("complaint_id", ok.alias("is_valid"), F.col("v.message").alias("message"),
+                    F.when(ok, F.col("v.core_issue")).alias("core_issue"),
+                    F.when(ok, F.col("v.department")).alias("department"),
+                    F.when(ok, F.col("v.priority")).alias("priority"),
+                    F.when(ok, F.col("v.confidence_score")).alias("confidence_score"),
+                    F.when(ok, F.array_join("v.detected_entities", ", ")).alias("detected_entities"))
+
+
+@register("response_merge", "C6 U2 U6 P13 T7",
+          lambda: _retrieval_sql_prefix().rstrip() + f""",
+vr AS (SELECT complaint_id, {O.validate_sql('model_response')} FROM c)
+SELECT r.complaint_id,
+       CASE WHEN v_message = 'valid' THEN v_core_issue ELSE g_issue END AS core_issue,
+       CASE WHEN v_message = 'valid' THEN v_department ELSE g_department END AS department,
+       CASE WHEN v_message = 'valid' THEN v_priority ELSE g_priority END AS priority,
+       CASE WHEN v_message = 'valid' THEN v_confidence ELSE CAST(g_milli AS DOUBLE) / 1000.0 END AS confidence_score,
+       CASE WHEN v_message = 'valid' THEN 'hybrid-rag-llm' ELSE 'rag-retrieval' END AS analysis_mode,
+       array_to_string(CASE WHEN v_message = 'valid' THEN list_sort(list_distinct(list_concat(g_entities, v_entities)))
+                            ELSE g_entities END, ', ') AS detected_entities,
+       CASE WHEN v_message = 'valid' THEN (CASE WHEN v_reasoning <> '' THEN v_reasoning ELSE g_reasoning END)
+            ELSE g_reasoning END AS reasoning,
+       array_to_string(CASE WHEN v_message = 'valid' THEN g_evidence
+                            ELSE list_concat(g_evidence, ['{RS.FALLBACK_PREFIX}' || v_message]) END, ' | ') AS supporting_evidence
+FROM rag r JOIN vr USING (complaint_id)""")
+def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, train = _test_train(spark, sf_dir)
+    q = _retrieval_triage(test.select("complaint_id", "complaint_text", "model_response"), train, 5,
+                          out_col="retrieval")
+    m = q.select("complaint_id", RS.merge_response("retrieval", "model_response").alias("m"))
+    return m.select("complaint_id", F.col("m.core_issue").alias("core_issue"), F.col("m.department").alias("department"),
+                    F.col("m.priority").alias("priority"), F.col("m.confidence_score").alias("confidence_score"),
+                    F.col("m.analysis_mode").alias("analysis_mode"),
+                    F.array_join("m.detected_entities", ", ").alias("detected_entities"),
+                    F.col("m.reasoning").alias("reasoning"),
+                    F.array_join("m.supporting_evidence", " | ").alias("supporting_evidence"))
+
+
+@register("prompt_rows", "F24")
+def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    return RS.with_prompts(rule_triage(c), "complaint_text", "analysis").select("complaint_id", "system_prompt", "prompt")
