@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import lexicon as L
 from ..functions.scores import clamp_milli, highest_priority, milli_to_double, reasoning
-from ..functions.text import extract_entities, normalize_text
+from ..functions import sqlexpr as X
+from ..functions.text import normalize_text
 
 _TMP = "_rt_"
 
@@ -27,11 +28,12 @@ def _when_chain(pairs, default):
     return out
 
 
-def detect_priority(t: Column, default_priority: Column):
-    """urgency terms (substrings) -> (priority, factor in hundredths)."""
-    def hits(terms):
-        return sum((t.contains(x).cast("int") for x in terms), F.lit(0))
-    crit, high, med = hits(L.CRITICAL_PRIORITY_TERMS), hits(L.HIGH_PRIORITY_TERMS), hits(L.MEDIUM_PRIORITY_TERMS)
+def detect_priority(t_name: str, default_priority: Column):
+    """urgency terms (substrings of column ``t_name``) -> (priority, factor in hundredths)."""
+    t = F.col(t_name)
+    name = t_name
+    crit, high, med = (F.expr(X.count_contains(X.ident(name), terms)) for terms in
+                       (L.CRITICAL_PRIORITY_TERMS, L.HIGH_PRIORITY_TERMS, L.MEDIUM_PRIORITY_TERMS))
     prio = _when_chain([
         (crit >= 1, F.lit("Critical")),
         (t.contains("!!!") | (high >= 2), F.lit("High")),
@@ -47,16 +49,11 @@ def detect_priority(t: Column, default_priority: Column):
     return prio, factor
 
 
-def _match(t: Column, term: L.Term) -> Column:
+def _match_sql(t: str, term: L.Term) -> str:
     """``t rlike regex``, skipped when none of the term's required substrings occurs."""
-    req = term.required
-    if not req:
-        return t.rlike(term.regex)
-    pre = None
-    for r in req:
-        c = t.contains(r)
-        pre = c if pre is None else (pre | c)
-    return F.when(pre, t.rlike(term.regex)).otherwise(F.lit(False))
+    if not term.required:
+        return f"({t} RLIKE {X.lit(term.regex)})"
+    return f"(CASE WHEN {X.any_contains(t, term.required)} THEN {t} RLIKE {X.lit(term.regex)} ELSE false END)"
 
 
 def _lit_array(values):
@@ -76,33 +73,36 @@ def rule_triage(df: DataFrame, text_col: str = "complaint_text", out_col: str =
     t = F.col(_TMP + "t")
     hit = F.col(_TMP + "hits")
 
+    tname, hname = X.ident(_TMP + "t"), X.ident(_TMP + "hits")
+    hits_sql = "array(" + ", ".join(_match_sql(tname, term) for term in terms) + ")"
     step1 = df.withColumn(_TMP + "t", normalize_text(F.col(text_col)))
-    step1 = step1.withColumn(_TMP + "hits", F.array(*[_match(t, term) for term in terms]))
+    step1 = step1.withColumn(_TMP + "hits", F.expr(hits_sql))
 
     def h(i):
-        return hit.getItem(i)
+        return f"{hname}[{i}]"
 
     issue_scores = []
     for issue_ord in range(n_issues):
-        parts = [F.when(h(term.ord), F.lit(int(round(term.weight * 2)))).otherwise(F.lit(0))
+        parts = [f"CASE WHEN {h(term.ord)} THEN {int(round(term.weight * 2))} ELSE 0 END"
                  for term in terms if term.issue_ord == issue_ord]
-        issue_scores.append(sum(parts, F.lit(0)) if parts else F.lit(0))
-    step2 = step1.withColumn(_TMP + "s", F.array(*issue_scores))
+        issue_scores.append("(" + " + ".join(parts) + ")" if parts else "0")
+    step2 = step1.withColumn(_TMP + "s", F.expr("array(" + ", ".join(issue_scores) + ")"))
     s = F.col(_TMP + "s")
     best2 = F.array_max(s)
     best_ord = F.array_position(s, best2) - 1          # first issue with the top score
     n_matches = F.size(F.filter(hit, lambda x: x))
-    evidence = F.slice(F.array_compact(F.array(*[F.when(h(term.ord), F.lit(term.evidence)) for term in terms])), 1, 4)
+    evidence = F.expr("slice(array_compact(array(" + ", ".join(
+        f"CASE WHEN {h(term.ord)} THEN {X.lit(term.evidence)} END" for term in terms) + ")), 1, 4)")
 
     step3 = step2.select("*", best2.alias(_TMP + "best2"), best_ord.cast("int").alias(_TMP + "ord"),
                          n_matches.alias(_TMP + "nm"), evidence.alias(_TMP + "ev"),
-                         extract_entities(t).alias(_TMP + "ent"))
+                         F.expr(X.entities(tname, L.ENTITY_VOCAB)).alias(_TMP + "ent"))
     b2, bo, nm = F.col(_TMP + "best2"), F.col(_TMP + "ord"), F.col(_TMP + "nm")
     matched = b2 > 0
     issue = F.element_at(_lit_array(L.ISSUE_NAMES), bo + 1)
     default_prio = F.when(matched, F.element_at(_lit_array([L.ISSUE_BASE_PRIORITY[i] for i in L.ISSUE_NAMES]), bo + 1)) \
                     .otherwise(F.lit("Low"))
-    prio, f100 = detect_priority(t, default_prio)
+    prio, f100 = detect_priority(_TMP + "t", default_prio)
     step4 = step3.select("*", prio.alias(_TMP + "prio"), f100.alias(_TMP + "f100"))
     prio, f100 = F.col(_TMP + "prio"), F.col(_TMP + "f100")
 

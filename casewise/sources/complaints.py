@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEPARTMENTS, ISSUE_RULES
+from ..functions import sqlexpr as X
 from ..session import spread
 from .tables import read_table
 
@@ -116,45 +117,102 @@ NOISE_MOD = 11
 FINDINGS = ["", "Photo shows a cracked screen and a crushed box.", "Screenshot shows a 500 error page."]
 
 
-def _case_int(col, mapping: dict, default=None):
-    out = F.lit(default)
-    for k, v in mapping.items():
-        out = F.when(col == k, F.lit(v)).otherwise(out)
-    return out
+def _arr(values) -> str:
+    return "array(" + ", ".join(X.lit(v) for v in values) + ")"
 
 
-def _pick(values: list, idx_col):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx_col + 1).cast("int"))
+def _pick(values, idx: str) -> str:
+    return f"element_at({_arr(values)}, CAST(({idx}) + 1 AS INT))"
 
 
-def responses_expr(k, issue, dept, prio) -> "F.Column":
+def _case(col: str, mapping: dict, default: str = "NULL") -> str:
+    whens = " ".join(f"WHEN {col} = {X.lit(k)} THEN {X.lit(v) if isinstance(v, str) else v}"
+                     for k, v in mapping.items())
+    return f"CASE {whens} ELSE {default} END"
+
+
+def _responses_sql(k: str, issue: str, dept: str, prio: str) -> str:
     """A JSON answer per row from a hypothetical outside model, with every failure kind."""
-    kind = F.pmod(F.expr("o_orderkey div 13"), F.lit(17))
-    task = F.lit("Handle the case.")
-    ents = F.lit('["billing", "product delivery"]')
-
-    def obj(core=issue, ents_json=ents, d=dept, p=prio, task_=task, conf=F.lit("0.72"), reason=F.lit('"model says so"'),
-            drop_reason=False):
-        parts = [F.lit('{"core_issue": "'), core, F.lit('", "detected_entities": '), ents_json,
-                 F.lit(', "department": "'), d, F.lit('", "priority": "'), p,
-                 F.lit('", "actionable_task": "'), task_, F.lit('", "confidence_score": '), conf]
+    kind = f"pmod({k} div 13, 17)"
+
+    def obj(core=issue, ents=X.lit('["billing", "product delivery"]'), d=dept, p=prio,
+            task=X.lit("Handle the case."), conf=X.lit("0.72"), reason=X.lit('"model says so"'), drop_reason=False):
+        parts = [X.lit('{"core_issue": "'), core, X.lit('", "detected_entities": '), ents,
+                 X.lit(', "department": "'), d, X.lit('", "priority": "'), p,
+                 X.lit('", "actionable_task": "'), task, X.lit('", "confidence_score": '), conf]
         if not drop_reason:
-            parts += [F.lit(', "reasoning": '), reason]
-        parts.append(F.lit("}"))
-        return F.concat(*parts)
-
-    return (F.when(kind == 6, F.lit('{"core_issue": "Refund delay", '))
-             .when(kind == 7, F.lit('["Refund delay"]'))
-             .when(kind == 8, obj(drop_reason=True))
-             .when(kind == 9, obj(d=F.lit("Sales")))
-             .when(kind == 10, obj(p=F.lit("urgent")))
-             .when(kind == 11, obj(conf=F.lit('"0.7"')))
-             .when(kind == 12, obj(conf=F.lit('"high"')))
-             .when(kind == 13, obj(conf=F.lit("-0.2")))
-             .when(kind == 14, obj(conf=F.lit("1.7")))
-             .when(kind == 15, obj(ents_json=F.lit('"billing, logistics"')))
-             .when(kind == 16, obj(d=F.concat(F.lit(" "), dept, F.lit(" ")), p=F.lower(prio), reason=F.lit('""')))
-             .otherwise(obj(conf=F.concat(F.lit("0."), F.lpad(F.pmod(k, F.lit(90)).cast("string"), 2, "0")))))
+            parts += [X.lit(', "reasoning": '), reason]
+        parts.append(X.lit("}"))
+        return "concat(" + ", ".join(parts) + ")"
+
+    default_conf = f"concat('0.', lpad(CAST(pmod({k}, 90) AS STRING), 2, '0'))"
+    return (f"CASE WHEN {kind} = 6 THEN {X.lit(chr(123) + '"core_issue": "Refund delay", ')} "
+            f"WHEN {kind} = 7 THEN {X.lit('["Refund delay"]')} "
+            f"WHEN {kind} = 8 THEN {obj(drop_reason=True)} "
+            f"WHEN {kind} = 9 THEN {obj(d=X.lit('Sales'))} "
+            f"WHEN {kind} = 10 THEN {obj(p=X.lit('urgent'))} "
+            f"WHEN {kind} = 11 THEN {obj(conf=X.lit(chr(34) + '0.7' + chr(34)))} "
+            f"WHEN {kind} = 12 THEN {obj(conf=X.lit(chr(34) + 'high' + chr(34)))} "
+            f"WHEN {kind} = 13 THEN {obj(conf=X.lit('-0.2'))} "
+            f"WHEN {kind} = 14 THEN {obj(conf=X.lit('1.7'))} "
+            f"WHEN {kind} = 15 THEN {obj(ents=X.lit(chr(34) + 'billing, logistics' + chr(34)))} "
+            f"WHEN {kind} = 16 THEN {obj(d=f'concat(' + X.lit(' ') + f', {dept}, ' + X.lit(' ') + ')', p=f'lower({prio})', reason=X.lit(chr(34) * 2))} "
+            f"ELSE {obj(conf=default_conf)} END")
+
+
+def complaint_columns() -> list[str]:
+    """The select list of ``C`` as Spark SQL expressions over the joined star-schema row."""
+    k = "o_orderkey"
+    issues = [r_[0] for r_ in ISSUE_RULES]
+    depts = [r_[1] for r_ in ISSUE_RULES]
+    prios = [r_[2] for r_ in ISSUE_RULES]
+    issue_ord = f"pmod({k}, {len(issues)})"
+    sentence = _pick(SENTENCES, f"{issue_ord} * {SENTENCES_PER_ISSUE} + pmod({k} div 13, {SENTENCES_PER_ISSUE})")
+    kstr = f"CAST({k} AS STRING)"
+    slots = [("{amount}", f"CAST(pmod({k} * 7, 481) + 19 AS STRING)"),
+             ("{days}", f"CAST(pmod({k}, 20) + 2 AS STRING)"),
+             ("{ticket}", f"concat('CMP-', lpad({kstr}, greatest(6, length({kstr})), '0'))"),
+             ("{region}", "coalesce(r_name, 'UNKNOWN')"),
+             ("{country}", "coalesce(n_name, 'UNKNOWN')"),
+             ("{date}", "date_format(o_orderdate, 'dd MMM yyyy')"),
+             ("{product}", _pick(PRODUCTS, f"pmod({k} div 39, {len(PRODUCTS)})"))]
+    filled = sentence
+    for slot, val in slots:
+        filled = f"replace({filled}, {X.lit(slot)}, {val})"
+    segment = f"coalesce({_case('c_mktsegment', MKT_SEGMENT)}, 'Standard')"
+    sentiment = _pick(SENTIMENTS, f"pmod({k} div 7, {len(SENTIMENTS)})")
+    priority = _pick(prios, issue_ord)
+    escalate = f"(pmod({k}, 2) = 0 AND {priority} IN ('High', 'Critical'))"
+    body = (f"concat({filled}, ' I am a ', lower({segment}), ' customer and this feels ', lower({sentiment}), '.', "
+            f"CASE WHEN {escalate} THEN {X.lit(ESCALATION_SENTENCE)} ELSE '' END)")
+    edge = " ".join(f"WHEN pmod({k}, {EDGE_MOD}) = {key} THEN {X.lit(val) if val is not None else 'CAST(NULL AS STRING)'}"
+                    for key, val in EDGE_TEXTS.items())
+    true_dept = _pick(depts, issue_ord)
+    noisy = _pick(DEPARTMENTS, f"pmod(array_position({_arr(DEPARTMENTS)}, {true_dept}), {len(DEPARTMENTS)})")
+    issue = _pick(issues, issue_ord)
+    finding = f"CASE WHEN pmod({k}, 5) = 0 THEN CAST(NULL AS STRING) ELSE {_pick(FINDINGS, f'pmod({k}, {len(FINDINGS)})')} END"
+    return [
+        f"{k} AS complaint_id",
+        f"CASE {edge} ELSE {body} END AS complaint_text",
+        f"CASE WHEN pmod({k}, {NOISE_MOD}) = 0 THEN {noisy} ELSE {true_dept} END AS true_department",
+        f"{priority} AS true_priority",
+        f"{issue} AS true_core_issue",
+        f"{_pick(CHANNELS, f'pmod({k}, {len(CHANNELS)})')} AS channel",
+        f"{_pick(PRODUCTS, f'pmod({k} div 39, {len(PRODUCTS)})')} AS product_line",
+        f"{segment} AS customer_segment",
+        "coalesce(r_name, 'UNKNOWN') AS region",
+        "coalesce(n_name, 'UNKNOWN') AS country",
+        f"timestampadd(HOUR, pmod({k}, 24), CAST(o_orderdate AS TIMESTAMP)) AS created_at",
+        f"CAST(pmod({k}, 120) + 1 AS INT) AS customer_tenure_months",
+        f"-CAST(pmod({k} * 13, 94) + 5 AS DOUBLE) / 100.0 AS sentiment_score",
+        f"CAST({_case(priority, SLA_BY_PRIORITY)} AS INT) AS expected_sla_hours",
+        f"CAST({_case(priority, ESCALATION_BY_PRIORITY)} AS INT) AS escalation_level",
+        f"{_pick(ORIGINS, f'pmod({k}, {len(ORIGINS)})')} AS case_origin",
+        f"{_pick(COMPLEXITY, f'pmod({k} div 3, {len(COMPLEXITY)})')} AS resolution_complexity",
+        f"lower({issue}) AS task_signal",
+        f"{finding} AS image_finding",
+        f"{_responses_sql(k, issue, true_dept, priority)} AS model_response",
+    ]
 
 
 def complaint_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,66 +223,9 @@ def complaint_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     # nation (25 rows) and region (5 rows) are fixed-size dimensions: broadcasting
-    # them is bounded by definition.  orders x customer is a keyed shuffle join.
+    # them is bounded by definition.  orders x customer is a keyed join (AQE
+    # picks shuffle-hash / sort-merge, or broadcast when customer is small).
     geo = n.join(r, n.n_regionkey == r.r_regionkey, "left")
     base = (o.join(c, o.o_custkey == c.c_custkey, "left")
              .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
-
-    k = F.col("o_orderkey")
-    issue_ord = F.pmod(k, F.lit(len(ISSUE_RULES)))
-    issues = [r_[0] for r_ in ISSUE_RULES]
-    depts = [r_[1] for r_ in ISSUE_RULES]
-    prios = [r_[2] for r_ in ISSUE_RULES]
-    sent_idx = issue_ord * SENTENCES_PER_ISSUE + F.pmod(F.expr("o_orderkey div 13"), F.lit(SENTENCES_PER_ISSUE))
-    sentence = _pick(SENTENCES, sent_idx)
-    amount = (F.pmod(k * 7, F.lit(481)) + 19).cast("string")
-    days = (F.pmod(k, F.lit(20)) + 2).cast("string")
-    kstr = k.cast("string")
-    ticket = F.concat(F.lit("CMP-"), F.lpad(kstr, F.greatest(F.lit(6), F.length(kstr)), "0"))
-    product = _pick(PRODUCTS, F.pmod(F.expr("o_orderkey div 39"), F.lit(len(PRODUCTS))))
-    date_text = F.date_format(F.col("o_orderdate"), "dd MMM yyyy")
-    region = F.coalesce(F.col("r_name"), F.lit("UNKNOWN"))
-    country = F.coalesce(F.col("n_name"), F.lit("UNKNOWN"))
-    filled = sentence
-    for slot, val in [("{amount}", amount), ("{days}", days), ("{ticket}", ticket), ("{region}", region),
-                      ("{country}", country), ("{date}", date_text), ("{product}", product)]:
-        filled = F.replace(filled, F.lit(slot), val)
-    segment = F.coalesce(_case_int(F.col("c_mktsegment"), MKT_SEGMENT), F.lit("Standard"))
-    sentiment = _pick(SENTIMENTS, F.pmod(F.expr("o_orderkey div 7"), F.lit(len(SENTIMENTS))))
-    priority = _pick(prios, issue_ord)
-    escalate = (F.pmod(k, F.lit(2)) == 0) & priority.isin("High", "Critical")
-    body = F.concat(filled, F.lit(" I am a "), F.lower(segment), F.lit(" customer and this feels "),
-                    F.lower(sentiment), F.lit("."),
-                    F.when(escalate, F.lit(ESCALATION_SENTENCE)).otherwise(F.lit("")))
-    edge = F.pmod(k, F.lit(EDGE_MOD))
-    text = body
-    for key, val in EDGE_TEXTS.items():
-        text = F.when(edge == key, F.lit(val).cast("string")).otherwise(text)
-    true_dept = _pick(depts, issue_ord)
-    noisy_dept = _pick(DEPARTMENTS, F.pmod(F.array_position(F.array(*[F.lit(d) for d in DEPARTMENTS]), true_dept), F.lit(len(DEPARTMENTS))))
-    issue = _pick(issues, issue_ord)
-
-    out = base.select(
-        k.alias("complaint_id"),
-        text.alias("complaint_text"),
-        F.when(F.pmod(k, F.lit(NOISE_MOD)) == 0, noisy_dept).otherwise(true_dept).alias("true_department"),
-        priority.alias("true_priority"),
-        issue.alias("true_core_issue"),
-        _pick(CHANNELS, F.pmod(k, F.lit(len(CHANNELS)))).alias("channel"),
-        product.alias("product_line"),
-        segment.alias("customer_segment"),
-        region.alias("region"),
-        country.alias("country"),
-        F.timestamp_add("HOUR", F.pmod(k, F.lit(24)), F.col("o_orderdate").cast("timestamp")).alias("created_at"),
-        (F.pmod(k, F.lit(120)) + 1).cast("int").alias("customer_tenure_months"),
-        (-(F.pmod(k * 13, F.lit(94)) + 5).cast("double") / F.lit(100.0)).alias("sentiment_score"),
-        _case_int(priority, SLA_BY_PRIORITY).cast("int").alias("expected_sla_hours"),
-        _case_int(priority, ESCALATION_BY_PRIORITY).cast("int").alias("escalation_level"),
-        _pick(ORIGINS, F.pmod(k, F.lit(len(ORIGINS)))).alias("case_origin"),
-        _pick(COMPLEXITY, F.pmod(F.expr("o_orderkey div 3"), F.lit(len(COMPLEXITY)))).alias("resolution_complexity"),
-        F.lower(issue).alias("task_signal"),
-        F.when(F.pmod(k, F.lit(5)) == 0, F.lit(None).cast("string"))
-         .otherwise(_pick(FINDINGS, F.pmod(k, F.lit(len(FINDINGS))))).alias("image_finding"),
-        responses_expr(k, issue, true_dept, priority).alias("model_response"),
-    )
-    return out
+    return base.selectExpr(*complaint_columns())
