@@ -590,3 +590,55 @@ def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
     return RS.with_prompts(rule_triage(c), "complaint_text", "analysis").select("complaint_id", "system_prompt", "prompt")
+
+
+# ---------------------------------------------------------------------------
+# Generators (S12-S16, S15, F18-F20, J11-J13) and I/O
+# ---------------------------------------------------------------------------
+
+from ..sources import generate as GEN  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+@register("generated_warehouse", "S12 S15 F18 F19 F20 J11 J13 Q11",
+          lambda: "SELECT " + ", ".join(GEN.warehouse_columns(GEN.DUCK, 42)) +
+                  " FROM (SELECT o_orderkey + 1 AS complaint_id FROM orders)")
+def generated_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = read_table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("complaint_id"))
+    return GEN.generate_warehouse(keys, 42)
+
+
+@register("generated_validation", "S13 F18 F19",
+          lambda: "SELECT " + ", ".join(GEN.validation_columns(GEN.DUCK, 101)) +
+                  " FROM (SELECT c_custkey + 1 AS complaint_id FROM customer)")
+def generated_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = read_table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("complaint_id"))
+    return GEN.generate_validation(keys, 101)
+
+
+@register("generated_cfpb", "S14 J12 F19",
+          lambda: "SELECT " + ", ".join(GEN.cfpb_columns(GEN.DUCK, 202)) +
+                  " FROM (SELECT p_partkey + 1 AS complaint_id FROM part)")
+def generated_cfpb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = read_table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("complaint_id"))
+    return GEN.generate_cfpb(keys, 202)
+
+
+@register("csv_roundtrip", "S1 S2 S6 S17 P4",
+          lambda: _c_sql() + """
+SELECT true_department AS department, count(*) AS n, count(created_at) AS n_created
+FROM c GROUP BY true_department""")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C written as warehouse-layout CSV under the checkpoint folder, then read back with the fixed schema."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    c = complaint_view(spark, sf_dir)
+    cols = [f.name for f in __import__("casewise.schemas", fromlist=["WAREHOUSE"]).WAREHOUSE.fields]
+    out = c.select(*[F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias(n) if n == "created_at" else F.col(n)
+                     for n in cols])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
+    IO.save_table(out, path, "csv")
+    back = IO.read_complaints(spark, path)
+    IO.require_columns(back, ["complaint_text", "true_department"])
+    return back.groupBy(F.col("true_department").alias("department")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("created_at").alias("n_created"))
