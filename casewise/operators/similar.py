@@ -213,3 +213,32 @@ def similar_complaints(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_
                         "priority", "core_issue",
                         F.round(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)), 3).alias("similarity"),
                         F.col("score").alias("raw_score")))
+
+
+def dense_neighbours(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
+                     exclude_self: bool = True, normalize: bool = False) -> DataFrame:
+    """J6 dense: self top-k by inner product over a vector column (qid, did, score, rank)."""
+    v = df.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("v"))
+    d = df.select(F.col(id_col).alias("did"), F.col(vec_col).alias("v"))
+    return top_k_similar(v, d, k, mode="dense", exclude_self=exclude_self, normalize=normalize)
+
+
+def weighted_label_vote(neigh: DataFrame, labels: DataFrame, id_col: str = "vec_id",
+                        label_col: str = "label") -> DataFrame:
+    """A14 on vectors: each query's label by similarity-weighted vote of its neighbours' labels.
+
+    Weights are similarities clipped to [0, 1] in thousandths; ties go to the
+    label seen first (best rank).  Each query holds at most k rows.
+    """
+    lab = labels.select(F.col(id_col).alias("did"), F.col(label_col).alias("nl"))
+    rows = neigh.join(lab, "did").select(
+        "qid", F.struct(F.col("rank"), F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * 1000 + 0.5)
+                        .cast("long").alias("milli"), F.col("nl")).alias("n"))
+    g = rows.groupBy("qid").agg(F.array_sort(F.collect_list("n")).alias("neigh"))
+    nb = F.col("neigh")
+    values = F.array_distinct(F.transform(nb, lambda x: x["nl"]))
+    scored = F.transform(values, lambda val: F.struct(
+        F.aggregate(F.filter(nb, lambda x: x["nl"] == val), F.lit(0).cast("long"), lambda a, x: a + x["milli"]).alias("w"),
+        (-F.array_min(F.transform(F.filter(nb, lambda x: x["nl"] == val), lambda x: x["rank"]))).alias("r"),
+        val.alias("val")))
+    return g.select("qid", F.array_max(scored)["val"].alias("predicted_label"))

@@ -642,3 +642,67 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     IO.require_columns(back, ["complaint_text", "true_department"])
     return back.groupBy(F.col("true_department").alias("department")).agg(
         F.count(F.lit(1)).alias("n"), F.count("created_at").alias("n_created"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming extension
+# ---------------------------------------------------------------------------
+
+@register("stream_rule_triage", "C1 (stream extension, 2.11)", _rule_summary_sql)
+def stream_rule_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C lands as Parquet files; a stream triages them (availableNow); the sink is summarized."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.triage_stream import run_to_table, triage_stream
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    c.write.parquet(f"{base}/in")
+    stream = triage_stream(spark, f"{base}/in", c.schema, max_files_per_trigger=4)
+    run_to_table(stream, f"{base}/out", f"{base}/ckpt")
+    v = spark.read.parquet(f"{base}/out").select("department", "priority",
+                                                 F.round(F.col("confidence_score") * 1000).cast("long").alias("milli"))
+    return (v.groupBy("department", "priority")
+             .agg(F.count(F.lit(1)).alias("n_complaints"), F.sum("milli").alias("confidence_milli_sum"))
+             .withColumn("avg_confidence",
+                         F.col("confidence_milli_sum").cast("double") / (F.col("n_complaints") * F.lit(1000.0))))
+
+
+# ---------------------------------------------------------------------------
+# Dense vectors (J6 dense, W4, A14, A10)
+# ---------------------------------------------------------------------------
+
+_EMB_NN_SQL = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+nn AS (SELECT qid, did, score, rank FROM (
+         SELECT a.vec_id AS qid, b.vec_id AS did, list_dot_product(a.v, b.v) AS score,
+                row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS rank
+         FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE rank <= 5)"""
+
+
+@register("embedding_neighbours", "J6 W4 M4",
+          lambda: "WITH" + _EMB_NN_SQL + """
+SELECT qid, did, CAST(rank AS INTEGER) AS rank, floor(score * 1000000000 + 0.5) / 1000000000 AS score FROM nn""")
+def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nn = SIM.dense_neighbours(read_table(spark, sf_dir, "embeddings"), 5)
+    return nn.select("qid", "did", F.col("rank").cast("int"),
+                     (F.floor(F.col("score") * 1000000000 + 0.5) / 1000000000).alias("score"))
+
+
+@register("embedding_vote_accuracy", "A14 W2 A10",
+          lambda: "WITH" + _EMB_NN_SQL + """,
+nb AS (SELECT nn.qid, nn.rank, e.label AS nl,
+              CAST(floor(least(greatest(nn.score, 0.0), 1.0) * 1000 + 0.5) AS BIGINT) AS milli
+       FROM nn JOIN e ON e.vec_id = nn.did),
+vote AS (SELECT qid, nl AS predicted_label FROM (
+           SELECT qid, nl, row_number() OVER (PARTITION BY qid ORDER BY sum(milli) DESC, min(rank)) AS rn
+           FROM nb GROUP BY qid, nl) WHERE rn = 1)
+SELECT e.label, count(*) AS n, CAST(sum(CASE WHEN v.predicted_label = e.label THEN 1 ELSE 0 END) AS BIGINT) AS correct
+FROM vote v JOIN e ON e.vec_id = v.qid GROUP BY e.label""")
+def embedding_vote_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = read_table(spark, sf_dir, "embeddings")
+    nn = SIM.dense_neighbours(emb, 5)
+    vote = SIM.weighted_label_vote(nn, emb)
+    truth = emb.select(F.col("vec_id").alias("qid"), "label")
+    return (vote.join(truth, "qid").groupBy("label")
+                .agg(F.count(F.lit(1)).alias("n"),
+                     F.sum((F.col("predicted_label") == F.col("label")).cast("long")).alias("correct")))
