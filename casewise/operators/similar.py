@@ -59,11 +59,14 @@ def hashed_vectors(df: DataFrame, id_col: str, text_col: str, width: int = HASH_
 # ---------------------------------------------------------------------------
 
 def _dense_counts(bucket_lists, width: int) -> np.ndarray:
-    m = np.zeros((len(bucket_lists), width), dtype=np.float32)
-    for i, b in enumerate(bucket_lists):
-        if b is not None and len(b):
-            np.add.at(m[i], np.asarray(b, dtype=np.int64), 1.0)
-    return m
+    """Rows of bucket-id lists -> dense count matrix (one bincount, no per-row loop)."""
+    n = len(bucket_lists)
+    lens = np.fromiter((0 if b is None else len(b) for b in bucket_lists), dtype=np.int64, count=n)
+    if lens.sum() == 0:
+        return np.zeros((n, width), dtype=np.float32)
+    flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in bucket_lists if b is not None and len(b)])
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    return np.bincount(rows * width + flat, minlength=n * width).reshape(n, width).astype(np.float32)
 
 
 def _select_topk(rows: np.ndarray, cols: np.ndarray, exact: np.ndarray, k: int):
@@ -78,19 +81,23 @@ def _select_topk(rows: np.ndarray, cols: np.ndarray, exact: np.ndarray, k: int):
     return rows[keep], cols[keep], exact[keep]
 
 
-def _candidates(approx: np.ndarray, valid: np.ndarray, k: int, margin: float = 1e-5):
+def _candidates(score: np.ndarray, k: int, valid: np.ndarray | None = None, margin: float = 1e-5):
     """(row, col) pairs whose approximate score can still be in the row's top k.
 
-    ``approx`` is a float32 estimate of the score (relative error far below
-    ``margin``); every pair whose exact score reaches the k-th best exact
-    score survives, so the final exact ranking is unaffected.
+    ``score`` is a float32 estimate (relative error far below ``margin``);
+    every pair whose exact score reaches the k-th best exact score survives,
+    so the final exact ranking is unaffected.  Without ``valid``, only
+    positive scores count (sparse cosine).
     """
-    s = np.where(valid, approx, np.float32(-np.inf))
-    n = s.shape[1]
+    n = score.shape[1]
     kk = min(k, n)
-    kth = np.partition(s, n - kk, axis=1)[:, n - kk:n - kk + 1]
-    thr = np.where(np.isfinite(kth), kth - np.abs(kth) * margin - margin * 1e-3, -np.inf)
-    return np.nonzero((s >= thr) & valid)
+    if valid is not None:
+        score = np.where(valid, score, np.float32(-np.inf))
+    kth = np.partition(score, n - kk, axis=1)[:, n - kk:n - kk + 1]
+    thr = kth - np.abs(kth) * margin - margin * 1e-3
+    if valid is None:
+        return np.nonzero((score >= thr) & (score > 0))
+    return np.nonzero((score >= thr) & np.isfinite(score))
 
 
 def _block_fn(mode: str, k: int, width: int, exclude_self: bool, normalize: bool):
@@ -116,38 +123,38 @@ def _block_fn(mode: str, k: int, width: int, exclude_self: bool, normalize: bool
             inv_q = np.where(n2q > 0, 1.0 / np.sqrt(n2q.astype(np.float64)), 0.0).astype(np.float32)
             inv_d = np.where(n2d > 0, 1.0 / np.sqrt(n2d.astype(np.float64)), 0.0).astype(np.float32)
         qm32 = qm.astype(np.float32)
+        dm32 = dm.astype(np.float32)
         out_q, out_d, out_s = [], [], []
-        step = 4096
+        step = 8192
         for start in range(0, len(did), step):
             sl = slice(start, start + step)
-            dot = qm32 @ (dm[sl].T if dm.dtype == np.float32 else dm[sl].T.astype(np.float32))
-            if mode == "sparse":
-                valid = dot > 0          # counts are integers: float32 products are exact
-                approx = dot * inv_q[:, None] * inv_d[None, sl]
-            elif normalize:
-                valid = np.ones(dot.shape, dtype=bool)
-                approx = dot * inv_q[:, None] * inv_d[None, sl]
-            else:
-                valid = np.ones(dot.shape, dtype=bool)
-                approx = dot
-            if exclude_self:
-                valid &= qid[:, None] != did[None, sl]
-            rows, cols = _candidates(approx, valid, k)
+            approx = qm32 @ dm32[sl].T
+            if mode == "sparse" or normalize:
+                approx *= inv_q[:, None]
+                approx *= inv_d[None, sl]
+            valid = None
+            if mode == "dense" or exclude_self:
+                valid = np.ones(approx.shape, dtype=bool) if mode == "dense" else approx > 0
+                if exclude_self:
+                    valid &= qid[:, None] != did[None, sl]
+            rows, cols = _candidates(approx, k, valid)
             # Exact scores for the candidates only.
+            dcols = cols + start
             if mode == "sparse":
-                # Integer counts: the float32 dot products are already exact.
-                exact = dot[rows, cols].astype(np.float64) / np.sqrt((n2q[rows] * n2d[sl][cols]).astype(np.float64))
+                # Integer counts: float32 sums of these products are exact.
+                dots = np.einsum("ij,ij->i", qm32[rows], dm32[dcols]).astype(np.float64)
+                exact = dots / np.sqrt((n2q[rows] * n2d[dcols]).astype(np.float64))
             else:
-                d64 = np.einsum("ij,ij->i", qm[rows], dm[sl][cols])
+                d64 = np.einsum("ij,ij->i", qm[rows], dm[dcols])
                 if normalize:
-                    den = np.sqrt(n2q[rows] * n2d[sl][cols])
+                    den = np.sqrt(n2q[rows] * n2d[dcols])
                     with np.errstate(divide="ignore", invalid="ignore"):
                         exact = np.where(den > 0, d64 / den, 0.0)
                 else:
                     exact = d64
-            rows, cols, exact = _select_topk(rows, cols, exact, k)
+            rows, cols, exact = _select_topk(rows, dcols, exact, k)
             out_q.append(qid[rows])
-            out_d.append(did[sl][cols])
+            out_d.append(did[cols])
             out_s.append(exact)
         if not out_q:
             return empty
@@ -182,6 +189,14 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: st
     d = (corpus.select(F.col(d_id).cast("long").alias("did"), F.col(d_vec).alias("v"))
                .withColumn("cb", F.pmod(F.xxhash64("did"), F.lit(cb_n)).cast("int"))
                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb_n - 1)))))
+    # Block pairs are heavy in compute but light in bytes, so adaptive execution
+    # would coalesce them into a few lopsided tasks.  An explicit partition
+    # count (which AQE keeps) spreads them; both sides share the same hash
+    # partitioning, so the cogroup adds no further exchange.
+    cores = spark.sparkContext.defaultParallelism
+    n_parts = int(min(max(2 * qb_n * cb_n, cores), max(64 * cores, 2 * cores)))
+    q = q.repartition(n_parts, "qb", "cb")
+    d = d.repartition(n_parts, "qb", "cb")
     local = (q.groupBy("qb", "cb").cogroup(d.groupBy("qb", "cb"))
               .applyInPandas(_block_fn(mode, k, width, exclude_self, normalize),
                              "qid long, did long, score double"))
