@@ -333,7 +333,7 @@ def vector_ctes(src: str = "c", id_col: str = "complaint_id", text_col: str = "c
 
 
 def knn_ctes(qvec: str, dvec: str, norm: str, k: int = L.DEFAULT_TOP_K, exclude_self: bool = False,
-             name: str = "nn") -> str:
+             name: str = "nn", dnorm: str | None = None) -> str:
     """CTE {name}(qid, did, score, rank): exact sparse cosine top-k, positive scores only."""
     self_cond = "AND qv.id <> dv.id" if exclude_self else ""
     return f"""
@@ -343,7 +343,7 @@ def knn_ctes(qvec: str, dvec: str, norm: str, k: int = L.DEFAULT_TOP_K, exclude_
   SELECT qid, did, score, rank FROM (
     SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did ASC) AS rank
     FROM (SELECT p.qid, p.did, CAST(p.dot AS DOUBLE) / sqrt(CAST(nq.n2 * nd.n2 AS DOUBLE)) AS score
-          FROM {name}_pairs p JOIN {norm} nq ON nq.id = p.qid JOIN {norm} nd ON nd.id = p.did
+          FROM {name}_pairs p JOIN {norm} nq ON nq.id = p.qid JOIN {dnorm or norm} nd ON nd.id = p.did
           WHERE p.dot > 0)) WHERE rank <= {k})"""
 
 

@@ -706,3 +706,82 @@ def embedding_vote_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (vote.join(truth, "qid").groupBy("label")
                 .agg(F.count(F.lit(1)).alias("n"),
                      F.sum((F.col("predicted_label") == F.col("label")).cast("long")).alias("correct")))
+
+
+# ---------------------------------------------------------------------------
+# External evaluation (C10, C11, P9): other complaint sets scored by the same models
+# ---------------------------------------------------------------------------
+
+def _external_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Validation rows keyed by customer, CFPB-style rows keyed by part; numeric key -> complaint_id."""
+    if kind == "validation":
+        keys = read_table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("complaint_id"))
+        return _with_numeric_key(GEN.generate_validation(keys, 101), kind)
+    keys = read_table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("complaint_id"))
+    return _with_numeric_key(GEN.generate_cfpb(keys, 202), kind)
+
+
+def _with_numeric_key(rows: DataFrame, kind: str) -> DataFrame:
+    prefix_len = 1 if kind == "validation" else 5     # 'V00001' / 'CFPB-000001'
+    return rows.select(F.substring(F.col("complaint_id"), prefix_len + 1, 64).cast("long").alias("complaint_id"),
+                       F.col("complaint_id").alias("external_id"),
+                       *[c for c in rows.columns if c != "complaint_id"])
+
+
+def _external_verdicts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    ext = _external_rows(spark, sf_dir, kind)
+    c = complaint_view(spark, sf_dir)
+    corpus = c if kind == "cfpb" else _test_train(spark, sf_dir)[1]     # CFPB page trains on the full warehouse
+    q = ext.select("complaint_id", "complaint_text", "true_core_issue", "true_department", "true_priority")
+    q = rule_triage(q, out_col="rule")
+    q = q.withColumn("ml", label_verdict(q))
+    return _retrieval_triage(q, corpus, 5, baseline_col="rule", out_col="retrieval")
+
+
+def _external_sql(kind: str) -> str:
+    if kind == "validation":
+        cols = GEN.validation_columns(GEN.DUCK, 101)
+        src = "(SELECT c_custkey + 1 AS complaint_id FROM customer)"
+        corpus_filter = "WHERE s.split = 'train'"
+    else:
+        cols = GEN.cfpb_columns(GEN.DUCK, 202)
+        src = "(SELECT p_partkey + 1 AS complaint_id FROM part)"
+        corpus_filter = ""
+    ext = f"SELECT {', '.join(cols)} FROM {src}"
+    ext_keyed = (f"SELECT CAST(substr(complaint_id, {2 if kind == 'validation' else 6}) AS BIGINT) AS complaint_id, "
+                 f"complaint_text, true_department, true_priority, true_core_issue FROM ({ext})")
+    head = (_split_sql_prefix().rstrip() + ",\n"
+            + f"ext AS MATERIALIZED ({ext_keyed}),"
+            + O.vector_ctes("ext", prefix="e") + ","
+            + O.vector_ctes("c") + ",\n"
+            + f"dvec AS (SELECT v.* FROM vec v JOIN split s ON v.id = s.complaint_id {corpus_filter}),"
+            + O.knn_ctes("evec", "dvec", "enorm", dnorm="norm")
+            + ",\n" + f"qr AS MATERIALIZED ({O.rule_rows_sql('ext')}),"
+            + O.retrieval_ctes("nn", "c", "qr") + ",\n")
+    entries = f"""
+ent AS (
+  SELECT complaint_id, 0 AS ord, 'Rule-Based' AS name, r_department AS dept, r_milli AS milli FROM qr
+  UNION ALL SELECT complaint_id, 1, 'ML Baseline', true_department, (complaint_id * 37) % 500 + 400 FROM qr
+  UNION ALL SELECT complaint_id, 2, 'RAG + LLM', g_department, g_milli FROM rag),
+pred AS (SELECT e.name AS model, e.complaint_id, q.true_department AS y, e.dept AS p, e.milli
+         FROM ent e JOIN qr q USING (complaint_id))
+"""
+    return head + entries
+
+
+@register("external_validation", "C10 P9 A10 A11 A12",
+          lambda: _external_sql("validation") + "SELECT m.*, 'handwritten_validation' AS evaluation_set FROM ("
+                  + O.metrics_sql("pred") + ") m")
+def external_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _external_verdicts(spark, sf_dir, "validation")
+    pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
+    return EV.round_metrics(EV.macro_metrics(pred), 4).withColumn("evaluation_set", F.lit("handwritten_validation"))
+
+
+@register("cfpb_benchmark", "C11 A10 A11",
+          lambda: _external_sql("cfpb") + "SELECT model, accuracy, precision, recall, f1_score FROM ("
+                  + O.metrics_sql("pred") + ") m")
+def cfpb_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _external_verdicts(spark, sf_dir, "cfpb")
+    pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
+    return EV.round_metrics(EV.macro_metrics(pred), 4).select("model", "accuracy", "precision", "recall", "f1_score")
