@@ -67,3 +67,17 @@ def _write_csv(spark, c, out):
     sel = c.select(*[F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias(n) if n == "created_at" else n
                      for n in cols])
     return IO.save_table(sel, os.path.join(out, "raw"), "csv")
+
+
+def test_length_density_matches_brute_force(spark):
+    import numpy as np
+    from casewise.functions.text import word_count
+    from casewise.operators.reports import length_density
+    from casewise.sources.tables import read_table
+    d = read_table(spark, SF_SMALL, "documents")
+    out = length_density(d, "text", 25).orderBy("word_count").collect()
+    w = np.array([r[0] for r in d.select(word_count(F.col("text"))).collect()], dtype=float)
+    h = w.std(ddof=1) * len(w) ** (-0.2)
+    for r in out:
+        ref = np.exp(-0.5 * ((r.word_count - w) / h) ** 2).sum() / (len(w) * h * np.sqrt(2 * np.pi))
+        assert abs(r.density - ref) <= 1e-12 * max(ref, 1e-300)
