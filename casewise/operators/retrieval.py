@@ -18,7 +18,6 @@ from ..functions.scores import clamp_milli, fmt_fixed, milli_fmt2, milli_to_doub
 from .rules import rule_triage
 from .similar import similar_complaints
 
-RETRIEVED_FMT = "Retrieved {n} semantically similar complaints via FAISS."
 
 
 def _vote(neigh: Column, field: str) -> Column:
