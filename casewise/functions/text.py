@@ -87,10 +87,11 @@ def preprocess_text(col, stopwords: list[str] | None = None) -> Column:
 def word_count(col) -> Column:
     """number of whitespace-separated words (Python ``len(str.split())``); null -> 0.
 
-    Counted without building an array: every non-space run becomes one 'x'.
+    After ``normalize_text`` words are separated by single spaces, so the count
+    is the number of spaces plus one (no array is built).
     """
-    runs = F.regexp_replace(F.coalesce(_c(col), F.lit("")), NON_WS_CLASS + "+", "x")
-    return F.length(F.regexp_replace(runs, WS_CLASS + "+", ""))
+    n = normalize_text(col)
+    return F.when(n == "", F.lit(0)).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1)
 
 
 def extract_entities(normalized) -> Column:
