@@ -28,6 +28,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value, body) -> Column:
+    """Evaluate ``value`` once and return ``body(v)`` with ``v`` bound to it.
+
+    Expressions referenced several times inside conditional branches (CASE,
+    OR chains) are not shared by subexpression elimination; binding them to a
+    lambda variable computes them once per row.
+    """
+    return F.transform(F.array(_c(value)), body)[0]
+
+
 def py_strip(col) -> Column:
     """Python ``str.strip()``: drop leading/trailing Unicode whitespace."""
     return F.regexp_replace(_c(col), "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
@@ -90,21 +100,24 @@ def word_count(col) -> Column:
     After ``normalize_text`` words are separated by single spaces, so the count
     is the number of spaces plus one (no array is built).
     """
-    n = normalize_text(col)
-    return F.when(n == "", F.lit(0)).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1)
+    return bind(normalize_text(col), lambda n: F.when(n == "", F.lit(0)).otherwise(
+        F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1))
 
 
 def extract_entities(normalized) -> Column:
     """F8: entity labels whose vocabulary hits the text as a substring, label order kept."""
-    t = _c(normalized)
-    hits = []
-    for label, words in ENTITY_VOCAB:
-        cond = None
-        for w in words:
-            c = t.contains(w)
-            cond = c if cond is None else (cond | c)
-        hits.append(F.when(cond, F.lit(label)))
-    return F.array_compact(F.array(*hits))
+    def labels(t: Column) -> Column:
+        hits = []
+        for label, words in ENTITY_VOCAB:
+            cond = None
+            for w in words:
+                c = t.contains(w)
+                cond = c if cond is None else (cond | c)
+            hits.append(F.when(cond, F.lit(label)))
+        return F.array_compact(F.array(*hits))
+    if isinstance(normalized, str):
+        return labels(F.col(normalized))
+    return bind(normalized, labels)
 
 
 # Template signature (F14).  The order of masks is part of the behaviour:
@@ -131,8 +144,7 @@ def template_group(col, fixed: bool = False) -> Column:
 
 def join_texts(text, finding, joiner: str = "\n\nImage findings: ") -> Column:
     """customer text and an extra finding; both stripped, whichever is non-empty."""
-    a = F.coalesce(py_strip(text), F.lit(""))
-    b = F.coalesce(py_strip(finding), F.lit(""))
-    return (F.when((a != "") & (b != ""), F.concat(a, F.lit(joiner), b))
-             .when(a != "", a)
-             .otherwise(b))
+    pair = F.struct(F.coalesce(py_strip(text), F.lit("")).alias("a"),
+                    F.coalesce(py_strip(finding), F.lit("")).alias("b"))
+    return bind(pair, lambda p: F.when((p["a"] != "") & (p["b"] != ""), F.concat(p["a"], F.lit(joiner), p["b"]))
+                                 .when(p["a"] != "", p["a"]).otherwise(p["b"]))

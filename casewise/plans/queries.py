@@ -554,7 +554,8 @@ SELECT complaint_id, v_message = 'valid' AS is_valid, v_message AS message,
        CASE WHEN v_message = 'valid' THEN array_to_string(v_entities, ', ') END AS detected_entities
 FROM (SELECT complaint_id, {O.validate_sql('model_response')} FROM c)""")
 def response_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = complaint_view(spark, sf_dir).select("complaint_id", RS.validate_response("model_response").alias("v"))
+    c = RS.with_validation(complaint_view(spark, sf_dir).select("complaint_id", "model_response"),
+                           "model_response", "v")
     ok = F.col("v.ok")
     return c.select("complaint_id", ok.alias("is_valid"), F.col("v.message").alias("message"),
                     F.when(ok, F.col("v.core_issue")).alias("core_issue"),
@@ -584,7 +585,7 @@ def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, train = _test_train(spark, sf_dir)
     q = _retrieval_triage(test.select("complaint_id", "complaint_text", "model_response"), train, 5,
                           out_col="retrieval")
-    m = q.select("complaint_id", RS.merge_response("retrieval", "model_response").alias("m"))
+    m = RS.with_merge(q, "retrieval", "model_response", "m")
     return m.select("complaint_id", F.col("m.core_issue").alias("core_issue"), F.col("m.department").alias("department"),
                     F.col("m.priority").alias("priority"), F.col("m.confidence_score").alias("confidence_score"),
                     F.col("m.analysis_mode").alias("analysis_mode"),
