@@ -102,3 +102,15 @@ def retrieval_triage(queries: DataFrame, corpus: DataFrame, k: int = L.DEFAULT_T
     verdict = retrieval_verdict(F.col(baseline_col), cols)
     keep = [c for c in queries.columns if c != out_col]
     return joined.select(*[q[c] for c in keep], verdict.alias(out_col))
+
+
+def retrieved_table(df: DataFrame, id_col: str = "complaint_id", verdict_col: str = "analysis") -> DataFrame:
+    """One row per retrieved neighbour of each verdict (``inline`` of the example array)."""
+    return df.select(F.col(id_col).alias("query_id"),
+                     F.posexplode(F.col(verdict_col)["retrieved_examples"]).alias("pos", "ex")) \
+             .select("query_id", (F.col("pos") + 1).alias("rank"), "ex.*")
+
+
+def verdict_json(verdict_col: str = "analysis") -> Column:
+    """The verdict as one JSON object per row."""
+    return F.to_json(F.col(verdict_col))

@@ -371,7 +371,7 @@ def retrieval_ctes(nn: str, corpus: str, queries_rules: str, name: str = "rag")
                 f"'; average similarity: ' || {fmt_fixed_sql(avg_centi, 2)} || '.']")
     return f"""
 {name}_nb AS MATERIALIZED (
-  SELECT nn.qid, nn.rank, CAST(floor(nn.score * 1000 + 0.5) AS BIGINT) AS milli,
+  SELECT nn.qid, nn.did, nn.rank, CAST(floor(nn.score * 1000 + 0.5) AS BIGINT) AS milli,
          coalesce(d.true_department, 'Customer Service') AS department,
          coalesce(d.true_priority, 'Medium') AS priority,
          coalesce(d.true_core_issue, 'General complaint requiring manual triage') AS core_issue

@@ -793,3 +793,19 @@ def cfpb_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _external_verdicts(spark, sf_dir, "cfpb")
     pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
     return EV.round_metrics(EV.macro_metrics(pred), 4).select("model", "accuracy", "precision", "recall", "f1_score")
+
+
+from ..operators.retrieval import retrieved_table  # noqa: E402
+
+
+@register("retrieved_examples", "P15 J5 F22",
+          lambda: _retrieval_sql_prefix() + """
+SELECT nb.qid AS query_id, CAST(nb.rank AS INTEGER) AS rank, CAST(d.complaint_id AS VARCHAR) AS complaint_id,
+       coalesce(d.complaint_text, '') AS complaint_text, nb.department, nb.priority, nb.core_issue,
+       CAST(nb.milli AS DOUBLE) / 1000.0 AS similarity
+FROM rag_nb nb JOIN c d ON d.complaint_id = nb.did""")
+def retrieved_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, train = _test_train(spark, sf_dir)
+    out = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5)
+    return retrieved_table(out).select("query_id", F.col("rank").cast("int"), "complaint_id", "complaint_text",
+                                       "department", "priority", "core_issue", "similarity")
