@@ -90,7 +90,7 @@ def rule_triage(df: DataFrame, text_col: str = "complaint_text", out_col: str =
     s = F.col(_TMP + "s")
     best2 = F.array_max(s)
     best_ord = F.array_position(s, best2) - 1          # first issue with the top score
-    n_matches = F.size(F.filter(hit, lambda x: x))
+    n_matches = F.expr("(" + " + ".join(f"CAST({h(term.ord)} AS INT)" for term in terms) + ")")
     evidence = F.expr("slice(array_compact(array(" + ", ".join(
         f"CASE WHEN {h(term.ord)} THEN {X.lit(term.evidence)} END" for term in terms) + ")), 1, 4)")
 
