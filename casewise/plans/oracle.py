@@ -252,7 +252,7 @@ FROM ({rule_verdict_sql(src, text_col, keep)}) rv
 # Text functions
 # ---------------------------------------------------------------------------
 
-PUNCT_SQL = q(__import__("string").punctuation)
+PUNCT_SQL = q(L.PUNCTUATION)
 
 
 def clean_sql(col: str) -> str:

@@ -604,6 +604,7 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Generators (S12-S16, S15, F18-F20, J11-J13) and I/O
 # ---------------------------------------------------------------------------
 
+from ..schemas import WAREHOUSE  # noqa: E402
 from ..sources import generate as GEN  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
@@ -641,7 +642,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
     from ..session import ensure_checkpoint_dir
     c = complaint_view(spark, sf_dir)
-    cols = [f.name for f in __import__("casewise.schemas", fromlist=["WAREHOUSE"]).WAREHOUSE.fields]
+    cols = [f.name for f in WAREHOUSE.fields]
     out = c.select(*[F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias(n) if n == "created_at" else F.col(n)
                      for n in cols])
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
