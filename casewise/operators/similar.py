@@ -125,7 +125,7 @@ def _block_fn(mode: str, k: int, width: int, exclude_self: bool, normalize: bool
         qm32 = qm.astype(np.float32)
         dm32 = dm.astype(np.float32)
         out_q, out_d, out_s = [], [], []
-        step = 8192
+        step = 4096
         for start in range(0, len(did), step):
             sl = slice(start, start + step)
             approx = qm32 @ dm32[sl].T
@@ -166,7 +166,7 @@ def _block_fn(mode: str, k: int, width: int, exclude_self: bool, normalize: bool
 def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: str = "qid", q_vec: str = "v",
                   d_id: str = "did", d_vec: str = "v", mode: str = "sparse", width: int = HASH_WIDTH,
                   exclude_self: bool = False, normalize: bool = True,
-                  q_block: int = 4096, d_block: int = 8192) -> DataFrame:
+                  q_block: int = 8192, d_block: int = 8192) -> DataFrame:
     """Exact top-k by similarity: rows (qid, did, score, rank), rank 1 = best.
 
     ``mode='sparse'``: vectors are arrays of bucket ids (``hash_tokens``);
