@@ -97,34 +97,38 @@ def leakage(split_df: DataFrame) -> DataFrame:
 
 def macro_metrics(pred: DataFrame, model_col: str = "model", true_col: str = "true_department",
                   pred_col: str = "predicted_department", conf_col: str | None = "confidence_score") -> DataFrame:
-    """A10-A12 per model: accuracy, macro precision / recall / F1, mean confidence (all unrounded doubles)."""
-    base = pred.select(F.col(model_col).alias("model"), F.col(true_col).alias("y"), F.col(pred_col).alias("p"),
-                       (F.round(F.col(conf_col) * 1000).cast("long") if conf_col else F.lit(0)).alias("milli"))
-    overall = base.groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum((F.col("y") == F.col("p")).cast("long")).alias("correct"),
-        F.sum("milli").alias("milli_sum"))
-    # One row per (model, label) with tp / fp / fn, labels = union of truth and prediction.
-    labelled = base.select("model", F.explode(F.array(
-        F.struct(F.col("y").alias("label"), (F.col("y") == F.col("p")).cast("int").alias("tp"),
-                 F.lit(0).alias("fp"), (F.col("y") != F.col("p")).cast("int").alias("fn")),
-        F.struct(F.col("p").alias("label"), F.lit(0).alias("tp"),
-                 (F.col("y") != F.col("p")).cast("int").alias("fp"), F.lit(0).alias("fn")))).alias("e"))
-    per_class = (labelled.where(F.col("e.label").isNotNull())
-                 .groupBy("model", F.col("e.label").alias("label"))
-                 .agg(F.sum("e.tp").alias("tp"), F.sum("e.fp").alias("fp"), F.sum("e.fn").alias("fn")))
-    prec = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    rec = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0,
-                2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
-    macro = (per_class.select("model", prec.alias("pr"), rec.alias("rc"), f1.alias("f1"))
-             .groupBy("model").agg(F.avg("pr").alias("precision"), F.avg("rc").alias("recall"),
-                                   F.avg("f1").alias("f1_score"), F.count(F.lit(1)).alias("n_labels")))
-    return (overall.join(macro, "model")
-            .select("model", "n", (F.col("correct") / F.col("n")).alias("accuracy"),
-                    "precision", "recall", "f1_score",
-                    (F.col("milli_sum").cast("double") / (F.col("n") * F.lit(1000.0))).alias("avg_confidence"),
-                    "n_labels"))
+    """A10-A12 per model: accuracy, macro precision / recall / F1, mean confidence (all unrounded doubles).
+
+    One aggregation chain (per model and label, then per model), so the
+    predictions, and everything upstream of them, are computed once.
+    """
+    y, p = F.col(true_col), F.col(pred_col)
+    milli = F.round(F.col(conf_col) * 1000).cast("long") if conf_col else F.lit(0).cast("long")
+    hit = (y == p).cast("int")
+    miss = (y != p).cast("int")
+    # Every row contributes once under its true label (tp, fn and the row totals) and
+    # once under its predicted label (fp); labels = union of truth and prediction.
+    rows = pred.select(F.col(model_col).alias("model"), F.explode(F.array(
+        F.struct(y.alias("label"), hit.alias("tp"), F.lit(0).alias("fp"), miss.alias("fn"),
+                 F.lit(1).alias("n"), hit.alias("correct"), milli.alias("milli")),
+        F.struct(p.alias("label"), F.lit(0).alias("tp"), miss.alias("fp"), F.lit(0).alias("fn"),
+                 F.lit(0).alias("n"), F.lit(0).alias("correct"), F.lit(0).cast("long").alias("milli")))).alias("e"))
+    per_class = rows.groupBy("model", F.col("e.label").alias("label")).agg(
+        *[F.sum(f"e.{c}").alias(c) for c in ["tp", "fp", "fn", "n", "correct", "milli"]])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    has = F.col("label").isNotNull()
+    prec = F.when(has, F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0))
+    rec = F.when(has, F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0))
+    f1 = F.when(has, F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0))
+    per_model = per_class.groupBy("model").agg(
+        F.sum("n").alias("n"), F.sum("correct").alias("correct"), F.sum("milli").alias("milli_sum"),
+        F.avg(prec).alias("precision"), F.avg(rec).alias("recall"), F.avg(f1).alias("f1_score"),
+        F.count("label").alias("n_labels"))
+    return per_model.select(
+        "model", F.col("n").cast("long").alias("n"), (F.col("correct") / F.col("n")).alias("accuracy"),
+        "precision", "recall", "f1_score",
+        (F.col("milli_sum").cast("double") / (F.col("n") * F.lit(1000.0))).alias("avg_confidence"),
+        F.col("n_labels").cast("long").alias("n_labels"))
 
 
 def round_metrics(metrics: DataFrame, places: int = 4) -> DataFrame:
