@@ -1,3 +1,9 @@
-"""casewise: complaint triage analytics as Spark DataFrame jobs."""
+"""casewise: complaint triage analytics and corpus preparation on Spark."""
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get this package's functions by value: they need no copy of the package on
+# their path, on executors that join later either.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

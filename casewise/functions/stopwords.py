@@ -1,29 +1,28 @@
 """English stopwords for keyword counts and TF-IDF.
 
-The list is Spark ML's own default (``StopWordsRemover.loadDefaultStopWords``),
-read straight from the bundled Spark ML jar so that no JVM is needed and the
-DuckDB oracle uses exactly the same words.  Callers may pass any other list.
+The list is package data (no jar, file or JVM is looked up), so Spark and the
+DuckDB oracle use exactly the same words wherever they run.  Callers may pass
+any other list.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
-_RESOURCE = "org/apache/spark/ml/feature/stopwords/{lang}.txt"
+# The 181 English stopwords that Spark ML's StopWordsRemover uses by default.
+ENGLISH = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+    herself it its itself they them their theirs themselves what which who whom this that these those am is
+    are was were be been being have has had having do does did doing a an the and but if or because as until
+    while of at by for with about against between into through during before after above below to from up
+    down in out on off over under again further then once here there when where why how all any both each
+    few more most other some such no nor not only own same so than too very s t can will just don should now
+    i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're
+    they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't
+    won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's
+    there's what's when's where's who's why's would
+"""
 
 
-@functools.lru_cache(maxsize=None)
 def default_stopwords(lang: str = "english") -> tuple[str, ...]:
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            try:
-                raw = z.read(_RESOURCE.format(lang=lang)).decode("utf-8")
-            except KeyError:
-                continue
-            return tuple(w.strip() for w in raw.splitlines() if w.strip())
-    raise FileNotFoundError(f"no Spark ML stopword list for {lang!r}")
+    if lang != "english":
+        raise ValueError(f"no stopword list for {lang!r}: pass your own words")
+    return tuple(ENGLISH.split())

@@ -48,11 +48,11 @@ def get_spark(master: str | None = None, app_name: str = "casewise",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only if unset.
+    """The cluster's shared ``spark.checkpoint.dir``; a scratch folder only for local runs.
 
     On a cluster the setting names a shared folder (HDFS/S3/ABFS) so that
-    checkpoints survive executor loss.  Only local runs (tests) fall back to a
-    fresh temporary folder.
+    checkpoints survive executor loss.  A cluster session without it raises:
+    a machine-local folder would lose rows.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -60,18 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        master = sc.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="casewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-def checkpoint(df, eager: bool = True):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def spread(df, *keys: str):
     """Hash-partition ``df`` by ``keys`` when it has fewer partitions than the cluster has cores.
 
