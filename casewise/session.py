@@ -88,16 +88,25 @@ def spread(df, *keys: str):
     return df.repartition(cores, *[F.col(k) for k in keys]) if keys else df.repartition(cores)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df, name: str = "stage"):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     This cuts lineage like ``checkpoint()`` but costs one job instead of two
     (a reliable RDD checkpoint recomputes its input unless cached), and the
-    result is columnar: later readers prune columns and push filters.
+    result is columnar: later readers prune columns and push filters.  The
+    shuffle files of the writing query are released as soon as it ends.
     """
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
