@@ -97,8 +97,10 @@ def with_parsed(df: DataFrame, text_col: str) -> DataFrame:
 
 def quote_links(units: DataFrame) -> DataFrame:
     """(conv, turn, parent, n_linked) of messages with a linked quote; units: (conv, turn, level, passage, hash)."""
-    first = (units.filter("level = 0").groupBy("conv", "passage", "hash").agg(F.min("turn").alias("origin")))
-    quoted = units.filter("level > 0").distinct()
+    # Both sides of the join are written tables, so a passage that a whole conversation quotes is split over tasks.
+    first = units.filter("level = 0").groupBy("conv", "passage", "hash").agg(F.min("turn").alias("origin"))
+    first = materialize(first, "quote_origins")
+    quoted = materialize(units.filter("level > 0").distinct(), "quoted")
     found = quoted.join(first, ["conv", "passage", "hash"]).filter("origin < turn")
     votes = found.groupBy("conv", "turn", "level", "origin").agg(
         F.count_if("passage").alias("passages"), F.count_if(~F.col("passage")).alias("lines"))

@@ -193,10 +193,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = mark(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Both sides of these joins are written tables, so the edges of a large star are split over tasks.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large.filter("u <> v"), "large_star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter("u <> v").distinct(), "small_star")
@@ -219,9 +220,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = materialize(with_fingerprint(rows, "_text", shingle).select("_id", "_fp"), "fingerprints")
     least = rows.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    roots = least.join(_roots(rows, radius), "_fp")
-    named = materialize(roots.join(roots.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root")
-                        .select("_fp", "component_id"), "near_classes")
+    roots = materialize(least.join(_roots(rows, radius), "_fp"), "near_roots")
+    names = materialize(roots.groupBy("_root").agg(F.min("_least").alias("component_id")), "near_names")
+    named = materialize(roots.join(names, "_root").select("_fp", "component_id"), "near_classes")
     return rows.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
                                           "component_id")
 
