@@ -196,6 +196,7 @@ def _classify(runs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]
     again = groups.filter("members > 1").select("core", "whole")
     spans = materialize(open_runs.join(again, ["core", "whole"], "left_semi").select("_id", "_crc", "span"), "spans")
     edges = groups.groupBy("core").agg(F.min("members").alias("least")).filter("least = 1").select("core")
+    edges = materialize(edges, "edges")           # a written table: a digest with many contents is split over tasks
     split = groups.join(edges, "core", "left_semi").select("_id", "_crc", "span")
     return spans, materialize(split, "split")
 
