@@ -22,6 +22,11 @@ def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(doc), f"array<struct<{schema}>>")))
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``_in``, so that no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in")
+
+
 def row_hashes(df: DataFrame, seed: int, n: int) -> list[Column]:
     """``n`` independent 64-bit hashes of a whole row (columns that hold maps are left out)."""
 

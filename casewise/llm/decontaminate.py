@@ -37,6 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 WORD = re.compile(r"\w+")
 MATCH = "array<struct<item:long, start:int, n_words:int, distance:int, similarity:double>>"
 BLOCKS = 8
@@ -205,7 +207,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
           min_similarity: float = 0.8, radius: int = 24, items_per_block: int = 20_000) -> DataFrame:
     """Rows of ``df`` that contain no benchmark item."""
-    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(packed(df), F.col(text_col).alias("_text"))
     for items in _blocks(benchmark, item_col, item_text_col, items_per_block):
-        df = _with_matches(df, text_col, items, radius, min_similarity, "_m").filter(F.size("_m") == 0).select(*names)
-    return df
+        rows = _with_matches(rows, "_text", items, radius, min_similarity, "_m").filter(F.size("_m") == 0)
+    return rows.select("_in.*")

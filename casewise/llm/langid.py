@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_WORD = 24
 MAX_PIECE = 12
@@ -51,11 +53,16 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
     return sorted(found)
 
 
-def split_words(text: str) -> list[str]:
-    words = LETTERS.findall(text.lower())
-    if all(len(w) <= MAX_WORD for w in words):
-        return words
-    return [w[i:i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
+def count_words(text: str) -> Counter:
+    """Words of a text with their counts."""
+    words = Counter(LETTERS.findall(text.lower()))
+    odd = [w for w in words if len(w) > MAX_WORD or not w.isalpha()]
+    for w in odd:                        # long runs are cut; superscripts and the like are no letters
+        n = words.pop(w)
+        for run in "".join(c if c.isalpha() else " " for c in w).split():
+            for i in range(0, len(run), MAX_WORD):
+                words[run[i:i + MAX_WORD]] += n
+    return words
 
 
 class Lattice:
@@ -207,8 +214,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                    .groupBy("_lang", "_word").count())
     table: Counter = Counter()
     for r in counted.collect():
-        for w in split_words(r["_word"]):
-            table[r["_lang"], w] += r["count"]
+        for w, n in count_words(r["_word"]).items():
+            table[r["_lang"], w] += n * r["count"]
     return fit([(lang, w, n) for (lang, w), n in table.items()], pieces)
 
 
@@ -224,7 +231,7 @@ def scorer(model: dict, memo: int = 400_000):
             # A slice holds a bounded number of characters, so memory follows no batch of long texts.
             names, best = [], []
             for part in _slices(batch.tolist()):
-                words = [Counter(split_words(t)) if t else Counter() for t in part]
+                words = [count_words(t) if t else Counter() for t in part]
                 new = list({w for c in words for w in c if w not in known})
                 if len(known) + len(new) > memo:
                     known, values = {}, values[:0]
@@ -269,9 +276,8 @@ def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from score(batches)
 
-    out = df.withColumn("_p", predicted(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_p.lang_pred").alias("lang_pred"),
-                      F.col("_p.score").alias("score"))
+    out = df.select(packed(df), predicted(F.col(text_col)).alias("_p"))
+    return out.select("_in.*", F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
 def split_held_out(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import small
+from .common import packed, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -74,12 +74,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         preference: str | None = None, cap: int = 3, seed: int = 9, rows_per_bucket: int = 1 << 14) -> DataFrame:
     """``df`` with ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``cap``)."""
     df = df.drop("size", "source_size", "target", "copies")
-    names = df.columns
     size = words(F.col(text_col))
     prefer = F.coalesce(F.col(preference).cast("double"), F.lit(1.0)) if preference else F.lit(1.0)
-    sized = df.select("*", size.alias("_size"), prefer.alias("_prefer"), F.col(source_col).alias("_source"))
-    sized = sized.withColumn("_u", random_unit(F.col(id_col), F.col("_size"), seed))
-    slim = materialize(sized.select(F.col(id_col).alias("_id"), "_source", "_size", "_prefer", "_u"), "mixing")
+    sized = df.select(packed(df), F.col(id_col).alias("_id"), size.alias("_size"), prefer.alias("_prefer"),
+                      F.col(source_col).alias("_source")).withColumn("_u", random_unit(F.col("_id"), F.col("_size"), seed))
+    slim = materialize(sized.drop("_in"), "mixing")
     plan = materialize(targets(slim, cap), "mixing_targets")
     plan = (plan.withColumn("_certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                             .otherwise(F.lit(0)).cast("long"))
@@ -114,11 +113,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     plan = materialize(plan.join(near, F.col("_source").eqNullSafe(F.col("_cs")), "left").drop("_cs"), "mixing_cuts")
     b = F.floor(F.col("_v") * buckets)
     at_cut = (F.col("_v") < F.col("_cut._v")) | ((F.col("_v") == F.col("_cut._v")) & (
-        F.col(id_col).eqNullSafe(F.col("_cut._id")) | F.coalesce(F.col(id_col) < F.col("_cut._id"), F.col(id_col).isNull())))
+        F.col("_id").eqNullSafe(F.col("_cut._id")) | F.coalesce(F.col("_id") < F.col("_cut._id"), F.col("_id").isNull())))
     drawn = F.when(F.col("_bucket").isNull(), F.lit(True)).otherwise(
         (b < F.col("_bucket")) | ((b == F.col("_bucket")) & F.coalesce(at_cut, F.lit(False))))
     copies = F.col("_certain") + F.when(F.col("_v").isNotNull() & drawn, 1).otherwise(0)
-    return ranked(sized, plan).select(*[F.col(f"`{c}`") for c in names], F.col("_size").alias("size"), "source_size", "target",
+    return ranked(sized, plan).select("_in.*", F.col("_size").alias("size"), "source_size", "target",
                                       copies.cast("int").alias("copies"))
 
 

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import packed
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 WROTE = re.compile(r"\bwrote:\s*$", re.I)
@@ -128,15 +129,16 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     """``df`` in reply order with ``parent_turn``, ``root_turn``, ``depth``, ``n_quoted``, ``n_linked`` (linked quoted
     lines), ``reply`` and ``formatted`` (role header and reply)."""
     df = df.drop("parent_turn", "root_turn", "depth", "n_quoted", "n_linked", "reply", "formatted")
-    parsed = with_parsed(df, text_col)
-    units = (parsed.filter(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull())
-             .select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.inline("_p.units")))
+    rows = df.select(packed(df), F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), F.col(text_col).alias("_text"),
+                     F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("_role"))
+    parsed = with_parsed(rows, "_text")
+    units = (parsed.filter(F.col("_conv").isNotNull() & F.col("_turn").isNotNull())
+             .select(F.col("_conv").alias("conv"), F.col("_turn").alias("turn"), F.inline("_p.units")))
     links = thread_roots(quote_links(materialize(units, "quote_units")))
-    links = links.withColumnsRenamed({"conv": "_conv", "turn": "_turn"})
-    rows = parsed.join(links, (F.col(conv_col) == F.col("_conv")) & (F.col(turn_col) == F.col("_turn")), "left")
-    header = F.concat(F.lit("<|"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")), F.lit("|>\n"))
-    out = rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col("parent").alias("parent_turn"),
-                      F.coalesce("root", F.col(turn_col)).alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
-                      F.col("_p.n_quoted").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-                      F.col("_p.reply").alias("reply"), F.concat(header, F.col("_p.reply")).alias("formatted"))
-    return out.orderBy(conv_col, "root_turn", turn_col)
+    joined = parsed.join(links, (F.col("_conv") == F.col("conv")) & (F.col("_turn") == F.col("turn")), "left")
+    root = F.coalesce("root", "_turn")
+    out = joined.orderBy("_conv", root, "_turn")
+    return out.select("_in.*", F.col("parent").alias("parent_turn"), root.alias("root_turn"),
+                      F.coalesce("depth", F.lit(0)).alias("depth"), F.col("_p.n_quoted").alias("n_quoted"),
+                      F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("_p.reply").alias("reply"),
+                      F.concat(F.lit("<|"), F.col("_role"), F.lit("|>\n"), F.col("_p.reply")).alias("formatted"))

@@ -8,10 +8,10 @@ first ones go to shard 0, the next to shard 1 and so on; after the exchange
 every shard is permuted again.
 
 Partitions are a hash of the row, not of the file split, so a lost executor
-or another cluster size gives the same result.  Both permutations are windows over cells whose
-number grows with the table (``rows_per_cell``), so no task sorts a whole
-shard.  The driver holds the matrix only: partitions x shards integers, about
-one partition per ``rows_per_cell`` rows.
+or another cluster size gives the same result.  Both permutations rank rows by
+hashed cells of about ``rows_per_cell`` rows and number them from the cells'
+counts, so no task sorts a whole partition or shard.  The driver holds the
+matrix only: ``partitions`` x ``shards`` integers, whatever the size of the table.
 
 Edge cases: rows need no id and may hold nulls; identical rows are dealt like any
 others (they share a cell); an empty table gives an empty result; an input column
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import literal_table, row_hashes, small
+from .common import literal_table, packed, row_hashes, small
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -65,30 +65,33 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[
     return matrix
 
 
-def shard_documents(df: DataFrame, shards: int = 24, seed: int = 8, rows_per_cell: int = 1 << 18,
-                    min_partitions: int = 256) -> DataFrame:
+def _ranked(df: DataFrame, group: str, cells: int, order: list, out: str, groups: int) -> DataFrame:
+    """``out``: rank from 0 of each row in its group, ordered by hashed cell (``_cell``), then ``order``."""
+    inside = Window.partitionBy(group).orderBy("_cell")
+    starts = (df.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_start", F.sum("_n").over(inside) - F.col("_n")).drop("_n"))
+    place = F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order)) - 1
+    return (df.withColumn("_place", place).join(small(starts, groups * cells, 24), [group, "_cell"])
+              .withColumn(out, F.col("_start") + F.col("_place")).drop("_start", "_place"))
+
+
+def shard_documents(df: DataFrame, shards: int = 24, seed: int = 8, partitions: int = 256, rows_per_cell: int = 1 << 13) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
-    spark = df.sparkSession
     df = df.drop("shard", "slot")
-    names = df.columns
     total = df.count()
-    parts = max(min_partitions, -(-total // rows_per_cell))
-    cells = -(-parts // shards)
-    h = row_hashes(df, seed, 3)
-    keyed = df.select("*", F.pmod(h[0], F.lit(parts)).cast("int").alias("_part"), h[1].alias("_k1"), h[2].alias("_k2"))
+    local, final = (max(1, -(-total // (n * rows_per_cell))) for n in (partitions, shards))
+    final = max(final, -(-partitions // shards))
+    h = row_hashes(df, seed, 5)
+    keyed = df.select(packed(df), F.pmod(h[0], F.lit(partitions)).cast("int").alias("_part"),
+                      F.pmod(h[1], F.lit(local)).cast("long").alias("_cell"), h[2].alias("_k1"), h[3].alias("_k2"),
+                      h[4].alias("_k3"))
     sizes = {r["_part"]: r["count"] for r in keyed.groupBy("_part").count().collect()}
-    matrix = communication_matrix([sizes.get(p, 0) for p in range(parts)], shards, seed)
+    matrix = communication_matrix([sizes.get(p, 0) for p in range(partitions)], shards, seed)
     upto = [{"_part": p, "_upto": np.cumsum(row).tolist()} for p, row in enumerate(matrix)]
-    bounds = small(literal_table(spark, upto, "_part int, _upto array<bigint>"), parts, 8 * shards)
-    local = Window.partitionBy("_part").orderBy("_k1", "_k2")
-    dealt = (keyed.withColumn("_rank", F.row_number().over(local)).join(bounds, "_part")
-                  .withColumn("shard", F.size(F.filter("_upto", lambda x: x < F.col("_rank"))).cast("int"))
-                  .withColumn("_cell", F.pmod(F.xxhash64("_k2", F.lit(seed)), F.lit(cells)).cast("int")))
-    in_shard = Window.partitionBy("shard").orderBy("_cell")
-    starts = (dealt.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-                   .withColumn("_start", F.sum("_n").over(in_shard) - F.col("_n")).drop("_n"))
-    final = Window.partitionBy("shard", "_cell").orderBy(F.xxhash64("_k1", F.lit(seed)), "_k1", "_k2")
-    return (dealt.withColumn("_place", F.row_number().over(final))
-                 .join(small(starts, shards * cells, 24), ["shard", "_cell"])
-                 .withColumn("slot", (F.col("_start") + F.col("_place") - 1).cast("long"))
-                 .select(*[F.col(f"`{c}`") for c in names], "shard", "slot"))
+    bounds = small(literal_table(df.sparkSession, upto, "_part int, _upto array<bigint>"), partitions, 8 * shards)
+    permuted = _ranked(keyed, "_part", local, ["_k1", "_k2"], "_rank", partitions)
+    dealt = (permuted.join(bounds, "_part")
+                     .withColumn("shard", F.size(F.filter("_upto", lambda x: x <= F.col("_rank"))).cast("int"))
+                     .withColumn("_cell", F.pmod(F.xxhash64("_k3", F.lit(seed)), F.lit(final)).cast("long")))
+    placed = _ranked(dealt.select("_in", "shard", "_cell", "_k1", "_k2", "_k3"), "shard", final, ["_k3", "_k1", "_k2"], "slot", shards)
+    return placed.select("_in.*", "shard", F.col("slot").cast("long").alias("slot"))

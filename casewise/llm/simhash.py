@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import row_hashes
+from .common import packed, row_hashes
 
 SLICE = 1 << 15
 
@@ -229,14 +229,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row of each component: that of the least id (null ids last); identical rows count as one."""
-    k1, k2 = row_hashes(df, 5, 2)
-    keyed = df.select("*", k1.alias("_k1"), k2.alias("_k2"))
-    rows = with_fingerprint(keyed.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), "_k1", "_k2"),
-                            "_text", shingle)
+    k1, k2 = (h.alias(n) for h, n in zip(row_hashes(df, 5, 2), ("_k1", "_k2")))
+    keyed = df.select(packed(df), k1, k2)
+    rows = with_fingerprint(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), k1, k2), "_text", shingle)
     rows = materialize(rows.select("_id", "_fp", "_k1", "_k2"), "fingerprints")
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_k1", "_k2")).alias("_first")
     best = rows.groupBy("_fp").agg(first)
     stays = (best.join(_roots(rows, radius), "_fp").groupBy("_root").agg(F.min("_first").alias("_first"))
                  .select("_first._k1", "_first._k2"))
     stays = materialize(stays, "near_kept")
-    return keyed.join(stays, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    return keyed.join(stays, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_in.*")

@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_table
+from .common import literal_table, packed
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
@@ -102,9 +102,9 @@ def filter_urls(df: DataFrame, model: LogisticRegressionModel, url_col: str = "u
     """``df`` with ``host``, ``path``, ``rule``, ``score`` (probability of block) and ``verdict``."""
     df = df.drop("host", "path", "rule", "score", "verdict")
     host, path = url_parts(F.col(url_col))
-    parts = df.select("*", host.alias("host"), path.alias("path"))
+    parts = df.select(packed(df), host.alias("host"), path.alias("path"))
     scored = model.transform(_features(parts, "host", "path", model.numFeatures))
     hit = matching_rule(F.col("host"), F.col("path"), rules)
     score = vector_to_array("probability")[1]
-    return scored.select(*[F.col(f"`{c}`") for c in parts.columns], hit["rule"].alias("rule"), score.alias("score"),
+    return scored.select("_in.*", "host", "path", hit["rule"].alias("rule"), score.alias("score"),
                          F.coalesce(hit["verdict"], F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"))
