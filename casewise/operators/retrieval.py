@@ -83,17 +83,19 @@ def retrieval_verdict(baseline: Column, s: dict) -> Column:
 
 def retrieval_triage(queries: DataFrame, corpus: DataFrame, k: int = L.DEFAULT_TOP_K, *,
                      id_col: str = "complaint_id", text_col: str = "complaint_text", out_col: str = "analysis",
-                     baseline_col: str | None = None, exclude_self: bool = False) -> DataFrame:
+                     baseline_col: str | None = None, exclude_self: bool = False,
+                     neigh: DataFrame | None = None) -> DataFrame:
     """Add the retrieval verdict ``out_col`` to every query row.
 
     ``corpus`` needs ``id_col``, ``text_col`` and the three ``true_*`` labels.
-    If ``baseline_col`` names an existing rule verdict it is reused.
+    If ``baseline_col`` names an existing rule verdict it is reused; ``neigh`` may bring the
+    neighbours along (a saved ``similar_complaints`` result for these queries).
     """
     q = queries
     if baseline_col is None:
         q = rule_triage(q, text_col, out_col="_baseline")
         baseline_col = "_baseline"
-    neigh = similar_complaints(queries.select(id_col, text_col), corpus, k, id_col=id_col, text_col=text_col,
+    neigh = neigh if neigh is not None else similar_complaints(queries.select(id_col, text_col), corpus, k, id_col=id_col, text_col=text_col,
                                exclude_self=exclude_self)
     summ = neighbour_summary(neigh)
     joined = q.join(summ, q[id_col].cast("long") == summ["query_id"], "left")

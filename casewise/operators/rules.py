@@ -83,16 +83,16 @@ def rule_triage(df: DataFrame, text_col: str = "complaint_text", out_col: str =
 
     issue_scores = []
     for issue_ord in range(n_issues):
-        parts = [f"CASE WHEN {h(term.ord)} THEN {int(round(term.weight * 2))} ELSE 0 END"
-                 for term in terms if term.issue_ord == issue_ord]
+        parts = [f"CASE WHEN {h(at)} THEN {int(round(term.weight * 2))} ELSE 0 END"
+                 for at, term in enumerate(terms) if term.issue_ord == issue_ord]
         issue_scores.append("(" + " + ".join(parts) + ")" if parts else "0")
     step2 = step1.withColumn(_TMP + "s", F.expr("array(" + ", ".join(issue_scores) + ")"))
     s = F.col(_TMP + "s")
     best2 = F.array_max(s)
     best_ord = F.array_position(s, best2) - 1          # first issue with the top score
-    n_matches = F.expr("(" + " + ".join(f"CAST({h(term.ord)} AS INT)" for term in terms) + ")")
+    n_matches = F.expr("(" + " + ".join(f"CAST({h(at)} AS INT)" for at in range(len(terms))) + ")")
     evidence = F.expr("slice(array_compact(array(" + ", ".join(
-        f"CASE WHEN {h(term.ord)} THEN {X.lit(term.evidence)} END" for term in terms) + ")), 1, 4)")
+        f"CASE WHEN {h(at)} THEN {X.lit(term.evidence)} END" for at, term in enumerate(terms)) + ")), 1, 4)")
 
     step3 = step2.select("*", best2.alias(_TMP + "best2"), best_ord.cast("int").alias(_TMP + "ord"),
                          n_matches.alias(_TMP + "nm"), evidence.alias(_TMP + "ev"),

@@ -18,9 +18,10 @@ Search
     than one block pair; no hot key exists because blocks are hash-assigned.
 
 Exactness
-    Sparse vectors carry integer counts, so block products are exact in float32
-    and the similarity ``dot / sqrt(n2q * n2d)`` is one IEEE division, the
-    same bits as the SQL oracle.  Ties go to the smaller corpus id.
+    Float32 block products only pick candidates; those are scored again in
+    float64, where integer counts are exact, so the similarity
+    ``dot / sqrt(n2q * n2d)`` has the same bits as the SQL oracle.  Ties go to
+    the smaller corpus id.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lexicon import HASH_WIDTH
+from ..session import materialize
 
 HASH_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -81,20 +83,22 @@ def _select_topk(rows: np.ndarray, cols: np.ndarray, exact: np.ndarray, k: int):
     return rows[keep], cols[keep], exact[keep]
 
 
-def _candidates(score: np.ndarray, k: int, valid: np.ndarray | None = None, margin: float = 1e-5):
+def _candidates(score: np.ndarray, k: int, valid: np.ndarray | None = None, margin: float = 1e-5,
+                scale: np.ndarray | float = 0.0):
     """(row, col) pairs whose approximate score can still be in the row's top k.
 
     ``score`` is a float32 estimate (relative error far below ``margin``);
     every pair whose exact score reaches the k-th best exact score survives,
     so the final exact ranking is unaffected.  Without ``valid``, only
-    positive scores count (sparse cosine).
+    positive scores count (sparse cosine).  ``scale`` is the size of the products
+    behind a score, where that can exceed the score itself.
     """
     n = score.shape[1]
     kk = min(k, n)
     if valid is not None:
         score = np.where(valid, score, np.float32(-np.inf))
     kth = np.partition(score, n - kk, axis=1)[:, n - kk:n - kk + 1]
-    thr = kth - np.abs(kth) * margin - margin * 1e-3
+    thr = kth - np.maximum(np.abs(kth), scale) * margin - margin * 1e-3
     if valid is None:
         return np.nonzero((score >= thr) & (score > 0))
     return np.nonzero((score >= thr) & np.isfinite(score))
@@ -137,25 +141,27 @@ def _block_fn(mode: str, k: int, width: int, exclude_self: bool, normalize: bool
                 valid = np.ones(approx.shape, dtype=bool) if mode == "dense" else approx > 0
                 if exclude_self:
                     valid &= qid[:, None] != did[None, sl]
-            rows, cols = _candidates(approx, k, valid)
-            # Exact scores for the candidates only.
-            dcols = cols + start
-            if mode == "sparse":
-                # Integer counts: float32 sums of these products are exact.
-                dots = np.einsum("ij,ij->i", qm32[rows], dm32[dcols]).astype(np.float64)
-                exact = dots / np.sqrt((n2q[rows] * n2d[dcols]).astype(np.float64))
-            else:
-                d64 = np.einsum("ij,ij->i", qm[rows], dm[dcols])
-                if normalize:
-                    den = np.sqrt(n2q[rows] * n2d[dcols])
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        exact = np.where(den > 0, d64 / den, 0.0)
-                else:
-                    exact = d64
-            rows, cols, exact = _select_topk(rows, dcols, exact, k)
-            out_q.append(qid[rows])
-            out_d.append(did[cols])
-            out_s.append(exact)
+            # Candidates of a few queries at a time, scored in float64 in slices: ties cannot fill the memory.
+            for top in range(0, len(qid), 256):
+                part = slice(top, top + 256)
+                scale = 0.0 if mode == "sparse" or normalize else np.sqrt(n2q[part, None] * n2d[sl].max())
+                rows, cols = _candidates(approx[part], k, None if valid is None else valid[part], scale=scale)
+                rows, cols = rows + top, cols + start
+                exact = np.empty(len(rows))
+                for i in range(0, len(rows), 16384):
+                    r, c = rows[i:i + 16384], cols[i:i + 16384]
+                    dot = np.einsum("ij,ij->i", qm[r].astype(np.float64), dm[c].astype(np.float64))
+                    if mode == "sparse":
+                        dot /= np.sqrt((n2q[r] * n2d[c]).astype(np.float64))
+                    elif normalize:
+                        den = np.sqrt(n2q[r] * n2d[c])
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            dot = np.where(den > 0, dot / den, 0.0)
+                    exact[i:i + 16384] = dot
+                rows, cols, exact = _select_topk(rows, cols, exact, k)
+                out_q.append(qid[rows])
+                out_d.append(did[cols])
+                out_s.append(exact)
         if not out_q:
             return empty
         return pd.DataFrame({"qid": np.concatenate(out_q), "did": np.concatenate(out_d),
@@ -193,8 +199,7 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: st
     # would coalesce them into a few lopsided tasks.  An explicit partition
     # count (which AQE keeps) spreads them; both sides share the same hash
     # partitioning, so the cogroup adds no further exchange.
-    cores = spark.sparkContext.defaultParallelism
-    n_parts = int(min(max(2 * qb_n * cb_n, cores), max(64 * cores, 2 * cores)))
+    n_parts = max(2 * qb_n * cb_n, spark.sparkContext.defaultParallelism)
     q = q.repartition(n_parts, "qb", "cb")
     d = d.repartition(n_parts, "qb", "cb")
     local = (q.groupBy("qb", "cb").cogroup(d.groupBy("qb", "cb"))
@@ -204,6 +209,36 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: st
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def distinct_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, *, exclude_self: bool = False,
+                   width: int = HASH_WIDTH, **blocks) -> DataFrame:
+    """Sparse top-k over distinct vectors: (qid, did, score, rank), the same rows as ``top_k_similar``.
+
+    Repeated texts are the normal case, and copies have equal vectors.  Each distinct vector is searched
+    once, under its least id; a corpus vector brings its ``k`` least ids along, and results are
+    expanded to all queries at the end.
+    """
+    keep = (k or 5) + int(exclude_self)
+    ordered = lambda df, i: df.select(i, F.array_sort("v").alias("v")).withColumn("key", F.sha2(F.array_join("v", ","), 256))
+    q, d = ordered(queries, "qid"), ordered(corpus, "did")
+    q_one = q.groupBy("key").agg(F.min("qid").alias("q0"), F.first("v").alias("v"))
+    near = d.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("did"))).where(F.col("r") <= keep)
+    d_one = materialize(near.groupBy("key").agg(F.min("did").alias("d0"), F.first("v").alias("v"),
+                                                F.sort_array(F.collect_list("did")).alias("dids")), "distinct_vectors")
+    q_one = materialize(q_one, "distinct_queries")
+    hits = top_k_similar(q_one.select(F.col("q0").alias("qid"), "v"), d_one.select(F.col("d0").alias("did"), "v"), keep,
+                         width=width, **blocks)
+    best = Window.partitionBy("q0").orderBy(F.desc("score"), F.asc("did"))
+    spread_out = (hits.select(F.col("qid").alias("q0"), F.col("did").alias("d0"), "score").join(d_one.select("d0", "dids"), "d0")
+                      .select("q0", "score", F.explode("dids").alias("did"))
+                      .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep))
+    rows = q.select("qid", "key").join(q_one.select("key", "q0"), "key").join(materialize(spread_out, "vector_neighbours"), "q0")
+    if not exclude_self:
+        return rows.select("qid", "did", "score", "rank")
+    mine = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("did"))
+    return (rows.where("qid <> did").withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= keep - 1)
+                .select("qid", "did", "score", "rank"))
+
+
 def similar_complaints(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_col: str = "complaint_id",
                        text_col: str = "complaint_text", exclude_self: bool = False) -> DataFrame:
     """C4: for each query complaint, the k most similar corpus complaints with their labels.
@@ -211,9 +246,9 @@ def similar_complaints(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_
     Returns (query_id, rank, complaint_id, complaint_text, department, priority,
     core_issue, similarity) with similarity clipped to [0, 1] and rounded to 3.
     """
-    qv = queries.select(F.col(id_col).alias("qid"), hash_tokens(text_col).alias("v"))
-    dv = corpus.select(F.col(id_col).alias("did"), hash_tokens(text_col).alias("v"))
-    hits = top_k_similar(qv, dv, k, exclude_self=exclude_self)
+    qv = queries.select(F.col(id_col).cast("long").alias("qid"), hash_tokens(text_col).alias("v"))
+    dv = corpus.select(F.col(id_col).cast("long").alias("did"), hash_tokens(text_col).alias("v"))
+    hits = distinct_top_k(qv, dv, k, exclude_self=exclude_self)
     meta = corpus.select(F.col(id_col).cast("long").alias("did"),
                          F.col(id_col).cast("string").alias("complaint_id"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("complaint_text"),

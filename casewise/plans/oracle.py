@@ -115,7 +115,7 @@ LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_
 
 
 def _responses_sql(k, issue, dept, prio) -> str:
-    kind = f"(({k} // 13) % 17)"
+    kind = f"(({k} // 13) % 21)"
 
     def obj(core=issue, ents="'[\"billing\", \"product delivery\"]'", d=dept, p=prio, task="'Handle the case.'",
             conf="'0.72'", reason="'\"model says so\"'", drop_reason=False):
@@ -140,6 +140,10 @@ def _responses_sql(k, issue, dept, prio) -> str:
             f"WHEN {kind} = 14 THEN {obj(conf=q('1.7'))} "
             f"WHEN {kind} = 15 THEN {obj(ents=q(chr(34) + 'billing, logistics' + chr(34)))} "
             f"WHEN {kind} = 16 THEN {obj(d=kind16_dept, p=f'lower({prio})', reason=q(chr(34) * 2))} "
+            f"WHEN {kind} = 17 THEN {obj()} || ' trailing text' "
+            f"WHEN {kind} = 18 THEN replace({obj()}, {q(chr(34))}, {q(chr(39))}) "
+            f"WHEN {kind} = 19 THEN {obj(conf=q(chr(34) + '0.5d' + chr(34)))} "
+            f"WHEN {kind} = 20 THEN {obj(conf=q('true'))} "
             f"ELSE {obj(conf=default_conf)} END")
 
 
@@ -448,13 +452,42 @@ def consensus_ctes(entries: str, name: str = "cons") -> str:
   FROM {name}_top t JOIN {name}_n n USING (complaint_id) JOIN {name}_win w USING (complaint_id))"""
 
 
-def label_verdict_task_sql(issue: str) -> str:
+def issue_task_sql(issue: str) -> str:
     issues = arr(L.ISSUE_NAMES)
     tasks = arr([L.ISSUE_TASK[i] for i in L.ISSUE_NAMES])
     return (f"CASE WHEN list_position({issues}, {issue}) > 0 THEN {tasks}[list_position({issues}, {issue})] "
             f"ELSE {q(L.DEPARTMENT_DEFAULT_TASKS['Customer Service'])} END")
 
 
+def bayes_ctes(queries: str, qvec: str, dvec: str, corpus: str, width: int = L.HASH_WIDTH) -> str:
+    """CTE nb(complaint_id, n_issue, n_dept, n_prio, n_milli): integer naive Bayes fitted on ``corpus`` rows
+    (a SELECT of complaint_id and labels) whose tokens are in ``dvec``."""
+    out = [f"nbc AS MATERIALIZED ({corpus})"]
+    for t, col in (("issue", "true_core_issue"), ("dept", "true_department"), ("prio", "true_priority")):
+        out.append(f"""
+nbn_{t} AS (SELECT {col} AS label, count(*) AS nd, sum(count(*)) OVER () AS total FROM nbc WHERE {col} IS NOT NULL GROUP BY 1),
+nbk_{t} AS (SELECT d.{col} AS label, v.bucket, sum(v.tf) AS n FROM {dvec} v JOIN nbc d ON d.complaint_id = v.id
+            WHERE d.{col} IS NOT NULL GROUP BY 1, 2),
+nbw_{t} AS MATERIALIZED (
+  SELECT a.label, b.bucket, CAST(round(1000 * ln((coalesce(k.n, 0) + 1.0::DOUBLE) / (coalesce(s.n, 0) + {width}.0::DOUBLE))) AS BIGINT) AS w
+  FROM nbn_{t} a CROSS JOIN (SELECT unnest(range({width})) AS bucket) b
+  LEFT JOIN nbk_{t} k ON k.label = a.label AND k.bucket = b.bucket
+  LEFT JOIN (SELECT label, sum(n) AS n FROM nbk_{t} GROUP BY 1) s ON s.label = a.label),
+nbs_{t} AS (SELECT q.complaint_id, a.label, CAST(round(1000 * ln(a.nd::DOUBLE / a.total::DOUBLE)) AS BIGINT) + coalesce(x.s, 0) AS score
+            FROM {queries} q CROSS JOIN nbn_{t} a
+            LEFT JOIN (SELECT v.id, w.label, sum(v.tf * w.w) AS s FROM {qvec} v JOIN nbw_{t} w USING (bucket) GROUP BY 1, 2) x
+                   ON x.id = q.complaint_id AND x.label = a.label),
+nbb_{t} AS (SELECT complaint_id, label, least(950, 400 + (score - coalesce(nxt, score - 20000)) // 20) AS milli FROM (
+              SELECT *, row_number() OVER o AS rn, lead(score) OVER o AS nxt FROM nbs_{t}
+              WINDOW o AS (PARTITION BY complaint_id ORDER BY score DESC, label)) WHERE rn = 1)""")
+    out.append("""
+nb AS MATERIALIZED (
+  SELECT i.complaint_id, i.label AS n_issue, d.label AS n_dept, p.label AS n_prio,
+         CAST((i.milli + d.milli + p.milli) // 3 AS BIGINT) AS n_milli
+  FROM nbb_issue i JOIN nbb_dept d USING (complaint_id) JOIN nbb_prio p USING (complaint_id))""")
+    return ",\n".join(out)
+
+
 def metrics_sql(pred: str) -> str:
     """SELECT of rounded macro metrics per model from a pred CTE (model, y, p, milli)."""
     return f"""
@@ -500,7 +533,9 @@ def validate_sql(s: str) -> str:
     dept = py_strip_sql(as_text(get("department")))
     prio_low = f"lower({py_strip_sql(f'coalesce({get(chr(112) + "riority")}, {q("")})')})"
     prio = "CASE " + " ".join(f"WHEN {prio_low} = '{p.lower()}' THEN '{p}'" for p in L.PRIORITIES) + " END"
-    conf = f"TRY_CAST({py_strip_sql(get('confidence_score'))} AS DOUBLE)"
+    conf = (f"(CASE WHEN json_type({s}, '$.confidence_score') = 'BOOLEAN' "
+            f"THEN CASE WHEN {get('confidence_score')} = 'true' THEN 1.0 ELSE 0.0 END "
+            f"ELSE TRY_CAST({py_strip_sql(get('confidence_score'))} AS DOUBLE) END)")
     core = py_strip_sql(as_text(get("core_issue")))
     task = py_strip_sql(as_text(get("actionable_task")))
     why = py_strip_sql(as_text(get("reasoning")))

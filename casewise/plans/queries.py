@@ -266,12 +266,32 @@ SPLIT_COLUMNS = ["complaint_id", "complaint_text", "true_department", "true_prio
                  "model_response"]
 
 
+_SAVED: dict[tuple, DataFrame] = {}
+
+
+def _saved(spark: SparkSession, sf_dir: str, what: str, build) -> DataFrame:
+    """A derived table, written once per application and table folder and read by every later query."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _SAVED:
+        _SAVED[key] = build()
+    return _SAVED[key]
+
+
 def split_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C with ``evaluation_group`` and ``split`` columns (25% of template groups held out, seed 42).
 
     Only the columns the evaluation queries read are carried (and materialized).
     """
-    return EV.group_split(complaint_view(spark, sf_dir).select(*SPLIT_COLUMNS), "complaint_text", 0.25, 42)
+    return _saved(spark, sf_dir, "split", lambda: EV.group_split(
+        complaint_view(spark, sf_dir).select(*SPLIT_COLUMNS), "complaint_text", 0.25, 42))
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest train complaints of every test complaint, searched once and saved."""
+    def build():
+        test, train = _test_train(spark, sf_dir)
+        return materialize(SIM.similar_complaints(test, train, 5), "neighbours")
+    return _saved(spark, sf_dir, "neighbours", build)
 
 
 def _split_sql_prefix() -> str:
@@ -300,11 +320,8 @@ SELECT v.id AS complaint_id, CAST(v.bucket AS INTEGER) AS bucket, CAST(v.tf AS B
 FROM vec v JOIN norm n USING (id)""")
 def hashed_vectors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = complaint_view(spark, sf_dir)
-    v = SIM.hashed_vectors(c, "complaint_id", "complaint_text")
-    n2 = v.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("n2"))
-    return (v.join(n2, "id").select(F.col("id").alias("complaint_id"), F.col("bucket").cast("int"),
-                                    F.col("tf").cast("long"),
-                                    (F.col("tf").cast("double") / F.sqrt(F.col("n2").cast("double"))).alias("weight")))
+    return SIM.hashed_vectors(c, "complaint_id", "complaint_text").select(
+        F.col("id").alias("complaint_id"), F.col("bucket").cast("int"), F.col("tf").cast("long"), "weight")
 
 
 def _nn_sql_prefix() -> str:
@@ -327,9 +344,7 @@ SELECT nn.qid AS query_id, CAST(nn.rank AS INTEGER) AS rank, CAST(nn.did AS VARC
        CAST(floor(nn.score * 1000 + 0.5) AS DOUBLE) / 1000.0 AS similarity, nn.score AS raw_score
 FROM nn JOIN c d ON d.complaint_id = nn.did""", headline=True)
 def similar_complaints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test, train = _test_train(spark, sf_dir)
-    nn = SIM.similar_complaints(test, train, 5)
-    return nn.select("query_id", F.col("rank").cast("int"), "complaint_id", "core_issue", "department",
+    return neighbours(spark, sf_dir).select("query_id", F.col("rank").cast("int"), "complaint_id", "core_issue", "department",
                      (F.floor(F.col("raw_score") * 1000 + 0.5).cast("double") / 1000.0).alias("similarity"),
                      "raw_score")
 
@@ -349,7 +364,7 @@ SELECT complaint_id, g_issue AS core_issue, g_department AS department, g_priori
 FROM rag""", headline=True)
 def retrieval_triage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, train = _test_train(spark, sf_dir)
-    out = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5)
+    out = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5, neigh=neighbours(spark, sf_dir))
     a = "analysis."
     return out.select("complaint_id", F.col(a + "core_issue").alias("core_issue"),
                       F.col(a + "department").alias("department"), F.col(a + "priority").alias("priority"),
@@ -365,32 +380,40 @@ def retrieval_triage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Consensus
 # ---------------------------------------------------------------------------
 
-from ..operators.consensus import consensus as _consensus, label_verdict  # noqa: E402
+from ..operators.consensus import consensus as _consensus  # noqa: E402
+from ..operators import bayes as NB  # noqa: E402
+from ..session import materialize  # noqa: E402
 from ..functions import lexicon as LX  # noqa: E402
 
 
-def three_verdicts(spark: SparkSession, sf_dir: str, ml_col=None) -> DataFrame:
+COMPARED = ["Rule-Based", NB.MODEL_NAME, "RAG + LLM"]
+
+
+def three_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test-split complaints with ``rule``, ``ml`` and ``retrieval`` verdict columns.
 
-    ``ml_col`` builds the ML-slot verdict; by default the label-derived
-    reference verdict (so the consensus stays SQL-checkable).
+    The ``ml`` verdict is naive Bayes fitted on the train side, which SQL can state exactly; ``ml_model_comparison``
+    runs the same comparison with logistic regression.
     """
     test, train = _test_train(spark, sf_dir)
     q = test.select("complaint_id", "complaint_text", "true_core_issue", "true_department", "true_priority")
     q = rule_triage(q, out_col="rule")
-    q = q.withColumn("ml", ml_col if ml_col is not None else label_verdict(q))
-    return _retrieval_triage(q, train, 5, baseline_col="rule", out_col="retrieval")
+    q = NB.bayes_triage(q, NB.fit(train))
+    return _retrieval_triage(q, train, 5, baseline_col="rule", out_col="retrieval", neigh=neighbours(spark, sf_dir))
+
+
+_TRAIN_SQL = """SELECT c.complaint_id, c.true_core_issue, c.true_department, c.true_priority
+  FROM c JOIN split s USING (complaint_id) WHERE s.split = 'train'"""
 
 
 def _consensus_sql() -> str:
-    entries = f"""
+    entries = O.bayes_ctes("qr", "qvec", "dvec", _TRAIN_SQL) + f""",
 ent AS (
   SELECT complaint_id, 0 AS ord, 'Rule-Based' AS name, r_issue AS issue, r_department AS dept, r_priority AS prio,
          r_milli AS milli, r_task AS task, r_evidence AS evidence FROM qr
   UNION ALL
-  SELECT complaint_id, 1, 'ML Baseline', true_core_issue, true_department, true_priority,
-         (complaint_id * 37) % 500 + 400, {O.label_verdict_task_sql('true_core_issue')},
-         ['Label-derived reference verdict.'] FROM qr
+  SELECT complaint_id, 1, '{NB.MODEL_NAME}', n_issue, n_dept, n_prio, n_milli, {O.issue_task_sql('n_issue')},
+         ['{NB.EVIDENCE}'] FROM nb
   UNION ALL
   SELECT complaint_id, 2, 'RAG + LLM', g_issue, g_department, g_priority, g_milli, g_task, g_evidence FROM rag),"""
     return _retrieval_sql_prefix().rstrip() + "," + entries + O.consensus_ctes("ent") + """
@@ -402,7 +425,7 @@ FROM cons"""
 
 @register("consensus", "C8 C7 A18 A19 W3 F27 F23 P13", _consensus_sql, headline=True)
 def consensus_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _consensus(three_verdicts(spark, sf_dir), ["rule", "ml", "retrieval"], LX.MODEL_ORDER, "rec")
+    v = _consensus(three_verdicts(spark, sf_dir), ["rule", "ml", "retrieval"], COMPARED, "rec")
     return v.select("complaint_id", F.col("rec.core_issue").alias("core_issue"),
                     F.col("rec.department").alias("department"), F.col("rec.priority").alias("priority"),
                     F.col("rec.actionable_task").alias("actionable_task"),
@@ -428,7 +451,7 @@ pred AS (SELECT e.name AS model, e.complaint_id, q.true_department AS y, e.dept
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = three_verdicts(spark, sf_dir)
-    return EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
+    return EV.stack_predictions(v, ["rule", "ml", "retrieval"], COMPARED)
 
 
 def _metrics_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +483,7 @@ LEFT JOIN (SELECT model, y AS actual, p AS predicted, count(*) AS count FROM pre
            WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL) c USING (model, actual, predicted)""")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = EV.sorted_labels(complaint_view(spark, sf_dir), "true_department")
-    return EV.confusion(predictions(spark, sf_dir), labels, LX.MODEL_ORDER)
+    return EV.confusion(predictions(spark, sf_dir), labels, COMPARED)
 
 
 @register("error_counts", "A21 C13 P6",
@@ -519,7 +542,7 @@ def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = test.select("complaint_id", "complaint_text", "true_core_issue", "true_department", "true_priority")
     q = rule_triage(q, out_col="rule")
     q = ML.ml_triage(q, models, out_col="ml")
-    v = _retrieval_triage(q, train, 5, baseline_col="rule", out_col="retrieval")
+    v = _retrieval_triage(q, train, 5, baseline_col="rule", out_col="retrieval", neigh=neighbours(spark, sf_dir))
     pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
     return EV.round_metrics(EV.macro_metrics(pred), 4)
 
@@ -584,7 +607,7 @@ FROM rag r JOIN vr USING (complaint_id)""")
 def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, train = _test_train(spark, sf_dir)
     q = _retrieval_triage(test.select("complaint_id", "complaint_text", "model_response"), train, 5,
-                          out_col="retrieval")
+                          out_col="retrieval", neigh=neighbours(spark, sf_dir))
     m = RS.with_merge(q, "retrieval", "model_response", "m")
     return m.select("complaint_id", F.col("m.core_issue").alias("core_issue"), F.col("m.department").alias("department"),
                     F.col("m.priority").alias("priority"), F.col("m.confidence_score").alias("confidence_score"),
@@ -596,8 +619,9 @@ def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("prompt_rows", "F24")
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
-    return RS.with_prompts(rule_triage(c), "complaint_text", "analysis").select("complaint_id", "system_prompt", "prompt")
+    test, train = _test_train(spark, sf_dir)
+    c = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5, neigh=neighbours(spark, sf_dir))
+    return RS.with_prompts(c, "complaint_text", "analysis").select("complaint_id", "system_prompt", "prompt")
 
 
 # ---------------------------------------------------------------------------
@@ -634,9 +658,7 @@ def generated_cfpb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("csv_roundtrip", "S1 S2 S6 S17 P4",
-          lambda: _c_sql() + """
-SELECT true_department AS department, count(*) AS n, count(created_at) AS n_created
-FROM c GROUP BY true_department""")
+          lambda: _c_sql() + "SELECT " + ", ".join(f.name for f in WAREHOUSE.fields) + " FROM c")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C written as warehouse-layout CSV under the checkpoint folder, then read back with the fixed schema."""
     import uuid
@@ -647,10 +669,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                      for n in cols])
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/csv-{uuid.uuid4().hex}"
     IO.save_table(out, path, "csv")
-    back = IO.read_complaints(spark, path)
-    IO.require_columns(back, ["complaint_text", "true_department"])
-    return back.groupBy(F.col("true_department").alias("department")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("created_at").alias("n_created"))
+    return IO.read_complaints(spark, path, multi_line=True)      # some texts have line breaks
 
 
 # ---------------------------------------------------------------------------
@@ -743,7 +762,7 @@ def _external_verdicts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame
     corpus = c if kind == "cfpb" else _test_train(spark, sf_dir)[1]     # CFPB page trains on the full warehouse
     q = ext.select("complaint_id", "complaint_text", "true_core_issue", "true_department", "true_priority")
     q = rule_triage(q, out_col="rule")
-    q = q.withColumn("ml", label_verdict(q))
+    q = NB.bayes_triage(q, NB.fit(corpus))
     return _retrieval_triage(q, corpus, 5, baseline_col="rule", out_col="retrieval")
 
 
@@ -766,11 +785,13 @@ def _external_sql(kind: str) -> str:
             + f"dvec AS (SELECT v.* FROM vec v JOIN split s ON v.id = s.complaint_id {corpus_filter}),"
             + O.knn_ctes("evec", "dvec", "enorm", dnorm="norm")
             + ",\n" + f"qr AS MATERIALIZED ({O.rule_rows_sql('ext')}),"
-            + O.retrieval_ctes("nn", "c", "qr") + ",\n")
+            + O.retrieval_ctes("nn", "c", "qr") + ",\n"
+            + O.bayes_ctes("qr", "evec", "dvec", _TRAIN_SQL if kind == "validation" else
+                           "SELECT complaint_id, true_core_issue, true_department, true_priority FROM c") + ",\n")
     entries = f"""
 ent AS (
   SELECT complaint_id, 0 AS ord, 'Rule-Based' AS name, r_department AS dept, r_milli AS milli FROM qr
-  UNION ALL SELECT complaint_id, 1, 'ML Baseline', true_department, (complaint_id * 37) % 500 + 400 FROM qr
+  UNION ALL SELECT complaint_id, 1, '{NB.MODEL_NAME}', n_dept, n_milli FROM nb
   UNION ALL SELECT complaint_id, 2, 'RAG + LLM', g_department, g_milli FROM rag),
 pred AS (SELECT e.name AS model, e.complaint_id, q.true_department AS y, e.dept AS p, e.milli
          FROM ent e JOIN qr q USING (complaint_id))
@@ -783,7 +804,7 @@ pred AS (SELECT e.name AS model, e.complaint_id, q.true_department AS y, e.dept
                   + O.metrics_sql("pred") + ") m")
 def external_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _external_verdicts(spark, sf_dir, "validation")
-    pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
+    pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], COMPARED)
     return EV.round_metrics(EV.macro_metrics(pred), 4).withColumn("evaluation_set", F.lit("handwritten_validation"))
 
 
@@ -792,7 +813,7 @@ def external_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
                   + O.metrics_sql("pred") + ") m")
 def cfpb_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _external_verdicts(spark, sf_dir, "cfpb")
-    pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
+    pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], COMPARED)
     return EV.round_metrics(EV.macro_metrics(pred), 4).select("model", "accuracy", "precision", "recall", "f1_score")
 
 
@@ -807,6 +828,72 @@ SELECT nb.qid AS query_id, CAST(nb.rank AS INTEGER) AS rank, CAST(d.complaint_id
 FROM rag_nb nb JOIN c d ON d.complaint_id = nb.did""")
 def retrieved_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, train = _test_train(spark, sf_dir)
-    out = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5)
+    out = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5, neigh=neighbours(spark, sf_dir))
     return retrieved_table(out).select("query_id", F.col("rank").cast("int"), "complaint_id", "complaint_text",
                                        "department", "priority", "core_issue", "similarity")
+
+
+# ---------------------------------------------------------------------------
+# Term statistics and TF-IDF on documents (A20, M5, M6); wrong rows (P6, C13); verdicts as JSON
+# ---------------------------------------------------------------------------
+
+from ..operators import terms as TM  # noqa: E402
+
+
+def _terms_sql() -> str:
+    sw = O.arr(default_stopwords())
+    return f"""
+WITH w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                            lambda x: NOT list_contains({sw}, x)) AS w FROM documents),
+tc AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (
+         SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w)
+       GROUP BY 1, 2),
+st AS MATERIALIZED (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total,
+         ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + count(*))) + 1.0 AS idf
+       FROM tc GROUP BY 1 HAVING count(*) >= 2)
+"""
+
+
+def _document_terms(spark: SparkSession, sf_dir: str):
+    docs = read_text_table(spark, sf_dir, "documents")
+    counts = materialize(TM.term_counts(docs, "doc_id", "text"), "term_counts")
+    return counts, TM.term_stats(counts, docs.count())
+
+
+@register("term_stats_documents", "A20", lambda: _terms_sql() + "SELECT term, df, total, round(idf, 6) AS idf FROM st")
+def term_stats_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, stats = _document_terms(spark, sf_dir)
+    return stats.select("term", "df", "total", F.round("idf", 6).alias("idf"))
+
+
+@register("tfidf_documents", "M5 M6 A20",
+          lambda: _terms_sql() + """, x AS (SELECT tc.id, term, (1.0 + ln(tf)) * idf AS x FROM tc JOIN st USING (term))
+SELECT id AS doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS weight FROM x""")
+def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, stats = _document_terms(spark, sf_dir)
+    return TM.tfidf(counts, stats).select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
+
+
+@register("wrong_rows", "P6 C13",
+          lambda: _pred_sql_prefix() + """
+SELECT model, complaint_id, y AS true_department, p AS predicted_department,
+       CAST(milli AS DOUBLE) / 1000.0 AS confidence_score FROM pred WHERE NOT (y IS NOT DISTINCT FROM p)""")
+def wrong_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(spark, sf_dir).where("is_wrong").select(
+        "model", "complaint_id", "true_department", "predicted_department", "confidence_score")
+
+
+@register("cfpb_predictions", "C11 P3",
+          lambda: _external_sql("cfpb") + """
+SELECT model, complaint_id, y AS true_department, p AS predicted_department, y IS NOT DISTINCT FROM p AS is_correct FROM pred""")
+def cfpb_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _external_verdicts(spark, sf_dir, "cfpb")
+    return EV.stack_predictions(v, ["rule", "ml", "retrieval"], COMPARED).select(
+        "model", "complaint_id", "true_department", "predicted_department", (~F.col("is_wrong")).alias("is_correct"))
+
+
+@register("verdict_json", "P14")
+def verdict_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.retrieval import verdict_json
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    return rule_triage(c).select("complaint_id", verdict_json("analysis").alias("verdict"))

@@ -33,7 +33,7 @@ SENTENCES = [
     "An unauthorized charge of ${amount} appeared on my card on {date}.",
     "You billed the wrong amount on ticket {ticket} and nobody corrected it.",
     # Invoice error
-    "The invoice for my {product} account shows a tax mismatch for {region}.",
+    "For {region} the totals on my {product} invoice are wrong and the tax mismatch is plain.",
     "My billing statement lists ${amount} twice and does not match the contract.",
     "Payment failed on {date} although the bank in {country} confirms the transfer.",
     # Delivery delay
@@ -42,7 +42,7 @@ SENTENCES = [
     "Package {ticket} has not arrived and tracking shows nothing.",
     # Damaged shipment
     "The {product} box arrived damaged and one corner was crushed.",
-    "Package {ticket} was broken on arrival and the courier damage is obvious.",
+    "Half the contents of {ticket} were smashed, clearly courier damage.",
     "The parcel came with packaging damage and a torn label.",
     # Damaged product
     "The {product} came with shattered glass and is unsafe to use.",
@@ -57,7 +57,7 @@ SENTENCES = [
     "Your website error blocks checkout since {date}.",
     "The portal is not loading and shows a 500 error.",
     # Login or account access issue
-    "I cannot login to my {product} account since {date}.",
+    "Since {date} every attempt fails: cannot login, whatever {product} password I type.",
     "My account locked after the password reset on ticket {ticket}.",
     "The otp not received message keeps showing when I sign in.",
     # Device or integration issue
@@ -133,7 +133,7 @@ def _case(col: str, mapping: dict, default: str = "NULL") -> str:
 
 def _responses_sql(k: str, issue: str, dept: str, prio: str) -> str:
     """A JSON answer per row from a hypothetical outside model, with every failure kind."""
-    kind = f"pmod({k} div 13, 17)"
+    kind = f"pmod({k} div 13, 21)"
 
     def obj(core=issue, ents=X.lit('["billing", "product delivery"]'), d=dept, p=prio,
             task=X.lit("Handle the case."), conf=X.lit("0.72"), reason=X.lit('"model says so"'), drop_reason=False):
@@ -157,6 +157,10 @@ def _responses_sql(k: str, issue: str, dept: str, prio: str) -> str:
             f"WHEN {kind} = 14 THEN {obj(conf=X.lit('1.7'))} "
             f"WHEN {kind} = 15 THEN {obj(ents=X.lit(chr(34) + 'billing, logistics' + chr(34)))} "
             f"WHEN {kind} = 16 THEN {obj(d=f'concat(' + X.lit(' ') + f', {dept}, ' + X.lit(' ') + ')', p=f'lower({prio})', reason=X.lit(chr(34) * 2))} "
+            f"WHEN {kind} = 17 THEN concat({obj()}, ' trailing text') "
+            f"WHEN {kind} = 18 THEN replace({obj()}, {X.lit(chr(34))}, {X.lit(chr(39))}) "
+            f"WHEN {kind} = 19 THEN {obj(conf=X.lit(chr(34) + '0.5d' + chr(34)))} "
+            f"WHEN {kind} = 20 THEN {obj(conf=X.lit('true'))} "
             f"ELSE {obj(conf=default_conf)} END")
 
 
