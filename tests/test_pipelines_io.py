@@ -57,7 +57,7 @@ def test_csv_roundtrip_and_missing_files(spark):
         IO.read_validation(spark, "/nonexistent/path.csv")
     c = complaint_view(spark, SF_SMALL)
     out = tempfile.mkdtemp(prefix="casewise-csv-")
-    df = IO.preprocess_dataset(spark, _write_csv(spark, c, out), os.path.join(out, "processed"))
+    df = IO.preprocess_dataset(spark, _write_csv(spark, c, out), os.path.join(out, "processed"), multi_line=True)
     assert "cleaned_text" in df.columns and df.count() == c.count()
 
 
@@ -81,3 +81,26 @@ def test_length_density_matches_brute_force(spark):
     for r in out:
         ref = np.exp(-0.5 * ((r.word_count - w) / h) ** 2).sum() / (len(w) * h * np.sqrt(2 * np.pi))
         assert abs(r.density - ref) <= 1e-12 * max(ref, 1e-300)
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    import pytest
+    (tmp_path / "a.csv").write_text('complaint_text,complaint_id\n" late, ""very"" ",1\n"",2\n\\N,3\n')
+    rows = IO.read_validation(spark, str(tmp_path / "a.csv")).orderBy("complaint_id").collect()
+    assert [(r.complaint_id, r.complaint_text, r.true_department) for r in rows] == [("1", ' late, "very" ', None), ("2", "", None), ("3", None, None)]
+    (tmp_path / "b.csv").write_text("complaint_id,body\n1,x\n")
+    with pytest.raises(ValueError, match="complaint_text"):
+        IO.preprocess_dataset(spark, str(tmp_path / "b.csv"), str(tmp_path / "out"))
+
+
+def test_json_answers_are_strict(spark):
+    from casewise.operators.responses import with_validation
+    good = ('{"core_issue": "x", "detected_entities": [], "department": "Billing", "priority": "low", "actionable_task": "t", '
+            '"confidence_score": %s, "reasoning": "r"}')
+    cases = [(good % "0.5", "valid"), (good % "true", "valid"), (good % '"0.5"', "valid"), (good % '"0.5d"', "confidence_score must be numeric."),
+             (good % '"1e-1f"', "confidence_score must be numeric."), (good % '"true"', "confidence_score must be numeric."),
+             (good % "0.5" + " trailing", "Invalid JSON."), (good % "0.5" + "]", "Invalid JSON."), (good % "0.5" + ", 1", "Invalid JSON."),
+             ((good % "0.5").replace('"', "'"), "Invalid JSON."), ("", "Invalid JSON."), (None, "Invalid JSON."), ("[1]", "JSON root must be an object.")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, r string")
+    got = with_validation(df, "r", "v").orderBy("id").select("v.message").collect()
+    assert [r.message for r in got] == [m for _, m in cases]

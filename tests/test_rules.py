@@ -60,3 +60,14 @@ def test_evidence_keeps_four_items_keywords_first(spark):
     r = _triage(spark, ["refund reimbursement money back chargeback invoice fraud"])[0]
     assert len(r.supporting_evidence) == 4
     assert all(e.startswith("Matched keyword") for e in r.supporting_evidence)
+
+
+def test_custom_terms_in_any_order(spark):
+    from casewise.functions import lexicon as L
+    from casewise.operators.rules import rule_triage
+    df = spark.createDataFrame([(1, "I was double charged and my parcel arrived late")], "complaint_id long, complaint_text string")
+    want = rule_triage(df).select("analysis.core_issue", "analysis.supporting_evidence").first()
+    back = rule_triage(df, terms=L.rule_terms()[::-1]).select("analysis.core_issue", "analysis.supporting_evidence").first()
+    assert back.core_issue == want.core_issue and set(back.supporting_evidence) <= set(x.evidence for x in L.rule_terms())
+    some = [t for t in L.rule_terms() if t.issue_ord >= 3]
+    rule_triage(df, terms=some).collect()
