@@ -266,10 +266,10 @@ SPLIT_COLUMNS = ["complaint_id", "complaint_text", "true_department", "true_prio
                  "model_response"]
 
 
-_SAVED: dict[tuple, DataFrame] = {}
+_SAVED: dict[tuple, object] = {}
 
 
-def _saved(spark: SparkSession, sf_dir: str, what: str, build) -> DataFrame:
+def _saved(spark: SparkSession, sf_dir: str, what: str, build):
     """A derived table, written once per application and table folder and read by every later query."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _SAVED:
@@ -547,17 +547,28 @@ def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.round_metrics(EV.macro_metrics(pred), 4)
 
 
+def _clusters(spark: SparkSession, sf_dir: str):
+    """Complaints and their fitted clusters (one fit serves all cluster queries)."""
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    return c, _saved(spark, sf_dir, "clusters", lambda: CL.fit_clusters(c, k=6, n_init=20))
+
+
 @register("cluster_summary", "C14 M6 M10 A9 T2 W6")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
-    _, summary = CL.cluster_report(c, k=6, n_init=20)
-    return summary
+    c, fitted = _clusters(spark, sf_dir)
+    return CL.cluster_report(c, k=6, fitted=fitted)[1]
+
+
+@register("cluster_assignments", "C14")
+def cluster_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, fitted = _clusters(spark, sf_dir)
+    return CL.cluster_report(c, k=6, fitted=fitted)[0].select("complaint_id", "cluster_id")
 
 
 @register("cluster_map", "M11 Q8")
 def cluster_map_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
-    return CL.cluster_map(c, k=6, sample=700, n_init=20)
+    c, fitted = _clusters(spark, sf_dir)
+    return CL.cluster_map(c, k=6, sample=700, fitted=fitted)
 
 
 # ---------------------------------------------------------------------------
