@@ -5,8 +5,8 @@ Split
     ranked by ``md5(seed ':' group)``; the first ``ceil(test_size * G)`` groups
     are the test side.  The cut is found without sorting all groups in one
     task: group keys are counted per 4-hex-digit prefix (at most 65,536 small
-    rows reach the driver), the boundary prefix is located, and only the groups
-    inside that one prefix are ordered.  Rows then decide their side with a
+    rows reach the driver), the boundary prefix is counted four digits deeper until it
+    is small, and only its groups are ordered.  Rows then decide their side with a
     projection (no join back).
 
 Metrics
@@ -34,24 +34,32 @@ def add_groups(df: DataFrame, text_col: str = "complaint_text", seed: int = 42,
               .withColumn("_split_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("evaluation_group")))))
 
 
-def split_cut(grouped: DataFrame, test_size: float = 0.25) -> tuple[str, str | None]:
-    """Return (boundary prefix, last test key in it); keys below are test."""
-    keys = grouped.select("_split_key").distinct()
-    counts = (keys.groupBy(F.substring("_split_key", 1, PREFIX).alias("p"))
-                  .agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect())   # <= 16**PREFIX rows
-    total = sum(r["n"] for r in counts)
-    n_test = math.ceil(test_size * total)
-    if n_test <= 0:
-        return "", None
-    acc = 0
-    for r in counts:
-        if acc + r["n"] >= n_test:
-            need = n_test - acc
-            last = (keys.where(F.substring("_split_key", 1, PREFIX) == r["p"])
-                        .orderBy("_split_key").limit(need).agg(F.max("_split_key")).first()[0])
-            return r["p"], last
-        acc += r["n"]
-    return "g", None  # every group is test
+def split_cut(grouped: DataFrame, test_size: float = 0.25, step: int = PREFIX, bucket_keys: int = 16 ** PREFIX) -> str:
+    """The last test key: groups up to it are test ('' if none is, 'g' if all are).
+
+    Keys are counted by prefix, ``step`` hex digits deeper each round inside the boundary prefix,
+    until that prefix holds at most ``bucket_keys`` groups; only these are ordered.
+    """
+    from ..session import materialize
+    keys = materialize(grouped.select("_split_key").distinct(), "split_keys")
+    need, prefix = math.ceil(test_size * keys.count()), ""
+    if need <= 0:
+        return ""
+    while True:
+        depth = len(prefix) + step
+        inside = keys.where(F.col("_split_key").startswith(prefix))
+        counts = (inside.groupBy(F.substring("_split_key", 1, depth).alias("p"))
+                        .agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect())   # <= 16**step rows
+        for r in counts:
+            if r["n"] >= need:
+                break
+            need -= r["n"]
+        else:
+            return "g"
+        prefix = r["p"]
+        if r["n"] <= bucket_keys:
+            return (inside.where(F.col("_split_key").startswith(prefix)).orderBy("_split_key").limit(need)
+                          .agg(F.max("_split_key")).first()[0])
 
 
 def group_split(df: DataFrame, text_col: str = "complaint_text", test_size: float = 0.25, seed: int = 42,
@@ -65,13 +73,7 @@ def group_split(df: DataFrame, text_col: str = "complaint_text", test_size: floa
     """
     from ..session import materialize
     grouped = materialize(add_groups(df, text_col, seed, fixed), "grouped")
-    prefix, last = split_cut(grouped, test_size)
-    key = F.col("_split_key")
-    p = F.substring(key, 1, PREFIX)
-    if last is None:
-        is_test = p < F.lit(prefix) if prefix else F.lit(False)
-    else:
-        is_test = (p < F.lit(prefix)) | ((p == F.lit(prefix)) & (key <= F.lit(last)))
+    is_test = F.col("_split_key") <= F.lit(split_cut(grouped, test_size))
     return grouped.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_split_key")
 
 

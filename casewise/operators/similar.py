@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lexicon import HASH_WIDTH
+from ..functions.text import normalize_text
 from ..session import materialize
 
 HASH_TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -243,10 +244,12 @@ def similar_complaints(queries: DataFrame, corpus: DataFrame, k: int = 5, *, id_
                        text_col: str = "complaint_text", exclude_self: bool = False) -> DataFrame:
     """C4: for each query complaint, the k most similar corpus complaints with their labels.
 
+    Blank queries (P18) are dropped before the search.
     Returns (query_id, rank, complaint_id, complaint_text, department, priority,
     core_issue, similarity) with similarity clipped to [0, 1] and rounded to 3.
     """
-    qv = queries.select(F.col(id_col).cast("long").alias("qid"), hash_tokens(text_col).alias("v"))
+    asked = queries.where(normalize_text(F.col(text_col)) != "")
+    qv = asked.select(F.col(id_col).cast("long").alias("qid"), hash_tokens(text_col).alias("v"))
     dv = corpus.select(F.col(id_col).cast("long").alias("did"), hash_tokens(text_col).alias("v"))
     hits = distinct_top_k(qv, dv, k, exclude_self=exclude_self)
     meta = corpus.select(F.col(id_col).cast("long").alias("did"),

@@ -908,3 +908,115 @@ def verdict_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.retrieval import verdict_json
     c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
     return rule_triage(c).select("complaint_id", verdict_json("analysis").alias("verdict"))
+
+
+# ---------------------------------------------------------------------------
+# Loose verdicts (F17), vector store (S7-S9), evaluation and report tables (C12, C15), rules on given texts
+# ---------------------------------------------------------------------------
+
+def _normalized_sql() -> str:
+    """F17 over ``model_response``: one JSON object's fields coerced to the contract."""
+    def text(key):
+        return O.py_strip_sql(f"coalesce(json_extract_string(j, '$.{key}'), '')")
+
+    priorities = " ".join(f"WHEN lower({text('priority')}) = '{p.lower()}' THEN '{p}'" for p in LX.PRIORITIES)
+    entities = """CASE WHEN json_type(j, '$.detected_entities') = 'ARRAY'
+        THEN array_to_string(from_json(json_extract(j, '$.detected_entities'), '["VARCHAR"]'), ',')
+        ELSE coalesce(json_extract_string(j, '$.detected_entities'), '') END"""
+    item = O.py_strip_sql("x")
+    number = f"""CASE WHEN json_type(j, '$.confidence_score') = 'BOOLEAN'
+        THEN CASE WHEN json_extract_string(j, '$.confidence_score') = 'true' THEN 1.0 ELSE 0.0 END
+        ELSE TRY_CAST({text('confidence_score')} AS DOUBLE) END"""
+    return _c_sql() + f"""
+, v AS (SELECT complaint_id, CASE WHEN json_valid(model_response) THEN model_response END AS j FROM c),
+o AS (SELECT complaint_id, CASE WHEN json_type(j) = 'OBJECT' THEN j END AS j FROM v),
+n AS (SELECT *, {number} AS conf FROM o)
+SELECT complaint_id, {text('core_issue')} AS core_issue,
+       array_to_string(list_filter(list_transform(string_split({entities}, ','), lambda x: {item}), lambda x: x <> ''), ', ')
+         AS detected_entities,
+       CASE WHEN list_contains({O.arr(LX.DEPARTMENTS)}, {text('department')}) THEN {text('department')}
+            ELSE 'Customer Service' END AS department,
+       CASE {priorities} ELSE 'Medium' END AS priority, {text('actionable_task')} AS actionable_task,
+       CAST(CASE WHEN conf IS NULL OR isnan(conf) OR conf < 0 THEN 0.0 ELSE least(round(conf, 3), 1.0) END AS DOUBLE)
+         AS confidence_score,
+       {text('reasoning')} AS reasoning
+FROM n"""
+
+
+@register("verdict_normalization", "F17", _normalized_sql)
+def verdict_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = complaint_view(spark, sf_dir).select("complaint_id", RS.loose_verdict("model_response").alias("loose"))
+    v = c.select("complaint_id", RS.normalize_verdict("loose").alias("v"))
+    return v.select("complaint_id", "v.core_issue", F.array_join("v.detected_entities", ", ").alias("detected_entities"),
+                    "v.department", "v.priority", "v.actionable_task", "v.confidence_score", "v.reasoning")
+
+
+@register("vector_store", "S7 S8 S9",
+          lambda: _c_sql().rstrip() + "," + O.vector_ctes("c") + """
+SELECT id AS complaint_id, CAST(bucket AS INTEGER) AS bucket, CAST(tf AS BIGINT) AS tf FROM vec""")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of C written to the store, found again by their fingerprint and read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/vectors-{uuid.uuid4().hex}"
+    IO.load_or_build_vectors(spark, c, path)
+    stored = IO.load_or_build_vectors(spark, c, path)
+    return (stored.select("complaint_id", F.explode("vector").alias("b")).groupBy("complaint_id", F.col("b").cast("int").alias("bucket"))
+                  .agg(F.count(F.lit(1)).alias("tf")))
+
+
+@register("evaluation_report", "C12 C10",
+          lambda: "SELECT m.*, 'grouped_holdout' AS evaluation_set FROM (" + _pred_sql_prefix() + O.metrics_sql("pred") + ") m"
+                  " UNION ALL SELECT m.*, 'handwritten_validation' AS evaluation_set FROM ("
+                  + _external_sql("validation") + O.metrics_sql("pred") + ") m")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold-out and external metrics of every model in one table."""
+    held_out = _metrics_df(spark, sf_dir).withColumn("evaluation_set", F.lit("grouped_holdout"))
+    return held_out.unionByName(external_validation(spark, sf_dir))
+
+
+@register("report_rows", "C15 A4 A6 P16",
+          lambda: "SELECT 'complaint_length_distribution' AS report, CAST(bin AS VARCHAR) AS label, CAST(count AS DOUBLE) AS value"
+                  " FROM (" + _c_sql() + _hist_sql("c", "complaint_text", 15) + ")"
+                  " UNION ALL SELECT 'frequent_issues', issue, CAST(count AS DOUBLE) FROM (" + _c_sql() + """
+SELECT coalesce(true_core_issue, 'Unknown') AS issue, count(*) AS count FROM c
+GROUP BY 1 ORDER BY count DESC, issue ASC LIMIT 10)"""
+                  " UNION ALL SELECT 'model_comparison', model || ' ' || metric, score FROM ("
+                  + _pred_sql_prefix().rstrip() + ",\nmet AS (" + O.metrics_sql("pred") + """)
+SELECT model, metric, score FROM met
+UNPIVOT (score FOR metric IN (accuracy, precision, recall, f1_score, avg_confidence)))""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report tables stacked as (report, label, value)."""
+    from ..operators.triage import report_tables
+    tables = report_tables(complaint_view(spark, sf_dir), {"metrics": _metrics_df(spark, sf_dir)})
+    cells = {"complaint_length_distribution": (F.col("bin").cast("string"), F.col("count")),
+             "frequent_issues": (F.col("issue"), F.col("count")),
+             "model_comparison": (F.concat_ws(" ", "model", "metric"), F.col("score"))}
+    parts = [tables[name].select(F.lit(name).alias("report"), label.alias("label"), value.cast("double").alias("value"))
+             for name, (label, value) in cells.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _text_rules_sql(table: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, r_issue AS core_issue, r_department AS department, r_priority AS priority,
+       CAST(r_milli AS DOUBLE) / 1000.0 AS confidence_score, array_to_string(r_evidence, ' | ') AS supporting_evidence,
+       r_reasoning AS reasoning
+FROM ({O.rule_rows_sql(table, 'text')}) r"""
+
+
+def _text_rules(df: DataFrame, *keys: str) -> DataFrame:
+    return rule_triage(df.select(*keys, "text"), "text").select(
+        *keys, "analysis.core_issue", "analysis.department", "analysis.priority", "analysis.confidence_score",
+        F.array_join("analysis.supporting_evidence", " | ").alias("supporting_evidence"), "analysis.reasoning")
+
+
+@register("rule_triage_documents", "C1 F13 J1", lambda: _text_rules_sql("documents", "doc_id"))
+def rule_triage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_rules(read_text_table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register("rule_triage_conversations", "C1 F13 J1", lambda: _text_rules_sql("conversations", "conv_id, turn"))
+def rule_triage_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_rules(read_text_table(spark, sf_dir, "conversations"), "conv_id", "turn")

@@ -70,22 +70,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df, *keys: str):
-    """Hash-partition ``df`` by ``keys`` when it has fewer partitions than the cluster has cores.
+    """Hash-partition ``df`` by ``keys`` when it has fewer partitions than the session's shuffle partitions.
 
     Text operators are CPU-bound per row, while file splits are sized by
     bytes: a small table of long texts can arrive as one split.  On real data
-    the scan already has far more partitions than cores and this is a no-op
-    (no extra shuffle).  Partitioning by the row id also lets later joins on
-    that id reuse the layout.
+    the scan already has more partitions and this is a no-op
+    (no extra shuffle).  The plan follows a setting, not the executors that happen to have
+    registered.  Partitioning by the row id also lets later joins on that id reuse the layout.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Only call this on a plain scan: on a plan with exchanges, asking for the
     # RDD would make adaptive execution run the upstream stages.
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= parts:
         return df
     from pyspark.sql import functions as F
-    return df.repartition(cores, *[F.col(k) for k in keys]) if keys else df.repartition(cores)
+    return df.repartition(parts, *[F.col(k) for k in keys]) if keys else df.repartition(parts)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

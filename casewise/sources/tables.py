@@ -23,7 +23,7 @@ TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_i
 
 
 def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a text table and spread it over the cores if the scan is too coarse (see ``spread``)."""
+    """Read a text table and spread it if the scan is too coarse (see ``spread``)."""
     from ..session import spread
     return spread(read_table(spark, sf_dir, name), TEXT_KEYS.get(name, "")) if name in TEXT_KEYS else \
         read_table(spark, sf_dir, name)

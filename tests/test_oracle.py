@@ -14,7 +14,8 @@ from conftest import SF_SMALL
 SUBSET = ["rule_triage_summary", "rule_triage_rows", "clean_documents", "keyword_frequency", "priority_distribution",
           "length_histogram_documents", "group_split", "similar_complaints", "retrieval_triage", "consensus",
           "model_metrics", "confusion_matrix", "response_validation", "generated_warehouse",
-          "embedding_vote_accuracy", "hashed_vectors"]
+          "embedding_vote_accuracy", "hashed_vectors", "verdict_normalization", "vector_store", "evaluation_report",
+          "report_rows", "rule_triage_documents", "rule_triage_conversations"]
 
 
 @pytest.fixture(scope="module")

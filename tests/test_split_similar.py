@@ -1,5 +1,6 @@
 """Grouped split (M12, J10) and nearest neighbours."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -21,6 +22,22 @@ def test_grouped_split_holds_out_whole_groups(spark):
     assert leak.test_groups == math.ceil(0.25 * groups)
 
 
+def test_split_cut_by_nested_prefixes_equals_sorting(spark):
+    keys = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(500))
+    df = spark.createDataFrame([(k,) for k in keys], "_split_key string")
+    for share in (0.002, 0.25, 0.9, 1.0):
+        cut = EV.split_cut(df, share, step=1, bucket_keys=2)
+        assert [k for k in keys if k <= cut] == keys[:math.ceil(share * 500)]
+    assert EV.split_cut(df, 0.0) == "" and EV.split_cut(df.limit(0), 0.25) == ""
+
+
+def test_blank_queries_are_dropped(spark):
+    corpus = spark.createDataFrame([(1, "late parcel again", "Logistics", "High", "Delay")],
+                                   "complaint_id long, complaint_text string, true_department string, true_priority string, true_core_issue string")
+    asked = spark.createDataFrame([(5, " \t\n"), (6, None), (7, ""), (8, "parcel late")], "complaint_id long, complaint_text string")
+    assert [r.query_id for r in SIM.similar_complaints(asked, corpus, 3).collect()] == [8]
+
+
 def _brute(qs, ds, k):
     out = {}
     for qi, qv in qs:
