@@ -1020,3 +1020,67 @@ def rule_triage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rule_triage_conversations", "C1 F13 J1", lambda: _text_rules_sql("conversations", "conv_id, turn"))
 def rule_triage_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_rules(read_text_table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+# ---------------------------------------------------------------------------
+# Rule table by join (J1), included models (C12), neighbours and clusters of the given documents
+# ---------------------------------------------------------------------------
+
+CUSTOM_RULES = ([(t.issue, t.text, t.weight) for t in LX.rule_terms() if t.kind == "keyword"]
+                + [("Praise", "thank you", 2.0), ("Order lookup", "order", 0.25), ("Order lookup", "ticket", 0.25)])
+
+
+def _custom_sql() -> str:
+    rules = ", ".join(f"({O.q(i)}, {O.q(t)}, {w})" for i, t, w in CUSTOM_RULES)
+    return _c_sql().rstrip() + f""",
+t AS (SELECT complaint_id, ' ' || regexp_replace({O.normalize_sql('complaint_text')}, '[^\\p{{L}}\\p{{N}}_ ]+', ' | ', 'g') || ' ' AS t
+      FROM c),
+rules(issue, term, weight) AS (VALUES {rules}),
+hit AS (SELECT complaint_id, issue, sum(weight) AS s, count(*) AS n, array_to_string(list_sort(list(term)), ' | ') AS ev
+        FROM t, rules WHERE contains(t, ' ' || term || ' ')
+        GROUP BY 1, 2),
+best AS (SELECT *, sum(n) OVER (PARTITION BY complaint_id) AS total,
+                row_number() OVER (PARTITION BY complaint_id ORDER BY s DESC, issue) AS place FROM hit)
+SELECT t.complaint_id, coalesce(issue, {O.q(LX.NO_RULE_ISSUE)}) AS core_issue, CAST(coalesce(s, 0) AS DOUBLE) AS score,
+       CAST(coalesce(total, 0) AS BIGINT) AS n_matches, coalesce(ev, '') AS evidence
+FROM t LEFT JOIN best ON best.complaint_id = t.complaint_id AND place = 1"""
+
+
+@register("rule_triage_custom", "J1 C1", _custom_sql)
+def rule_triage_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complaints judged by a user's rule table: the built-in keywords and two more issues."""
+    from ..operators.rule_table import triage_by_table
+    rules = spark.createDataFrame(CUSTOM_RULES, "issue string, term string, weight double")
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    return triage_by_table(c, rules, "complaint_id", "complaint_text").withColumn("evidence", F.array_join("evidence", " | "))
+
+
+@register("evaluation_without_ml", "C12 C9",
+          lambda: _pred_sql_prefix().rstrip() + ",\nincluded AS (SELECT * FROM pred WHERE model IN ('Rule-Based', 'RAG + LLM'))\n"
+          + O.metrics_sql("included"))
+def evaluation_without_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation with the classifier left out: its model is neither fitted nor scored."""
+    from ..operators.triage import compare_models
+    return compare_models(complaint_view(spark, sf_dir), include_ml=False)["metrics"]
+
+
+@register("similar_documents", "J6 M4 W4",
+          lambda: "WITH" + O.vector_ctes("documents", "doc_id", "text") + ",\nasked AS (SELECT * FROM vec WHERE id % 100 = 0),"
+          + O.knn_ctes("asked", "vec", "norm", exclude_self=True)
+          + "\nSELECT qid AS doc_id, CAST(rank AS INTEGER) AS rank, did AS neighbour_id, round(score, 9) AS similarity FROM nn")
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other documents of every document whose id is divisible by 100, searched among all."""
+    from ..operators.similar import distinct_top_k, hash_tokens
+    docs = read_text_table(spark, sf_dir, "documents")
+    vectors = materialize(docs.select(F.col("doc_id").cast("long").alias("did"), hash_tokens("text").alias("v")), "document_vectors")
+    asked = vectors.where("did % 100 = 0").withColumnRenamed("did", "qid")
+    near = distinct_top_k(asked, vectors, 5, exclude_self=True)
+    return near.select(F.col("qid").alias("doc_id"), F.col("rank").cast("int"), F.col("did").alias("neighbour_id"),
+                       F.round("score", 9).alias("similarity"))
+
+
+@register("cluster_documents", "C14 M6 M10 T2 W6")
+def cluster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and heaviest terms of four clusters over all documents."""
+    docs = read_text_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return CL.cluster_report(docs, k=4, n_init=5, text_col="text")[1]

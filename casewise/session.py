@@ -17,6 +17,9 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Fused methods over 8,000 bytes of bytecode are never compiled by the JVM; beyond
+    # that size a stage's expressions are split into small methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Python workers run one task each; a multi-threaded BLAS inside every
     # worker would oversubscribe the executor's cores.
     "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
