@@ -13,8 +13,11 @@ Text blocks that are template tokens are boilerplate.  Slots are judged by the
 path that holds them: those in navigation, header, footer, aside, form, advert, notice or comment
 elements (by tag, role, class or id) are boilerplate too.  If the page has an
 article (else a main element, else a named content element), the slots inside it are
-the text, else all slots left.  Inside such an element a text block counts as template only if
-nearly all of at least ten pages of the host have it, since articles may quote each other.
+the text, else all slots left.  The same classes decide inside and outside such an element, on hosts
+of every size: a notice that all articles open with is in the class of the page's frame, while a
+passage that articles quote from each other makes a class of its own, too small to be template
+(three quoted blocks with the same pages, or a notice on some pages only without tags of its own,
+cannot be told apart from the class alone: the first is template, the second text).
 
 Occurrence vectors are never built: two sums of hashes over (page, count)
 stand for a vector, so a host with a third of all pages is a partial
@@ -216,7 +219,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(tokens: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3) -> DataFrame:
-    """(host, pages, template): array of (class, place, token, share) of each host's candidate classes."""
+    """(host, template): array of (class, place, token) of each host's candidate classes."""
     part = lambda salt: F.pmod(F.xxhash64("page", "times", F.lit(salt)), F.lit(1 << 31))
     seen = tokens.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"), F.sum(part(1)).alias("v1"), F.sum(part(2)).alias("v2"),
@@ -225,11 +228,11 @@ def templates(tokens: DataFrame, support: float = 0.5, least_pages: int = 3, lea
     hosts = seen.filter("token = 0").select("host", F.col("n").alias("pages"))
     often = seen.filter("token <> 0").join(hosts, "host").filter(F.col("n") >= F.col("pages") * support)
     vector = F.xxhash64("n", "times", "v1", "v2")
-    listed = often.select("host", "pages", F.struct(vector.alias("cls"), "place", "token", (F.col("n") / F.col("pages")).alias("share")).alias("t"))
-    whole = listed.groupBy("host", "pages").agg(F.array_sort(F.collect_list("t")).alias("template"))
+    listed = often.select("host", F.struct(vector.alias("cls"), "place", "token").alias("t"))
+    whole = listed.groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("template"))
     sizes = F.transform("template", lambda t: F.size(F.filter("template", lambda u: u["cls"] == t["cls"])))
     kept = F.filter(F.arrays_zip(F.col("template").alias("t"), sizes.alias("k")), lambda x: x["k"] >= least_tokens)
-    return whole.select("host", "pages", F.transform(kept, lambda x: x["t"]).alias("template"))
+    return whole.select("host", F.transform(kept, lambda x: x["t"]).alias("template"))
 
 
 def deduce(found: list[int], classes: dict[int, list[int]]) -> set[int]:
@@ -257,13 +260,13 @@ def _nested(rounds: list[list[int]], flat: list[int], outer: list[int]) -> bool:
     return all(bisect(outer, r[0]) == bisect(outer, r[-1]) for r in rounds) or bisect(flat, outer[0]) == bisect(flat, outer[-1])
 
 
-def main_text(page: str | None, labels: Labels, classes: dict[int, list[int]], nearly_all: set[int]) -> str:
+def main_text(page: str | None, labels: Labels, classes: dict[int, list[int]], kept: set[int] = frozenset()) -> str:
+    """Text of the page's slots; tokens in ``kept`` are no template whatever their class."""
     found = parse(page, labels)
     template = deduce([t[0] for t in found], classes) if classes else set()
     blocks = [t for t in found if t[1] is not None and not t[2]]
     rank = max((t[3] for t in blocks), default=0)
-    drop = template & nearly_all if rank else template
-    return "\n".join(t[1] for t in blocks if t[3] == rank and t[0] not in drop)
+    return "\n".join(t[1] for t in blocks if t[3] == rank and (t[0] not in template or t[0] in kept))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
@@ -279,21 +282,20 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         labels, known = Labels(), {}
         for batch in batches:
             texts = []
-            rows = zip(*(batch.column(k).to_pylist() for k in (2, 3, 5)))
-            for i, (key, n, page) in enumerate(rows):
+            rows = zip(*(batch.column(k).to_pylist() for k in (2, 4)))
+            for i, (key, page) in enumerate(rows):
                 if key not in known:
                     if len(known) > 500:
                         known.clear()
-                    template = batch.column(4)[i].as_py()
+                    template = batch.column(3)[i].as_py()
                     classes: dict[int, list[int]] = {}
                     for t in template or ():
                         classes.setdefault(t["cls"], []).append(t["token"])
-                    strict = {t["token"] for t in template or () if n >= 10 and t["share"] >= 0.95}
-                    known[key] = classes, strict
-                texts.append(main_text(page, labels, *known[key]))
+                    known[key] = classes
+                texts.append(main_text(page, labels, known[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
     joined = pages.join(side, F.col("_host") == F.col("_key"), "left")
     kind = pages.schema["_id"].dataType.simpleString()
-    out = joined.select("_id", "_url", "_key", "pages", "template", "_html").mapInArrow(read, f"_id {kind}, _url string, text string")
+    out = joined.select("_id", "_url", "_key", "template", "_html").mapInArrow(read, f"_id {kind}, _url string, text string")
     return out.withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -57,5 +57,23 @@ def test_articles_of_the_given_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def _texts(spark, hosts):
+    """Texts by (host, number) of pages given as {host: [html]}."""
+    rows = [(f"{h}/{i}", f"http://{h}.example/{i}", p) for h, pages in hosts.items() for i, p in enumerate(pages)]
+    got = H.extract(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def test_template_inside_articles(spark):
+    """One support rule for all host sizes, also inside content elements; what articles quote stays."""
+    page = "<html><body><article><p>Log in to read on</p>{}<p>body {}</p>{}</article></body></html>"
+    extra = "<div class='box'><p>Our offer</p><ul><li>Now cheaper</li></ul></div>"
+    text = _texts(spark, {f"h{n}": [page.format(extra if i < 0.7 * n else "", i, "<p>quoted</p>" if i % 3 else "") for i in range(n)]
+                          for n in (6, 30)})
+    for n in (6, 30):
+        assert all(text[f"h{n}/{i}"] == f"body {i}" + ("\nquoted" if i % 3 else "") for i in range(n))
+
+
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
