@@ -3,7 +3,8 @@
 A page is a sequence of tokens: start tags with their path of tags and
 classes, and text blocks with their path.  Tokens of one host's pages that
 have the same occurrence vector (how often on which page) form an equivalence
-class; classes that are frequent (``support`` of the host's pages) and have at
+class.  Pages count by what they hold: copies with the same sequence of tokens are one page of
+the vector, so that no page becomes template by being repeated.  Classes that are frequent (``support`` of the host's pages) and have at
 least three tokens may belong to the template.  On a page, a class is valid if its
 tokens come in the class's order, and nested if it lies inside one gap of
 each larger class; the valid, nested classes are the template, and
@@ -26,7 +27,7 @@ least, so it is no larger than a few pages; it is joined to the host's pages
 (broadcast if its measured size is small).
 
 Edge cases: null html is empty text; pages without a host have no template and
-are judged by their paths alone, like hosts with fewer than three pages; cut pages and unclosed tags are
+are judged by their paths alone, like hosts with fewer than three different pages; cut pages and unclosed tags are
 parsed to the end; repeated rows share their result; very long pages are parsed whole in
 linear time; an empty table gives an empty result; other columns are ignored.
 """
@@ -192,16 +193,18 @@ def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool,
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, page, times, place): tokens of each page once; token 0 stands for the page itself.
+    """(host, token, page, times, place): tokens of each different page of a host once; token 0 stands for the page itself.
 
-    ``pages``: host number (null: none), page number, html.
+    ``pages``: host number (null: none), html.  ``page`` is a hash of the page's tokens.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = Labels()
         for batch in batches:
-            cols: tuple = ([], [], [], [], [])
-            for host, page, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            keys: tuple = ([], [], [])
+            cols: tuple = ([], [], [])
+            ends = [0]
+            for host, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 if host is None:
                     continue
                 found = [t[0] for t in parse(text, labels)]
@@ -209,13 +212,20 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 for i, t in enumerate(found):
                     first.setdefault(t, i / len(found))
                 times[0], first[0] = 1, 0.0
+                for c, v in zip(keys, (host, _number("page", *found), _number("copy", *found))):
+                    c.append(v)
                 for t, n in times.items():
-                    for c, v in zip(cols, (host, t, page, n, first[t])):
+                    for c, v in zip(cols, (t, n, first[t])):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(),
-                                             pa.float64()))], names=["host", "token", "page", "times", "place"])
+                ends.append(len(cols[0]))
+            held = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64()))],
+                                              names=["token", "times", "place"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in keys), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)],
+                                             names=["host", "page", "copy", "tokens"])
 
-    return pages.mapInArrow(emit, "host long, token long, page long, times int, place double")
+    parsed = pages.mapInArrow(emit, "host long, page long, copy long, tokens array<struct<token: long, times: int, place: double>>")
+    once = parsed.dropDuplicates(["host", "page", "copy"])
+    return once.select("host", "page", F.inline("tokens"))
 
 
 def templates(tokens: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3) -> DataFrame:
@@ -272,9 +282,9 @@ def main_text(page: str | None, labels: Labels, classes: dict[int, list[int]], k
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
     """One row per input row: id, url, ``text``."""
     host = url_parts(F.col(url_col))[0]
-    pages = df.select(F.when(host != "", F.xxhash64(host)).alias("_host"), F.xxhash64(F.col(id_col)).alias("_page"),
-                      F.col(html_col).alias("_html"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
-    found = materialize(templates(page_tokens(pages.select("_host", "_page", "_html")), support), "templates")
+    pages = df.select(F.when(host != "", F.xxhash64(host)).alias("_host"), F.col(html_col).alias("_html"),
+                      F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
+    found = materialize(templates(page_tokens(pages.select("_host", "_html")), support), "templates")
     tokens = found.agg(F.count(F.lit(1)).alias("h"), F.sum(F.size("template")).alias("n")).first()
     side = small(found.withColumnRenamed("host", "_key"), (tokens["n"] or 0) + tokens["h"], 64)
 

@@ -75,5 +75,16 @@ def test_template_inside_articles(spark):
         assert all(text[f"h{n}/{i}"] == f"body {i}" + ("\nquoted" if i % 3 else "") for i in range(n))
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    frame = "<html><body><div><p>Welcome</p></div><div>{}</div></body></html>"
+    marked = "<html><body><p>Welcome</p><article><h1>Title</h1><p>one</p><p>two {}</p></article></body></html>"
+    text = _texts(spark, {"marked": [marked.format("of the copies")] * 57 + [marked.format(i) for i in range(3)],
+                          "plain": [frame.format("<p>one</p><p>two</p><p>three</p>")] * 3 + [frame.format(f"<p>own {i}</p>") for i in range(3)],
+                          "same": [frame.format("<p>all alike</p>")] * 5})
+    assert all(text[f"marked/{i}"] == ("two of the copies" if i < 57 else f"two {i - 57}") for i in range(60))
+    assert all(text[f"plain/{i}"] == ("one\ntwo\nthree" if i < 3 else f"own {i - 3}") for i in range(6))
+    assert all(text[f"same/{i}"] == "Welcome\nall alike" for i in range(5))
+
+
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
