@@ -12,9 +12,10 @@ what lies between their tokens are slots.
 
 Text blocks that are template tokens are boilerplate.  Slots are judged by the
 path that holds them: those in navigation, header, footer, aside, form, advert, notice or comment
-elements (by tag, role, class or id) are boilerplate too.  If the page has an
-article (else a main element, else a named content element), the slots inside it are
-the text, else all slots left.  The same classes decide inside and outside such an element, on hosts
+elements (by tag, role, class or id) are boilerplate too.  Content elements are the outermost article, main and
+named content elements; if one of them holds at least as many characters as all slots outside them, the
+slots inside them are the text, else (the marked ones are teasers beside an unmarked body) all slots left
+are.  An article named as boilerplate is boilerplate unless it has a content name as well.  The same classes decide inside and outside such an element, on hosts
 of every size: a notice that all articles open with is in the class of the page's frame, while a
 passage that articles quote from each other makes a class of its own, too small to be template
 (three quoted blocks with the same pages, or a notice on some pages only without tags of its own,
@@ -90,8 +91,8 @@ class Labels:
     def __init__(self):
         self.known: dict[tuple, tuple] = {}
 
-    def of(self, tag: str, name: str, path: int, in_content: bool) -> tuple[int, bool, int]:
-        """(path hash, boilerplate, rank of the content element it opens: 3 article, 2 main, 1 named, 0 none)."""
+    def of(self, tag: str, name: str, path: int, in_content: bool) -> tuple[int, bool, bool]:
+        """(path hash, boilerplate, content element)."""
         key = (tag, path, in_content)
         got = self.known.get(key)
         if got is None:
@@ -105,24 +106,23 @@ class Labels:
         found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(tag)}
         names = _names_in(found.get("class", "")) + _names_in(found.get("id", ""))
         role = found.get("role", "").lower()
-        rank = 3 if name == "article" else 2 if name == "main" or role == "main" else 0
-        if not rank and (found.get("itemprop", "").lower() == "articlebody" or any(
-                "".join(n) in CONTENT_NAMES or (len(n) > 1 and n[0] in CONTENT_NAMES and n[-1] in ("content", "body", "text"))
-                for n in names)) and name in ("div", "section", "td"):
-            rank = 1
+        body = found.get("itemprop", "").lower() == "articlebody" or any("".join(n) in CONTENT_NAMES for n in names)
+        main = name == "main" or role == "main"
+        content = main or name == "article" or (name in ("div", "section", "td") and (body or any(
+            len(n) > 1 and n[0] in CONTENT_NAMES and n[-1] in ("content", "body", "text") for n in names)))
         boiler = (name in BOILER_TAGS or role in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
                   or (name == "header" and not in_content))
-        if not boiler and rank < 2 and name not in ("html", "body"):
+        if not boiler and not main and not (name == "article" and body) and name not in ("html", "body"):
             boiler = any(n and not NOT_NAMES & set(n) and (n[0] in BOILER_NAMES or n[-1] in BOILER_NAMES) for n in names)
         label = name + "." + ".".join(sorted("".join(n) for n in names if n and not any(x.isdigit() for x in n)))
-        return _number(path, label), boiler, rank
+        return _number(path, label), boiler, content
 
 
 def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool, int]]:
-    """Tokens in page order: (token, text of a block or None for a tag, boilerplate, content rank)."""
+    """Tokens in page order: (token, text of a block or None for a tag, boilerplate, content element or 0)."""
     page = page or ""
     out: list[tuple] = []
-    stack: list[tuple[str, int, bool, int]] = []       # name, path, boilerplate, content rank
+    stack: list[tuple[str, int, bool, int]] = []       # name, path, boilerplate, number of the outermost content element or 0
     held: list[str] = []
     here = ("", 0, False, 0)
 
@@ -138,7 +138,7 @@ def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool,
         del stack[n:]
         here = stack[-1] if stack else ("", 0, False, 0)
 
-    at = 0
+    at = contents = 0
     lower = None
     while True:
         m = TOKEN.search(page, at)
@@ -176,7 +176,7 @@ def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool,
                     if stack[i][0] in ends:
                         pop(i)
                         break
-        path, boiler, rank = labels.of(tag, name, here[1], here[3] > 0)
+        path, boiler, content = labels.of(tag, name, here[1], here[3] > 0)
         if block:
             out.append((path, None, False, 0))
         if name in RAW:
@@ -186,7 +186,9 @@ def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool,
             at = len(page) if end < 0 else end
             continue
         if name not in VOID and not tag.endswith("/>"):
-            here = (name, path, here[2] or boiler, max(here[3], rank))
+            if content and not here[3]:
+                contents += 1
+            here = (name, path, here[2] or boiler, here[3] or (contents if content else 0))
             stack.append(here)
     flush()
     return out
@@ -274,9 +276,13 @@ def main_text(page: str | None, labels: Labels, classes: dict[int, list[int]], k
     """Text of the page's slots; tokens in ``kept`` are no template whatever their class."""
     found = parse(page, labels)
     template = deduce([t[0] for t in found], classes) if classes else set()
-    blocks = [t for t in found if t[1] is not None and not t[2]]
-    rank = max((t[3] for t in blocks), default=0)
-    return "\n".join(t[1] for t in blocks if t[3] == rank and (t[0] not in template or t[0] in kept))
+    slots = [t for t in found if t[1] is not None and not t[2] and (t[0] not in template or t[0] in kept)]
+    held = Counter()
+    for t in slots:
+        held[t[3]] += len(t[1])
+    outside = held.pop(0, 0)
+    marked = max(held.values(), default=0) >= outside
+    return "\n".join(t[1] for t in slots if t[3] or not marked)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:

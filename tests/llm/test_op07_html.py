@@ -26,6 +26,21 @@ def test_parse_rules(page, want):
     assert H.main_text(page, H.Labels(), {}, set()) == want
 
 
+BODY = "The body is longer than any teaser."
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<main><p>body</p><section><article><p>teaser</p></article></section></main>", "body\nteaser"),
+    (f"<p>{BODY}</p><div class='post'><p>teaser</p></div><article>card</article>", f"{BODY}\nteaser\ncard"),
+    (f"<div class=story>{BODY}</div><article>card</article><p>link</p>", f"{BODY}\ncard"),
+    (f"<p>{BODY}</p><article class='comment'>{BODY} {BODY}</article>", BODY),
+    ("<main>a<article class='user-comment'>no</article><article class='post comments-open'>b</article></main>", "a\nb"),
+    ("<article><h1>A</h1>one</article><article>two</article><p>x</p>", "A\none\ntwo"),
+])
+def test_content_element_by_the_slots_it_holds(page, want):
+    assert H.main_text(page, H.Labels(), {}) == want
+
+
 def test_template_is_deduced(spark):
     """Without semantic marks, what all pages of a host share is template and the rest is text."""
     page = "<html><body><div><p>Welcome to our site</p><div><p>News every day</p></div></div><div><p>{}</p><p>{}</p></div><div><p>All rights kept</p></div></body></html>"
