@@ -29,7 +29,7 @@ least, so it is no larger than a few pages; it is joined to the host's pages
 
 Edge cases: null html is empty text; pages without a host have no template and
 are judged by their paths alone, like hosts with fewer than three different pages; cut pages and unclosed tags are
-parsed to the end; repeated rows share their result; very long pages are parsed whole in
+parsed to the end; stray and unclosed quotes in a tag do not reach past its '>'; repeated rows share their result; very long pages are parsed whole in
 linear time; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -50,9 +50,10 @@ from ..session import materialize
 from .common import small
 from .url_filter import url_parts
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^'">])*(?:>|\Z)""", re.S)
+# An attribute; quotes hold its value only if they come right after the '=' and are closed, all others are ordinary characters.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?][^\s/>]*(?:[\s/]+|{ATTRIBUTE.pattern})*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""\s(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +61,7 @@ RAW = frozenset("script style title textarea template noscript iframe svg xmp no
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre
     search section summary table tbody td tfoot th thead tr ul""".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
 #: Start tags that end an open element of the same group (up to the nearest holder).
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
             "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
@@ -103,7 +105,7 @@ class Labels:
 
     @staticmethod
     def _read(tag, name, path, in_content):
-        found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(tag)}
+        found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(tag, 1 + len(name))}
         names = _names_in(found.get("class", "")) + _names_in(found.get("id", ""))
         role = found.get("role", "").lower()
         body = found.get("itemprop", "").lower() == "articlebody" or any("".join(n) in CONTENT_NAMES for n in names)
@@ -139,7 +141,6 @@ def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool,
         here = stack[-1] if stack else ("", 0, False, 0)
 
     at = contents = 0
-    lower = None
     while True:
         m = TOKEN.search(page, at)
         if m is None:
@@ -180,10 +181,8 @@ def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool,
         if block:
             out.append((path, None, False, 0))
         if name in RAW:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find("</" + name, at)
-            at = len(page) if end < 0 else end
+            end = RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
             continue
         if name not in VOID and not tag.endswith("/>"):
             if content and not here[3]:

@@ -41,6 +41,24 @@ def test_content_element_by_the_slots_it_holds(page, want):
     assert H.main_text(page, H.Labels(), {}) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>a</p><a href=\"x\"\">b</a><p>c</p><a href=\"y\">d</a><p>e</p>", "a\nb\nc\nd\ne"),
+    ("<a href=/don't>one</a><p>two <a title='x'>three</a>", "one\ntwo three"),
+    ("<a href=/x?q=\">x</a><p>y \"z\"</p>", "x\ny \"z\""),
+    ("<p>a</p><a href=\"x>b</a><p>c</p>", "a\nb\nc"),
+    ("<p title=\"a>b\" lang = 'c>d'>q</p><div class=\"ad\"\">buy</div><p data-x='1'class=ad>buy</p>t", "q\nt"),
+    ("İ" * 9 + "<SCRIPT>var a = '</scripts>';</Script ><p>text</p>", "İ" * 9 + "\ntext"),
+    ("<title>t" + "İ" * 50 + "</title><style>p{}</style><p>" + "w " * 9 + "</p>x", ("w " * 9).strip() + "\nx"),
+])
+def test_malformed_pages(page, want):
+    assert H.main_text(page, H.Labels(), {}) == want
+
+
+def test_malformed_tags_take_linear_time():
+    for page in ("<a " + "\"' = " * 200_000, "<a b" + " " * 500_000 + "c", "<a x='" * 100_000, "<a =\"" * 100_001 + ">t"):
+        H.main_text(page, H.Labels(), {})
+
+
 def test_template_is_deduced(spark):
     """Without semantic marks, what all pages of a host share is template and the rest is text."""
     page = "<html><body><div><p>Welcome to our site</p><div><p>News every day</p></div></div><div><p>{}</p><p>{}</p></div><div><p>All rights kept</p></div></body></html>"
