@@ -7,14 +7,16 @@ sums are the exact shard sizes.  Rows are permuted inside their partition, the
 first ones go to shard 0, the next to shard 1 and so on; after the exchange
 every shard is permuted again.
 
-Partitions are a hash of the row, not of the file split, so a lost executor
+Identical rows are merged, counted and dealt out again with a copy number (in
+runs of ``RUN`` copies, so that no task writes all copies of one row).
+Partitions are a hash of the row and its copy number, not of the file split, so a lost executor
 or another cluster size gives the same result.  Both permutations rank rows by
 hashed cells of about ``rows_per_cell`` rows and number them from the cells'
 counts, so no task sorts a whole partition or shard.  The driver holds the
 matrix only: ``partitions`` x ``shards`` integers, whatever the size of the table.
 
 Edge cases: rows need no id and may hold nulls; identical rows are dealt like any
-others (they share a cell); an empty table gives an empty result; an input column
+others; an empty table gives an empty result; an input column
 named like a result column (``shard``, ``slot``) is replaced.
 """
 
@@ -28,6 +30,10 @@ from pyspark.sql.window import Window
 from .common import literal_table, packed, row_hashes, small
 
 
+#: Copies of one row that a task writes in a row.
+RUN = 1 << 10
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     """Good ones among ``draws`` draws without replacement, for totals of any size.
 
@@ -75,16 +81,31 @@ def _ranked(df: DataFrame, group: str, cells: int, order: list, out: str, groups
               .withColumn(out, F.col("_start") + F.col("_place")).drop("_start", "_place"))
 
 
+def numbered(df: DataFrame, seed: int) -> DataFrame:
+    """(_in, _h1, _h2, _copy): rows with their hashes and a number from 0 among identical rows."""
+    # What a row hash leaves out (maps) or does not tell apart (zeros with a sign) is hashed as text.
+    loose = [F.to_json(F.struct(f"`{f.name}`"), {"ignoreNullFields": "false"}) for f in df.schema.fields
+             if any(kind in f.dataType.simpleString() for kind in ("map<", "float", "double"))]
+    a, b = row_hashes(df, seed, 2)
+    keyed = df.select(packed(df), F.xxhash64(a, *loose).alias("_h1"), F.xxhash64(F.lit(1), b, *loose).alias("_h2"))
+    once = keyed.groupBy("_h1", "_h2").agg(F.first("_in").alias("_in"), (F.count(F.lit(1)) - 1).alias("_last"))
+    few = once.filter(F.col("_last") < RUN).select("_in", "_h1", "_h2", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_copy"))
+    runs = once.filter(F.col("_last") >= RUN).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), "_last", F.lit(RUN).cast("long"))))
+    spread = runs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h1", "_h2", "_from")
+    upto = F.least("_last", F.col("_from") + RUN - 1)
+    return few.union(spread.select("_in", "_h1", "_h2", F.explode(F.sequence("_from", upto)).alias("_copy")))
+
+
 def shard_documents(df: DataFrame, shards: int = 24, seed: int = 8, partitions: int = 256, rows_per_cell: int = 1 << 13) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
     df = df.drop("shard", "slot")
     total = df.count()
     local, final = (max(1, -(-total // (n * rows_per_cell))) for n in (partitions, shards))
     final = max(final, -(-partitions // shards))
-    h = row_hashes(df, seed, 5)
-    keyed = df.select(packed(df), F.pmod(h[0], F.lit(partitions)).cast("int").alias("_part"),
-                      F.pmod(h[1], F.lit(local)).cast("long").alias("_cell"), h[2].alias("_k1"), h[3].alias("_k2"),
-                      h[4].alias("_k3"))
+    h = [F.xxhash64(F.lit(seed), F.lit(k), "_h1", "_h2", "_copy") for k in range(5)]
+    keyed = numbered(df, seed).select("_in", F.pmod(h[0], F.lit(partitions)).cast("int").alias("_part"),
+                                      F.pmod(h[1], F.lit(local)).cast("long").alias("_cell"), h[2].alias("_k1"), h[3].alias("_k2"),
+                                      h[4].alias("_k3"))
     sizes = {r["_part"]: r["count"] for r in keyed.groupBy("_part").count().collect()}
     matrix = communication_matrix([sizes.get(p, 0) for p in range(partitions)], shards, seed)
     upto = [{"_part": p, "_upto": np.cumsum(row).tolist()} for p, row in enumerate(matrix)]

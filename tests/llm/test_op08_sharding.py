@@ -52,6 +52,27 @@ def test_shuffle_is_uniform(spark):
     assert {r["doc_id"]: r["shard"] for r in out} != {r["doc_id"]: r["shard"] for r in other}
 
 
+def test_copies_are_shuffled_like_other_rows(spark):
+    """Up-sampled documents and one row that is a third of the table: shards and slots are independent of being a copy."""
+    rows = [(i, {"a": i % 2}) for i in range(1000) for _ in range(3)] + [(-1, {"a": k}) for k in (0, 1) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, m map<string,int>")
+    out = S.shard_documents(df.repartition(5), shards=4, rows_per_cell=64, partitions=16).collect()
+    assert Counter((r["doc_id"], r["m"]["a"]) for r in out) == Counter((i, m["a"]) for i, m in rows)
+    assert max(Counter((r["shard"], r["slot"]) for r in out).values()) == 1
+    assert sorted(Counter(r["shard"] for r in out).values()) == [1500] * 4
+    where = defaultdict(list)
+    for r in out:
+        where[r["doc_id"]].append(r["shard"])
+    pairs = [a == b for d, (a, b, c) in ((d, v) for d, v in where.items() if d >= 0) for a, b in ((a, b), (b, c), (a, c))]
+    assert abs(np.mean(pairs) - 1 / 4) < 0.06
+    assert all(abs(n - 750) < 110 for n in Counter(where[-1]).values())
+    order = [r["doc_id"] for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
+    beside = np.mean([a == b for a, b in zip(order, order[1:]) if a == -1])
+    assert abs(beside - 1 / 2) < 0.06 and np.mean([a == b for a, b in zip(order, order[1:]) if a >= 0]) < 0.01
+    parts = S.numbered(df, 8).select("_h1", "_h2", "_copy").distinct().count()
+    assert parts == len(rows)
+
+
 def test_small_and_empty(spark):
     df = spark.range(5).withColumnRenamed("id", "doc_id")
     assert sorted(r["shard"] for r in S.shard_documents(df).collect()) == [0, 1, 2, 3, 4]
