@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
-last return the columns of ``documents``; the last adds ``shard`` and ``slot``.
+last return the columns of ``documents`` with the values they had, whatever their names; the last
+adds ``shard`` and ``slot`` (and replaces input columns of these two names).
 SQL cannot express language identification, so there is no oracle; tests hold
 the stages against brute force.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewise.llm import decontaminate, langid, mixing, sharding, simhash
+from casewise.llm.common import packed
 from casewise.session import materialize
 
 #: A document is rejected if no language is more likely than all others together.
@@ -25,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the labelled documents that are not held out.
     """
     model = langid.train(langid.split_held_out(docs).filter(~F.col("held_out")))
-    judged = langid.predict(docs.withColumn("_text", F.col("text")), model, "_text")
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE)).select(*docs.columns)
+    judged = langid.predict(docs.select(packed(docs), "text"), model)
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE)).select("_in.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: up to three copies, or none."""
-    mixed = mixing.mix(docs)
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    mixed = mixing.mix(docs.select(packed(docs), "doc_id", "text", "source"))
+    return mixed.filter("copies > 0").select("_in", F.explode(F.sequence(F.lit(1), "copies"))).select("_in.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from casewise.llm import decontaminate, simhash
@@ -54,3 +55,14 @@ def test_run_and_odd_rows(spark, tmp_path):
         assert (len(out) > 50) == (name == "odd")
         shards = Counter(r["shard"] for r in out)
         assert not out or max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_input_columns_keep_their_values(spark):
+    """Columns named like a helper or a result of a stage come out as they went in."""
+    names = ["lang_pred", "score", "size", "source_size", "target", "copies", "held_out", "_text", "_copy", "_in", "col"]
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumns({n: F.concat(F.lit(n), "doc_id") for n in names}).cache()
+    for stage in (P.language_id, P.near_dedup, P.decontamination, P.source_mixing):
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
