@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, langid, mixing, quotes, repeats, sharding, simhash, url_filter
+from . import (decontaminate, exact_dedup, html_extract, langid, mixing, quotes, repeats, sharding, simhash, token_files,
+               url_filter)
 from .common import table
 
 
@@ -62,8 +65,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    path = token_files.write_tokens(table(spark, sf_dir, "documents"), definition, end_id=2)
+    return token_files.read_tokens(spark, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_url_filter, op3_chat_formatting, op4_decontamination, op5_simhash_dedup, op6_language_id,
-    op7_html_extraction, op8_sharding, op9_mixing, op10_exact_dedup)}
+    op7_html_extraction, op8_sharding, op9_mixing, op10_exact_dedup, op11_token_files)}
 
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
