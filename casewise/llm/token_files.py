@@ -31,9 +31,10 @@ file's name.  ``manifest`` sums up the files (one row each, with the tokens of
 all files before), so a document's place in the whole stream is known without
 reading others.
 
-Encoding.  A tokenizer that drops white space never merges across it, so words
-between spaces, tabs and line feeds are encoded one by one and kept in a bounded
-table.  ``word_by_word`` must be False for tokenizers that see white space.
+Encoding.  A tokenizer that drops white space and takes runs of letters apart from
+runs of marks never merges across either border, so the words between them are
+encoded one by one and kept in a bounded table.  ``word_by_word`` must be False
+for other tokenizers.
 
 Edge cases: a null text is empty (one end id); null ids come first; equal ids
 are ordered by a hash of the text, and identical rows are dealt over
@@ -43,10 +44,16 @@ table gives a folder without documents; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
+import sys
+import types
 import uuid
+import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +69,12 @@ GAP = struct.pack("<II", SKIPPABLE, 1)
 TAIL = "<QQQQII8s"
 TAIL_BYTES = struct.calcsize(TAIL) + 1
 
-#: Documents in a frame, entries in a worker's word table, characters encoded at once.
-DOCS_PER_FRAME, WORDS_KEPT, PIECE, LONG_WORD = 4096, 1 << 18, 1 << 20, 64
+#: Documents in a frame, words that a worker keeps, characters in a piece, longest word kept.
+DOCS_PER_FRAME, WORDS_KEPT, PIECE, LONG_WORD = 4096, 1 << 20, 1 << 20, 64
+#: Characters encoded together (a longer text goes in pieces), and the mark between words given to the tokenizer.
+CHARS, MARK = 8 << 20, "\x01"
+#: Between these two groups a tokenizer that takes runs of letters and runs of marks always cuts.
+APART = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?#*&])"
 
 
 def pieces(text: str, size: int = PIECE):
@@ -79,33 +90,101 @@ def pieces(text: str, size: int = PIECE):
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit integers in one byte string."""
+    """Ids of texts as little-endian 32-bit integers, one byte string for each text.
+
+    With ``word_by_word`` Arrow splits the texts, finds the distinct words and looks them up among the
+    words met lately; the tokenizer sees the others, joined by a mark that is a token by itself.  Once
+    more than ``WORDS_KEPT`` words are kept, those of the newest texts stay.
+    """
 
     def __init__(self, definition: str, word_by_word: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-        self.tokenizer, self.word_by_word, self.kept = Tokenizer.from_str(definition), word_by_word, {"": b""}
+        self.tokenizer, self.word_by_word = Tokenizer.from_str(definition), word_by_word
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.LargeListArray.from_arrays(pa.array([0], pa.int64()), pa.array([], pa.uint32()))
+        mark = self._encoded([MARK, f"a {MARK} b"])
+        self.mark = mark[0][0] if len(mark[0]) == 1 and np.count_nonzero(mark[1] == mark[0][0]) == 1 else None
 
-    def _packed(self, encoding) -> bytes:
-        return struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.word_by_word:
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False))
-        out, kept = [], self.kept
-        for piece in pieces(text):
-            words = piece.replace("\n", " ").replace("\t", " ").split(" ")
-            new = [w for w in set(words) if w not in kept]
-            if new:
-                if len(kept) + len(new) > WORDS_KEPT:
-                    kept.clear()
-                    kept[""] = b""
-                    new = [w for w in set(words) if w]
-                found = dict(zip(new, map(self._packed, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-                out += [kept[w] if w in kept else found[w] for w in words]
-                kept.update((w, b) for w, b in found.items() if len(w) <= LONG_WORD)
+            return [i.tobytes() for i in self._encoded(texts)]
+        parts, owner, out = [], [], [[] for _ in texts]
+        for n, text in enumerate(texts):
+            own = list(pieces(text))
+            parts += own
+            owner += [n] * len(own)
+        first = 0
+        while first < len(parts):  # some million characters at a time
+            last, chars = first, 0
+            while last < len(parts) and (last == first or chars + len(parts[last]) <= CHARS):
+                chars += len(parts[last])
+                last += 1
+            for n, ids in zip(owner[first:last], self._split(parts[first:last])):
+                out[n].append(ids)
+            first = last
+        return [b"".join(x) for x in out]
+
+    def _split(self, parts: list[str]):
+        column = pc.replace_substring_regex(pa.array(parts, pa.large_string()), "[\\n\\t]", " ")
+        words = pc.split_pattern(pc.replace_substring_regex(column, APART, "\\1 \\2"), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        known = pc.index_in(distinct, value_set=self.words)
+        fresh = distinct.filter(known.is_null())
+        ids = self._new(fresh)
+        place = pc.if_else(known.is_null(), pa.array(np.cumsum(known.is_null().to_numpy(zero_copy_only=False)) - 1 + len(self.words),
+                                                     pa.int32()), known)
+        both = pa.concat_arrays([self.ids, ids])
+        # The ids of every word in its place, and where each part of the text ends among them.
+        size = np.diff(both.offsets.to_numpy())[place.to_numpy()]
+        flat = both.take(place.take(coded.indices)).flatten().to_numpy().tobytes()
+        upto = np.concatenate([[0], np.cumsum(size[coded.indices.to_numpy()])])
+        ends = (4 * upto[np.cumsum(pc.list_value_length(words).to_numpy())]).tolist()
+        self._keep(pa.concat_arrays([self.words, fresh]), both, place)
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _new(self, words: pa.Array) -> pa.LargeListArray:
+        """The ids of words, 8,192 in a call."""
+        if self.mark is None:
+            found = [self._encoded(words[at:at + 8192].to_pylist()) for at in range(0, len(words), 8192)]
+            size, values = [len(i) for part in found for i in part], [i for part in found for i in part]
+            return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), np.concatenate([*values, []]).astype("<u4"))
+        size, values = [np.zeros(1, np.int64)], [np.zeros(0, "<u4")]
+        for at in range(0, len(words), 8192):
+            some = words[at:at + 8192].to_pylist()
+            odd = {n: i for n, i in zip([n for n, w in enumerate(some) if MARK in w], self._encoded([w for w in some if MARK in w]))}
+            ids = self._encoded([f" {MARK} ".join("" if n in odd else w for n, w in enumerate(some))])[0]
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the tokenizer does not keep words apart: set word_by_word=False")
+            if odd:
+                values += [odd.get(n, i[i != self.mark]) for n, i in enumerate(np.split(ids, cuts))]
+                size.append(np.array([len(v) for v in values[-len(some):]], np.int64))
             else:
-                out += map(kept.__getitem__, words)
-        return b"".join(out)
+                values.append(ids[ids != self.mark])
+                size.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+        return pa.LargeListArray.from_arrays(np.cumsum(np.concatenate(size)), np.concatenate(values))
+
+    def _keep(self, words: pa.Array, ids: pa.LargeListArray, last: pa.Array) -> None:
+        if len(words) > WORDS_KEPT:
+            words, ids = words.take(last), ids.take(last)
+        if len(words) > WORDS_KEPT or pc.max(pc.binary_length(words)).as_py() or 0 > LONG_WORD:
+            short = pc.less_equal(pc.binary_length(words), LONG_WORD)
+            words, ids = words.filter(short)[:WORDS_KEPT], ids.filter(short)[:WORDS_KEPT]
+        self.words, self.ids = words, pa.LargeListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten())
+
+
+def encoder(definition: str, word_by_word: bool) -> Encoder:
+    """The process's encoder for this tokenizer: a reused worker keeps it, and its words, from task to task."""
+    store = sys.modules.setdefault("casewise_encoders", types.ModuleType("casewise_encoders")).__dict__
+    key = f"{zlib.crc32(definition.encode())}:{len(definition)}:{word_by_word}"
+    if key not in store:
+        store[key] = Encoder(definition, word_by_word)
+    return store[key]
 
 
 def skippable(magic: int, body: bytes) -> bytes:
@@ -183,13 +262,20 @@ def _encode_partition(definition: str, end_id: int, word_by_word: bool, frame_by
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encode = Encoder(definition, word_by_word)
+        encode = encoder(definition, word_by_word)
         files = FileBuilder(TaskContext.get().partitionId(), frame_bytes, frames_per_file, level)
         rows = lambda out: pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["row"])
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row in files.add(doc, encode(text.as_py()) + end):
-                    yield rows([row])
+            ids, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
+            while at < len(ids):
+                some, held = [], 0
+                while at + len(some) < len(ids) and held <= CHARS:
+                    some.append(texts[at + len(some)].as_py())
+                    held += len(some[-1])
+                for doc, packed in zip(ids[at:at + len(some)], encode(some)):
+                    for row in files.add(doc, packed + end):
+                        yield rows([row])
+                at += len(some)
         for row in files.end():
             yield rows([row])
 

@@ -27,16 +27,23 @@ def plain(definition, rows):
 
 
 ODD = ["", " ", "ΑΣ ΣΑΣ ς", "é ́x  ̸ ≠", "a\x1cb\x1d \x85c\xa0d e", "don't I'LL 've''re", "x" * 200 + " " + "y" * 70,
-       "<|endoftext|>a <|startoftext|> <|end", "\t\r\n a\r b\n\n", "漢字かな 한국어 ٠١٢ ½²", "🙂🙂 👩‍👩‍👧 ", "İI ıß ǅ", "\x00 ﻿ ​"]
+       "<|endoftext|>a <|startoftext|> <|end", "\t\r\n a\r b\n\n", "漢字かな 한국어 ٠١٢ ½²", "🙂🙂 👩‍👩‍👧 ", "İI ıß ǅ", "\x00 \x01 a\x01b ﻿ ​"]
 
 
-def test_word_by_word_equals_whole_text(definition):
+def test_word_by_word_equals_whole_text(definition, monkeypatch):
     rng = random.Random(1)
-    alphabet = list("abc 'ABCÉé̸́Σς \n\t\r\x0b\x1c\xa0 .,!?<|>0१½漢🙂‍각 ")
+    alphabet = list("\x01abc 'ABCÉé̸́Σς \n\t\r\x0b\x1c\xa0 .,!?<|>0१½漢🙂‍각 ")
     texts = ODD + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(3000)]
     encode = T.Encoder(definition)
-    for text, (_, ids) in zip(texts, plain(definition, enumerate(texts))):
-        assert memoryview(encode(text)).cast("I").tolist() == ids[:-1], repr(text)
+    want = [ids[:-1] for _, ids in plain(definition, enumerate(texts))]
+    for text, ids, whole in zip(texts, encode(texts), want):
+        assert memoryview(ids).cast("I").tolist() == whole, repr(text)
+    monkeypatch.setattr(T, "PIECE", 7)
+    monkeypatch.setattr(T, "CHARS", 50)
+    monkeypatch.setattr(T, "WORDS_KEPT", 20)
+    assert [memoryview(i).cast("I").tolist() for i in encode(texts)] == want
+    whole = T.Encoder(definition, word_by_word=False)
+    assert [memoryview(i).cast("I").tolist() for i in whole(texts)] == want
 
 
 def test_given_documents(spark, definition):
