@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, html_extract, langid, mixing, quotes, repeats, sharding, simhash, token_files,
-               url_filter)
+from . import (conversation_repair, decontaminate, exact_dedup, html_extract, langid, mixing, quotes, repeats, sharding, simhash,
+               token_files, url_filter, whitening)
 from .common import table
 
 
@@ -73,8 +73,17 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_url_filter, op3_chat_formatting, op4_decontamination, op5_simhash_dedup, op6_language_id,
-    op7_html_extraction, op8_sharding, op9_mixing, op10_exact_dedup, op11_token_files)}
+    op7_html_extraction, op8_sharding, op9_mixing, op10_exact_dedup, op11_token_files, op12_whitening,
+    op13_conversation_repair)}
 
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
