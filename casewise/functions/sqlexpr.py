@@ -22,15 +22,26 @@ def ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def strings(words) -> str:
+    return "array(" + ", ".join(lit(w) for w in words) + ")"
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``: a column that a loop uses would else be computed in every turn,
+    once the optimizer has put its expression in the column's place."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def any_contains(col: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({col}, {lit(w)})" for w in words) + ")"
 
 
 def count_contains(col: str, words: list[str]) -> str:
-    return "(" + " + ".join(f"CAST(contains({col}, {lit(w)}) AS INT)" for w in words) + ")"
+    """How many of ``words`` occur as substrings (one loop over a literal array, so the compiled code stays small)."""
+    return bound(col, "b", f"size(filter({strings(words)}, x -> contains(b, x)))")
 
 
 def entities(col: str, vocab) -> str:
     """Entity labels whose vocabulary hits ``col`` as a substring, label order kept."""
-    items = ", ".join(f"CASE WHEN {any_contains(col, words)} THEN {lit(label)} END" for label, words in vocab)
-    return f"array_compact(array({items}))"
+    rows = ", ".join(f"named_struct('l', {lit(label)}, 'w', {strings(words)})" for label, words in vocab)
+    return bound(col, "b", f"transform(filter(array({rows}), e -> exists(e.w, x -> contains(b, x))), e -> e.l)")

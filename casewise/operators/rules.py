@@ -1,10 +1,13 @@
 """C1 rule triage: weighted keyword and pattern rules as one projection.
 
-The lexicon is a plan-time constant (77 terms), so every term becomes a
-literal ``rlike`` in a single ``Project``: no shuffle, no join, no Python, and
-the same expression works on a streaming DataFrame.  Scores are carried in
-half-points (keyword 1.5 -> 3) so sums, the arg-max and its tie-break (first
-issue in lexicon order) are exact integers.
+The lexicon is a plan-time constant (77 terms).  Keywords and patterns are
+unfolded to the finite sets of word phrases that they match, the text is
+rewritten once to words between spaces, and a term is a search for its phrases
+in it (``functions.phrases``); a custom term that matches infinitely many
+texts stays a guarded regex.  All of it is one projection: no shuffle, no
+join, no Python, and the same expression works on a streaming DataFrame.
+Scores are carried in half-points (keyword 1.5 -> 3) so sums, the arg-max and
+its tie-break (first issue in lexicon order) are exact integers.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from .. import schemas
 from ..functions import lexicon as L
 from ..functions.scores import clamp_milli, highest_priority, milli_to_double, reasoning
 from ..functions import sqlexpr as X
+from ..functions.phrases import anchors, present, unfold, word_text
 from ..functions.text import normalize_text
 
 _TMP = "_rt_"
@@ -49,13 +53,50 @@ def detect_priority(t_name: str, default_priority: Column):
     return prio, factor
 
 
-def _match_sql(t: str, term: L.Term) -> str:
+def _texts(values) -> str:
+    return "array(" + ", ".join(X.lit(v) for v in values) + ")"
+
+
+def _numbers(values) -> str:
+    return "array(" + ", ".join(map(str, values)) + ")"
+
+
+def _guarded(t: str, term: L.Term) -> str:
     """``t rlike regex``, skipped when none of the term's required substrings occurs."""
     if not term.required:
         return f"({t} RLIKE {X.lit(term.regex)})"
     return f"(CASE WHEN {X.any_contains(t, term.required)} THEN {t} RLIKE {X.lit(term.regex)} ELSE false END)"
 
 
+def with_hits(df: DataFrame, terms: list[L.Term]) -> DataFrame:
+    """``df`` (column ``_rt_t``: normalized text) with ``_rt_hits``: the positions in ``terms`` of those that match, rising."""
+    t, w, p = (X.ident(_TMP + c) for c in "twp")
+    owners: dict[str, list[int]] = {}
+    loose = []
+    for at, term in enumerate(terms):
+        phrases = unfold(term.regex)
+        if not phrases:
+            loose.append(f"CASE WHEN {_guarded(t, term)} THEN {at} END")
+        for phrase in phrases or ():
+            owners.setdefault(phrase, []).append(at)
+    found = []
+    if owners:
+        anchor = anchors(sorted(owners))
+        df = df.withColumn(_TMP + "w", word_text(F.col(_TMP + "t")))
+        df = df.withColumn(_TMP + "p", present(F.col(_TMP + "w"), sorted(set(anchor.values()))))
+        several = [f"named_struct('a', {X.lit(anchor[x])}, 's', {X.lit(f' {x} ')}, 'f', {X.lit(x)})" for x in sorted(owners) if anchor[x] != x]
+        said = p if not several else f"concat({p}, " + X.bound(f"named_struct('p', {p}, 'w', {w})", "b", (
+            f"transform(filter(array({', '.join(several)}), x -> array_contains(b.p, x.a) AND contains(b.w, x.s)), x -> x.f)")) + ")"
+        table = f"map_from_arrays({_texts(sorted(owners))}, array({', '.join(_numbers(owners[x]) for x in sorted(owners))}))"
+        found.append(f"flatten(transform({said}, h -> coalesce(element_at({table}, h), CAST(array() AS ARRAY<INT>))))")
+    if loose:
+        found.append(f"array_compact(array({', '.join(loose)}))")
+    all_hits = f"concat({', '.join(found)})" if found else "CAST(array() AS ARRAY<INT>)"
+    hits = f"array_sort(array_distinct({all_hits}))"
+    return df.withColumn(_TMP + "hits", F.expr(f"CASE WHEN size({p}) = 0 THEN CAST(array() AS ARRAY<INT>) ELSE {hits} END"
+                                               if owners and not loose else hits))
+
+
 def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
@@ -69,34 +110,22 @@ def rule_triage(df: DataFrame, text_col: str = "complaint_text", out_col: str =
     With ``keep_scores`` the per-row best half-score and match count are kept.
     """
     terms = terms or L.rule_terms()
-    n_issues = len(L.ISSUE_NAMES)
     t = F.col(_TMP + "t")
-    hit = F.col(_TMP + "hits")
-
-    tname, hname = X.ident(_TMP + "t"), X.ident(_TMP + "hits")
-    hits_sql = "array(" + ", ".join(_match_sql(tname, term) for term in terms) + ")"
-    step1 = df.withColumn(_TMP + "t", normalize_text(F.col(text_col)))
-    step1 = step1.withColumn(_TMP + "hits", F.expr(hits_sql))
-
-    def h(i):
-        return f"{hname}[{i}]"
-
-    issue_scores = []
-    for issue_ord in range(n_issues):
-        parts = [f"CASE WHEN {h(at)} THEN {int(round(term.weight * 2))} ELSE 0 END"
-                 for at, term in enumerate(terms) if term.issue_ord == issue_ord]
-        issue_scores.append("(" + " + ".join(parts) + ")" if parts else "0")
-    step2 = step1.withColumn(_TMP + "s", F.expr("array(" + ", ".join(issue_scores) + ")"))
-    s = F.col(_TMP + "s")
-    best2 = F.array_max(s)
-    best_ord = F.array_position(s, best2) - 1          # first issue with the top score
-    n_matches = F.expr("(" + " + ".join(f"CAST({h(at)} AS INT)" for at in range(len(terms))) + ")")
-    evidence = F.expr("slice(array_compact(array(" + ", ".join(
-        f"CASE WHEN {h(at)} THEN {X.lit(term.evidence)} END" for at, term in enumerate(terms)) + ")), 1, 4)")
-
-    step3 = step2.select("*", best2.alias(_TMP + "best2"), best_ord.cast("int").alias(_TMP + "ord"),
-                         n_matches.alias(_TMP + "nm"), evidence.alias(_TMP + "ev"),
-                         F.expr(X.entities(tname, L.ENTITY_VOCAB)).alias(_TMP + "ent"))
+    tname, hits = X.ident(_TMP + "t"), X.ident(_TMP + "hits")
+    step1 = with_hits(df.withColumn(_TMP + "t", normalize_text(F.col(text_col))), terms)
+    issue_of, half_points = _numbers(term.issue_ord for term in terms), _numbers(int(round(term.weight * 2)) for term in terms)
+    # Largest sum of half-points; of equals the first issue in lexicon order.
+    best = X.bound(hits, "b", (
+        f"array_max(transform(array_distinct(transform(b, o -> {issue_of}[o])), i -> named_struct('s', aggregate(b, 0, "
+        f"(a, o) -> a + CASE WHEN {issue_of}[o] = i THEN {half_points}[o] ELSE 0 END), 'i', -i)))"))
+    step2 = step1.withColumn(_TMP + "best", F.expr(best)) if terms else step1.withColumn(
+        _TMP + "best", F.lit(None).cast("struct<s: int, i: int>"))
+    top = F.col(_TMP + "best")
+    evidence = F.expr(f"transform(slice({hits}, 1, 4), o -> {_texts(term.evidence for term in terms)}[o])" if terms
+                      else "CAST(array() AS ARRAY<STRING>)")
+    step3 = step2.select("*", F.greatest(F.coalesce(top["s"], F.lit(0)), F.lit(0)).alias(_TMP + "best2"),
+                         F.coalesce(-top["i"], F.lit(0)).alias(_TMP + "ord"), F.size(_TMP + "hits").alias(_TMP + "nm"),
+                         evidence.alias(_TMP + "ev"), F.expr(X.entities(tname, L.ENTITY_VOCAB)).alias(_TMP + "ent"))
     b2, bo, nm = F.col(_TMP + "best2"), F.col(_TMP + "ord"), F.col(_TMP + "nm")
     matched = b2 > 0
     issue = F.element_at(_lit_array(L.ISSUE_NAMES), bo + 1)
