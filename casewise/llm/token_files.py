@@ -70,9 +70,9 @@ TAIL = "<QQQQII8s"
 TAIL_BYTES = struct.calcsize(TAIL) + 1
 
 #: Documents in a frame, words that a worker keeps, characters in a piece, longest word kept.
-DOCS_PER_FRAME, WORDS_KEPT, PIECE, LONG_WORD = 4096, 1 << 20, 1 << 20, 64
+DOCS_PER_FRAME, WORDS_KEPT, PIECE, LONG_WORD = 4096, 1 << 19, 1 << 20, 64
 #: Characters encoded together (a longer text goes in pieces), and the mark between words given to the tokenizer.
-CHARS, MARK = 8 << 20, "\x01"
+CHARS, MARK = 2 << 20, "\x01"
 #: Between these two groups a tokenizer that takes runs of letters and runs of marks always cuts.
 APART = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?#*&])"
 
@@ -126,6 +126,7 @@ class Encoder:
             for n, ids in zip(owner[first:last], self._split(parts[first:last])):
                 out[n].append(ids)
             first = last
+            pa.default_memory_pool().release_unused()
         return [b"".join(x) for x in out]
 
     def _split(self, parts: list[str]):
