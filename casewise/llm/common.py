@@ -45,6 +45,27 @@ def row_hashes(df: DataFrame, seed: int, n: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), F.lit(k), *cols, *flags) for k in range(n)]
 
 
+def canonical(value: Column, t: T.DataType) -> Column:
+    """A value of any type as text that tells all values apart, also nulls at any depth."""
+    if isinstance(t, T.ArrayType):
+        inner = F.concat(F.size(value).cast("string"), F.lit(":"), F.array_join(F.transform(value, lambda e: canonical(e, t.elementType)), ""))
+    elif isinstance(t, T.MapType):
+        entries = T.ArrayType(T.StructType([T.StructField("key", t.keyType), T.StructField("value", t.valueType)]))
+        inner = canonical(F.map_entries(value), entries)
+    elif isinstance(t, T.StructType):
+        inner = F.concat(F.lit("{"), *[canonical(value.getField(f.name), f.dataType) for f in t.fields])
+    else:
+        text = (F.base64(value) if isinstance(t, T.BinaryType) else F.to_json(value) if isinstance(t, T.VariantType)
+                else F.unix_micros(value).cast("string") if isinstance(t, T.TimestampType) else value.cast("string"))
+        inner = F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+    return F.when(value.isNull(), F.lit("~")).otherwise(inner)
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 (32 bytes) of a whole row: equal exactly for identical rows."""
+    return F.unhex(F.sha2(F.concat(F.lit(""), *[canonical(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]), 256))
+
+
 def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are small enough, else as it is."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df

@@ -7,10 +7,12 @@ sums are the exact shard sizes.  Rows are permuted inside their partition, the
 first ones go to shard 0, the next to shard 1 and so on; after the exchange
 every shard is permuted again.
 
-Identical rows are merged, counted and dealt out again with a copy number (in
-runs of ``RUN`` copies, so that no task writes all copies of one row).
-Partitions are a hash of the row and its copy number, not of the file split, so a lost executor
-or another cluster size gives the same result.  Both permutations rank rows by
+All of this runs on digests: SHA-256 of the whole row, nulls at any depth
+included, and a number among identical rows.  The rows themselves are shuffled
+once, to meet their places; identical rows travel as one and are written for each
+of their places, in runs of ``RUN``, so that no task writes all copies of one row.
+Partitions are a hash of digest and copy number, not of the file split, so a lost executor
+or another cluster size gives the same result.  Both permutations rank digests by
 hashed cells of about ``rows_per_cell`` rows and number them from the cells'
 counts, so no task sorts a whole partition or shard.  The driver holds the
 matrix only: ``partitions`` x ``shards`` integers, whatever the size of the table.
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import literal_table, packed, row_hashes, small
+from ..session import materialize
+from .common import literal_table, packed, row_digest, small
 
 
 #: Copies of one row that a task writes in a row.
@@ -81,38 +84,48 @@ def _ranked(df: DataFrame, group: str, cells: int, order: list, out: str, groups
               .withColumn(out, F.col("_start") + F.col("_place")).drop("_start", "_place"))
 
 
-def numbered(df: DataFrame, seed: int) -> DataFrame:
-    """(_in, _h1, _h2, _copy): rows with their hashes and a number from 0 among identical rows."""
-    # What a row hash leaves out (maps) or does not tell apart (zeros with a sign) is hashed as text.
-    loose = [F.to_json(F.struct(f"`{f.name}`"), {"ignoreNullFields": "false"}) for f in df.schema.fields
-             if any(kind in f.dataType.simpleString() for kind in ("map<", "float", "double"))]
-    a, b = row_hashes(df, seed, 2)
-    keyed = df.select(packed(df), F.xxhash64(a, *loose).alias("_h1"), F.xxhash64(F.lit(1), b, *loose).alias("_h2"))
-    once = keyed.groupBy("_h1", "_h2").agg(F.first("_in").alias("_in"), (F.count(F.lit(1)) - 1).alias("_last"))
-    few = once.filter(F.col("_last") < RUN).select("_in", "_h1", "_h2", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_copy"))
-    runs = once.filter(F.col("_last") >= RUN).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), "_last", F.lit(RUN).cast("long"))))
-    spread = runs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h1", "_h2", "_from")
-    upto = F.least("_last", F.col("_from") + RUN - 1)
-    return few.union(spread.select("_in", "_h1", "_h2", F.explode(F.sequence("_from", upto)).alias("_copy")))
+def numbered(counts: DataFrame) -> DataFrame:
+    """(_h, _copy): every copy of each digest of (_h, _n), numbered from 0, written in runs of ``RUN``."""
+    last = (F.col("_n") - 1).cast("long")
+    few = counts.filter(F.col("_n") <= RUN).select("_h", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_copy"))
+    runs = counts.filter(F.col("_n") > RUN).select("_h", last.alias("_last"), F.explode(
+        F.sequence(F.lit(0).cast("long"), last, F.lit(RUN).cast("long"))).alias("_from"))
+    spread = runs.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h", "_from")
+    return few.union(spread.select("_h", F.explode(F.sequence("_from", F.least("_last", F.col("_from") + RUN - 1))).alias("_copy")))
 
 
-def shard_documents(df: DataFrame, shards: int = 24, seed: int = 8, partitions: int = 256, rows_per_cell: int = 1 << 13) -> DataFrame:
-    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
-    df = df.drop("shard", "slot")
-    total = df.count()
+def places(copies: DataFrame, total: int, shards: int, seed: int, partitions: int, rows_per_cell: int) -> DataFrame:
+    """(_h, _copy, shard, slot): the two permutations and the exchange between them, on digests and copy numbers alone."""
     local, final = (max(1, -(-total // (n * rows_per_cell))) for n in (partitions, shards))
     final = max(final, -(-partitions // shards))
-    h = [F.xxhash64(F.lit(seed), F.lit(k), "_h1", "_h2", "_copy") for k in range(5)]
-    keyed = numbered(df, seed).select("_in", F.pmod(h[0], F.lit(partitions)).cast("int").alias("_part"),
-                                      F.pmod(h[1], F.lit(local)).cast("long").alias("_cell"), h[2].alias("_k1"), h[3].alias("_k2"),
-                                      h[4].alias("_k3"))
+    h = [F.xxhash64(F.lit(seed), F.lit(k), "_h", "_copy") for k in range(5)]
+    keyed = copies.select("_h", "_copy", F.pmod(h[0], F.lit(partitions)).cast("int").alias("_part"),
+                          F.pmod(h[1], F.lit(local)).cast("long").alias("_cell"), h[2].alias("_k1"), h[3].alias("_k2"), h[4].alias("_k3"))
     sizes = {r["_part"]: r["count"] for r in keyed.groupBy("_part").count().collect()}
     matrix = communication_matrix([sizes.get(p, 0) for p in range(partitions)], shards, seed)
     upto = [{"_part": p, "_upto": np.cumsum(row).tolist()} for p, row in enumerate(matrix)]
-    bounds = small(literal_table(df.sparkSession, upto, "_part int, _upto array<bigint>"), partitions, 8 * shards)
+    bounds = small(literal_table(copies.sparkSession, upto, "_part int, _upto array<bigint>"), partitions, 8 * shards)
     permuted = _ranked(keyed, "_part", local, ["_k1", "_k2"], "_rank", partitions)
     dealt = (permuted.join(bounds, "_part")
                      .withColumn("shard", F.size(F.filter("_upto", lambda x: x <= F.col("_rank"))).cast("int"))
                      .withColumn("_cell", F.pmod(F.xxhash64("_k3", F.lit(seed)), F.lit(final)).cast("long")))
-    placed = _ranked(dealt.select("_in", "shard", "_cell", "_k1", "_k2", "_k3"), "shard", final, ["_k3", "_k1", "_k2"], "slot", shards)
-    return placed.select("_in.*", "shard", F.col("slot").cast("long").alias("slot"))
+    placed = _ranked(dealt.select("_h", "_copy", "shard", "_cell", "_k1", "_k2", "_k3"), "shard", final, ["_k3", "_k1", "_k2"], "slot", shards)
+    return placed.select("_h", "_copy", "shard", F.col("slot").cast("long").alias("slot"))
+
+
+def shard_documents(df: DataFrame, shards: int = 24, seed: int = 8, partitions: int = 256, rows_per_cell: int = 1 << 13) -> DataFrame:
+    """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
+    df = df.drop("shard", "slot")
+    keyed = df.select(packed(df), row_digest(df).alias("_h"))
+    counts = materialize(keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")), "shard_digests")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    where = places(numbered(counts), total, shards, seed, partitions, rows_per_cell)
+    # The places of a digest, at most RUN in a row; the rows themselves are shuffled once, to meet them.
+    runs = materialize(where.groupBy("_h", F.floor(F.col("_copy") / RUN).cast("long").alias("_run"))
+                            .agg(F.collect_list(F.struct("shard", "slot")).alias("_to")), "shard_places")
+    once = keyed.groupBy("_h").agg(F.first("_in").alias("_in"), F.count(F.lit(1)).alias("_n"))
+    few = once.filter(F.col("_n") <= RUN).join(runs.filter("_run = 0").select("_h", "_to"), "_h").select("_in", "_to")
+    many = (once.filter(F.col("_n") > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))
+                .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h", "_run")
+                .join(runs, ["_h", "_run"]).select("_in", "_to"))
+    return few.union(many).select("_in", F.explode("_to").alias("_at")).select("_in.*", "_at.shard", "_at.slot")
