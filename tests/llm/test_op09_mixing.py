@@ -71,6 +71,28 @@ def test_matches_oracle(spark):
     assert got == sorted(con.execute(M.ORACLE).fetchall())
 
 
+def test_repeated_rows_meet_the_target(spark, monkeypatch):
+    """Sources of equal rows, or of rows with null ids, come within one document of their target."""
+    monkeypatch.setattr(M, "RUN", 64)
+    monkeypatch.setattr("casewise.llm.sharding.RUN", 64)
+    rows = [(1, "w w w", "en", "s1", 5)] * 4000 + [(None, f"a b {n}", "en", "s2", n % 3) for n in range(1500)] + [(None, None, None, "s2", None)] * 30
+    rows += [(n, "x " * (n % 9), "de", "s3", None) for n in range(3000)] + [(7, "x y", "de", "s3", None)] * 50 + [(8, "é ß", "fr", None, 1)] * 70
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = M.mix(df.repartition(4), rows_per_bucket=64)
+    got = out.collect()
+    assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, rows))
+    taken, target = {}, {}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 8 for s in target), (taken, target)
+    con = duckdb.connect()
+    con.register("t", df.toArrow())
+    con.execute("create view documents as select doc_id::bigint doc_id, text, lang, source, n_chars::bigint n_chars from t")
+    mine = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["size"] * r["copies"]) for r in got]
+    assert sorted(mine, key=repr) == sorted(con.execute(M.ORACLE).fetchall(), key=repr)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(df).count() == 0
