@@ -29,7 +29,7 @@ one task; every pass is written to the checkpoint folder.
 Bytes are removed if any repeated window covers them; windows are judged on
 the input.  Edge cases: a null text counts as empty; texts shorter than the
 window keep all bytes; repeated rows repeat each other, so they lose all
-windows; null ids are allowed; very long texts are scanned in slices; an empty
+windows; rows are told apart by id and a 64-bit hash of the text, so null and equal ids are allowed; very long texts are scanned in slices; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -51,7 +51,7 @@ CELLS = (100, 10, 1)
 SLICE_BITS = 20
 #: A run as one number: first window, offset of that window to the anchor (13 bits), number of windows (7 bits).
 BASE, OFF, MANY = 20, 7, 127
-RUNS = "core long, whole long, _id {id}, _crc long, span long"
+RUNS = "core long, whole long, _id {id}, _sum long, span long"
 
 
 def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -126,11 +126,11 @@ def _batch(ids: pa.Array, crcs: pa.Array, found: list) -> pa.RecordBatch:
     core, whole, base, off, n = (np.concatenate([f[k] for f in found]) for k in range(1, 6))
     span = (base << BASE) | (off << OFF) | n
     return pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), ids.take(row), crcs.take(row), pa.array(span)],
-                                      names=["core", "whole", "_id", "_crc", "span"])
+                                      names=["core", "whole", "_id", "_sum", "span"])
 
 
 def _text_runs(docs: DataFrame, window: int, cell: int) -> DataFrame:
-    """Runs of whole texts (columns _id, _crc, _data)."""
+    """Runs of whole texts (columns _id, _sum, _data)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +151,7 @@ def _text_runs(docs: DataFrame, window: int, cell: int) -> DataFrame:
 
 
 def _piece_runs(pieces: DataFrame, window: int, cell: int) -> DataFrame:
-    """Runs of smaller cells inside pieces (columns _id, _crc, span, _data)."""
+    """Runs of smaller cells inside pieces (columns _id, _sum, span, _data)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,18 +169,18 @@ def _piece_runs(pieces: DataFrame, window: int, cell: int) -> DataFrame:
 
 
 def _cut_pieces(owners: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """The bytes of runs: owners (_id, _crc, _start, _data) hold them; spans (_id, _crc, span).
+    """The bytes of runs: owners (_id, _sum, _start, _data) hold them; spans (_id, _sum, span).
 
     A run of ``n`` windows needs n + window - 1 bytes.
     """
-    wanted = spans.groupBy("_id", "_crc").agg(F.collect_set("span").alias("_spans"))
-    wanted = wanted.withColumnsRenamed({"_id": "_i", "_crc": "_c"})
-    joined = owners.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_crc") == F.col("_c")))
-    each = joined.select("_id", "_crc", "_start", "_stop", "_data", F.explode("_spans").alias("span"))
+    wanted = spans.groupBy("_id", "_sum").agg(F.collect_set("span").alias("_spans"))
+    wanted = wanted.withColumnsRenamed({"_id": "_i", "_sum": "_c"})
+    joined = owners.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sum") == F.col("_c")))
+    each = joined.select("_id", "_sum", "_start", "_stop", "_data", F.explode("_spans").alias("span"))
     base, n = F.shiftright("span", BASE), F.col("span").bitwiseAND(F.lit(MANY))
     inside = (base >= F.col("_start")) & (base + n + window - 1 <= F.col("_stop"))
     data = F.substring("_data", (base - F.col("_start") + 1).cast("int"), (n + window - 1).cast("int"))
-    return each.filter(inside).select("_id", "_crc", "span", data.alias("_data"))
+    return each.filter(inside).select("_id", "_sum", "span", data.alias("_data"))
 
 
 def _classify(runs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -188,21 +188,21 @@ def _classify(runs: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]
     if last:
         # The digest pair is the whole window; groups of several members are the answer.
         repeated = materialize(runs.groupBy("core", "whole").count().filter("count > 1").select("core", "whole"), "windows")
-        return materialize(runs.join(repeated, ["core", "whole"], "left_semi").select("_id", "_crc", "span"), "spans"), None
+        return materialize(runs.join(repeated, ["core", "whole"], "left_semi").select("_id", "_sum", "span"), "spans"), None
     shared = materialize(runs.groupBy("core").count().filter("count > 1").select("core"), "digits")
     open_runs = materialize(runs.join(shared, "core", "left_semi"), "open_runs")
-    one = [F.first(c).alias(c) for c in ("_id", "_crc", "span")]
+    one = [F.first(c).alias(c) for c in ("_id", "_sum", "span")]
     groups = materialize(open_runs.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("members"), *one), "groups")
     again = groups.filter("members > 1").select("core", "whole")
-    spans = materialize(open_runs.join(again, ["core", "whole"], "left_semi").select("_id", "_crc", "span"), "spans")
+    spans = materialize(open_runs.join(again, ["core", "whole"], "left_semi").select("_id", "_sum", "span"), "spans")
     edges = groups.groupBy("core").agg(F.min("members").alias("least")).filter("least = 1").select("core")
     edges = materialize(edges, "edges")           # a written table: a digest with many contents is split over tasks
-    split = groups.join(edges, "core", "left_semi").select("_id", "_crc", "span")
+    split = groups.join(edges, "core", "left_semi").select("_id", "_sum", "span")
     return spans, materialize(split, "split")
 
 
 def repeated_windows(docs: DataFrame, window: int, cells=CELLS) -> DataFrame:
-    """(_id, _crc, span): runs of window starts that occur again, from docs (_id, _crc, _data)."""
+    """(_id, _sum, span): runs of window starts that occur again, from docs (_id, _sum, _data)."""
     spans, split = _classify(_text_runs(docs, window, cells[0]), cells[0] == 1)
     found = [spans]
     owners = docs.withColumns({"_start": F.lit(0).cast("long"), "_stop": F.length("_data").cast("long")})
@@ -211,7 +211,7 @@ def repeated_windows(docs: DataFrame, window: int, cells=CELLS) -> DataFrame:
         spans, split = _classify(_piece_runs(pieces, window, cell), cell == 1)
         found.append(spans)
         start = F.shiftright("span", BASE)
-        owners = pieces.select("_id", "_crc", start.alias("_start"), (start + F.length("_data")).alias("_stop"), "_data")
+        owners = pieces.select("_id", "_sum", start.alias("_start"), (start + F.length("_data")).alias("_stop"), "_data")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -230,11 +230,11 @@ def _cover(spans: list | None, window: int) -> list[tuple[int, int]]:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``removed`` (array of start, end), ``kept`` (remaining bytes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("_id"), F.crc32(text).alias("_crc"), text.cast("binary").alias("_data"))
+    docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_sum"), text.cast("binary").alias("_data"))
     spans = repeated_windows(docs, window)
-    spans = spans.groupBy("_id", "_crc").agg(F.collect_set("span").alias("_spans"))
-    spans = spans.withColumnsRenamed({"_id": "_i", "_crc": "_c"})
-    joined = docs.join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_crc") == F.col("_c")), "left")
+    spans = spans.groupBy("_id", "_sum").agg(F.collect_set("span").alias("_spans"))
+    spans = spans.withColumnsRenamed({"_id": "_i", "_sum": "_c"})
+    joined = docs.join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sum") == F.col("_c")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
