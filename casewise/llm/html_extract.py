@@ -5,7 +5,9 @@ classes, and text blocks with their path.  Tokens of one host's pages that
 have the same occurrence vector (how often on which page) form an equivalence
 class.  Pages count by what they hold: copies with the same sequence of tokens are one page of
 the vector, so that no page becomes template by being repeated.  Classes that are frequent (``support`` of the host's pages) and have at
-least three tokens may belong to the template.  On a page, a class is valid if its
+least three tokens may belong to the template.  A class is text, though, if its pages hold little besides while others of the host
+hold articles (``trusted``): an article and its near copies differ in a line, pages under one template in
+their whole text; a host whose pages all are near copies of one has no template.  On a page, a class is valid if its
 tokens come in the class's order, and nested if it lies inside one gap of
 each larger class; the valid, nested classes are the template, and
 what lies between their tokens are slots.
@@ -19,7 +21,9 @@ are.  An article named as boilerplate is boilerplate unless it has a content nam
 of every size: a notice that all articles open with is in the class of the page's frame, while a
 passage that articles quote from each other makes a class of its own, too small to be template
 (three quoted blocks with the same pages, or a notice on some pages only without tags of its own,
-cannot be told apart from the class alone: the first is template, the second text).
+cannot be told apart from the class alone: the first is template, the second text).  Hosts of one page make
+a group with all such pages of the same layout (tags and paths).  Inside content a class or id names boilerplate only if
+all its words do.
 
 Occurrence vectors are never built: two sums of hashes over (page, count)
 stand for a vector, so a host with a third of all pages is a partial
@@ -28,7 +32,7 @@ least, so it is no larger than a few pages; it is joined to the host's pages
 (broadcast if its measured size is small).
 
 Edge cases: null html is empty text; pages without a host have no template and
-are judged by their paths alone, like hosts with fewer than three different pages; cut pages and unclosed tags are
+are judged by their paths alone, like pages whose layout no other host of one page shares; cut pages and unclosed tags are
 parsed to the end; stray and unclosed quotes in a tag do not reach past its '>'; repeated rows share their result; very long pages are parsed whole in
 linear time; an empty table gives an empty result; other columns are ignored.
 """
@@ -41,6 +45,7 @@ from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -73,6 +78,10 @@ BOILER_NAMES = frozenset("""nav navbar navigation menu menubar breadcrumb breadc
     advertising sponsor sponsored promo promotion newsletter subscribe subscription signup login search form comment
     comments commentlist disqus reply replies respond share sharing social related recommended recommendations widget widgets
     toolbar pagination pager copyright hidden""".split())
+#: Words that say nothing beside one of the names above, and names that need not stand alone inside content.
+PLAIN_NAMES = frozenset("""box block button buttons bar list link links section container wrapper area panel inner outer item items
+    top bottom left right main site page global""".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
 CONTENT_NAMES = frozenset("content article post entry main story articlebody maincontent".split())
 NOT_NAMES = frozenset("has with no without is".split())
 
@@ -87,6 +96,13 @@ def _names_in(value: str) -> list[list[str]]:
     return [[w.lower() for w in WORDS.findall(x)] for x in value.split()]
 
 
+def _boilerplate(words: list[str], in_content: bool) -> bool:
+    """Does a class or id name boilerplate?  Inside content all its words must, so that ``share-price`` is no share box."""
+    if {words[0], words[-1]} & (COMMENT_NAMES if in_content else BOILER_NAMES):
+        return True
+    return in_content and not set(words) <= PLAIN_NAMES and set(words) <= BOILER_NAMES | PLAIN_NAMES
+
+
 class Labels:
     """What a start tag's name and attributes say, remembered by its source text (bounded)."""
 
@@ -115,7 +131,7 @@ class Labels:
         boiler = (name in BOILER_TAGS or role in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
                   or (name == "header" and not in_content))
         if not boiler and not main and not (name == "article" and body) and name not in ("html", "body"):
-            boiler = any(n and not NOT_NAMES & set(n) and (n[0] in BOILER_NAMES or n[-1] in BOILER_NAMES) for n in names)
+            boiler = any(n and not NOT_NAMES & set(n) and _boilerplate(n, in_content) for n in names)
         label = name + "." + ".".join(sorted("".join(n) for n in names if n and not any(x.isdigit() for x in n)))
         return _number(path, label), boiler, content
 
@@ -194,43 +210,48 @@ def parse(page: str | None, labels: Labels) -> list[tuple[int, str | None, bool,
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, page, times, place): tokens of each different page of a host once; token 0 stands for the page itself.
+    """(host, page, tokens): each different page of a host once; token 0 stands for the page itself.
 
-    ``pages``: host number (null: none), html.  ``page`` is a hash of the page's tokens.
+    ``pages``: host number (null: none), html.  ``page`` is a hash of the page's tokens, ``layout`` one of
+    its distinct tags with their paths; ``chars`` of a token are those of its text outside marked boilerplate.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = Labels()
         for batch in batches:
-            keys: tuple = ([], [], [])
-            cols: tuple = ([], [], [])
+            keys: tuple = ([], [], [], [])
+            cols: tuple = ([], [], [], [])
             ends = [0]
             for host, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 if host is None:
                     continue
-                found = [t[0] for t in parse(text, labels)]
+                parsed = parse(text, labels)
+                found = [t[0] for t in parsed]
+                chars = {t[0]: len(t[1]) for t in parsed if t[1] is not None and not t[2]}
                 times, first = Counter(found), {}
                 for i, t in enumerate(found):
                     first.setdefault(t, i / len(found))
                 times[0], first[0] = 1, 0.0
-                for c, v in zip(keys, (host, _number("page", *found), _number("copy", *found))):
+                layout = _number("layout", *sorted({t[0] for t in parsed if t[1] is None}))
+                for c, v in zip(keys, (host, _number("page", *found), _number("copy", *found), layout)):
                     c.append(v)
                 for t, n in times.items():
-                    for c, v in zip(cols, (t, n, first[t])):
+                    for c, v in zip(cols, (t, n, first[t], n * chars.get(t, 0))):
                         c.append(v)
                 ends.append(len(cols[0]))
-            held = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64()))],
-                                              names=["token", "times", "place"])
+            held = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.int64()))],
+                                              names=["token", "times", "place", "chars"])
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in keys), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)],
-                                             names=["host", "page", "copy", "tokens"])
+                                             names=["host", "page", "copy", "layout", "tokens"])
 
-    parsed = pages.mapInArrow(emit, "host long, page long, copy long, tokens array<struct<token: long, times: int, place: double>>")
-    once = parsed.dropDuplicates(["host", "page", "copy"])
-    return once.select("host", "page", F.inline("tokens"))
+    parsed = pages.mapInArrow(emit, "host long, page long, copy long, layout long, "
+                                    "tokens array<struct<token: long, times: int, place: double, chars: long>>")
+    return parsed.dropDuplicates(["host", "page", "copy"])
 
 
-def templates(tokens: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3) -> DataFrame:
-    """(host, template): array of (class, place, token) of each host's candidate classes."""
+def templates(once: DataFrame, support: float = 0.5, least_pages: int = 2, least_tokens: int = 3) -> DataFrame:
+    """(host, template): array of (cls, place, token) of each host's candidate classes."""
+    tokens = once.select("host", "page", F.inline("tokens"))
     part = lambda salt: F.pmod(F.xxhash64("page", "times", F.lit(salt)), F.lit(1 << 31))
     seen = tokens.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"), F.sum(part(1)).alias("v1"), F.sum(part(2)).alias("v2"),
@@ -239,11 +260,65 @@ def templates(tokens: DataFrame, support: float = 0.5, least_pages: int = 3, lea
     hosts = seen.filter("token = 0").select("host", F.col("n").alias("pages"))
     often = seen.filter("token <> 0").join(hosts, "host").filter(F.col("n") >= F.col("pages") * support)
     vector = F.xxhash64("n", "times", "v1", "v2")
-    listed = often.select("host", F.struct(vector.alias("cls"), "place", "token").alias("t"))
-    whole = listed.groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("template"))
-    sizes = F.transform("template", lambda t: F.size(F.filter("template", lambda u: u["cls"] == t["cls"])))
-    kept = F.filter(F.arrays_zip(F.col("template").alias("t"), sizes.alias("k")), lambda x: x["k"] >= least_tokens)
-    return whole.select("host", F.transform(kept, lambda x: x["t"]).alias("template"))
+    classes = (often.groupBy("host", vector.alias("cls")).agg(F.collect_list(F.struct("place", "token")).alias("ts"))
+                    .filter(F.size("ts") >= least_tokens))
+    listed = classes.select("host", F.transform("ts", lambda t: F.struct("cls", t["place"].alias("place"), t["token"].alias("token"))).alias("ts"))
+    return listed.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("ts"))).alias("template"))
+
+
+def trusted(once: DataFrame, found: DataFrame, other: float = 0.5, own: float = 0.05) -> DataFrame:
+    """``found`` without classes that are text: ``found``'s classes are judged by what their pages hold besides.
+
+    A template stands on pages with text of their own.  If the pages of a class hold less than ``other`` of the
+    text that the host's pages without it hold, the class is what an article and its near copies share.
+    If all classes together leave less than ``own`` of the host's text, its pages are near copies of one, and none of its
+    classes count.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple = ([], [], [], [])
+            classes: dict = {}
+            for i, host in enumerate(batch.column(0).to_pylist()):
+                if host not in classes:
+                    if len(classes) > 500:
+                        classes.clear()
+                    token, cls = _fields(batch.column(2)[i], "token", "cls")
+                    order = np.argsort(token)
+                    classes[host] = token[order], cls[order]
+                mine, names = classes[host]
+                token, chars = _fields(batch.column(1)[i], "token", "chars")
+                at = np.minimum(np.searchsorted(mine, token), len(mine) - 1)
+                inside = mine[at] == token
+                for cls in (None, *np.unique(names[at[inside]]).tolist()):
+                    for c, v in zip(out, (host, cls, int(chars[~inside].sum()), int(chars.sum()))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["host", "cls", "rest", "text"])
+
+    side = _side(found)
+    held = (once.join(side, F.col("host") == F.col("_key")).select("host", "tokens", "template")
+                .mapInArrow(measure, "host long, cls long, rest long, text long")
+                .groupBy("host", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("rest").alias("rest"), F.sum("text").alias("text")))
+    held = materialize(held, "template_rests")
+    whole = held.filter("cls IS NULL").select("host", F.col("n").alias("pages"), F.col("rest").alias("all_rest"), "text")
+    judged = held.filter("cls IS NOT NULL").drop("text").join(whole, "host")
+    without = (F.col("all_rest") - F.col("rest")) / (F.col("pages") - F.col("n"))
+    bad = (F.col("all_rest") < own * F.col("text")) | ((F.col("n") < F.col("pages")) & (F.col("rest") / F.col("n") < other * without))
+    dropped = judged.filter(bad).groupBy("host").agg(F.collect_list("cls").alias("dropped"))
+    kept = found.join(dropped, "host", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<bigint>")))
+    lists = kept.select("host", F.filter("template", lambda t: ~F.array_contains("dropped", t["cls"])).alias("template"))
+    return lists.filter(F.size("template") > 0)
+
+
+def _fields(rows: pa.ListScalar, *names: str) -> list[np.ndarray]:
+    """Columns of a list of structs."""
+    return [rows.values.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _side(found: DataFrame) -> DataFrame:
+    """``found`` as the side of a join by host (``_key``), broadcast if its measured size is small."""
+    size = found.agg(F.count(F.lit(1)).alias("h"), F.sum(F.size("template")).alias("n")).first()
+    return small(found.withColumnRenamed("host", "_key"), (size["n"] or 0) + size["h"], 64)
 
 
 def deduce(found: list[int], classes: dict[int, list[int]]) -> set[int]:
@@ -289,9 +364,18 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     host = url_parts(F.col(url_col))[0]
     pages = df.select(F.when(host != "", F.xxhash64(host)).alias("_host"), F.col(html_col).alias("_html"),
                       F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
-    found = materialize(templates(page_tokens(pages.select("_host", "_html")), support), "templates")
-    tokens = found.agg(F.count(F.lit(1)).alias("h"), F.sum(F.size("template")).alias("n")).first()
-    side = small(found.withColumnRenamed("host", "_key"), (tokens["n"] or 0) + tokens["h"], 64)
+    once = materialize(page_tokens(pages.select("_host", "_html")), "different_pages")
+    # Hosts of one page share the template of all such pages with the same layout.
+    lone = once.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("layout").alias("layout")).filter("n = 1").select(
+        F.col("host").alias("_lone"), F.xxhash64(F.lit("layout"), "layout").alias("_group"))
+    lone = materialize(lone, "lone_hosts")
+    side = small(lone, lone.count(), 24)
+    grouped = (once.join(side, F.col("host") == F.col("_lone"), "left")
+                   .select(F.coalesce("_group", "host").alias("host"), "page", "tokens"))
+    grouped = materialize(grouped, "page_groups")
+    first = materialize(templates(grouped, support), "candidates")
+    found = materialize(trusted(grouped, first), "templates")
+    pages = pages.join(side, F.col("_host") == F.col("_lone"), "left").withColumn("_host", F.coalesce("_group", "_host")).drop("_lone", "_group")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, known = Labels(), {}
@@ -302,15 +386,15 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 if key not in known:
                     if len(known) > 500:
                         known.clear()
-                    template = batch.column(3)[i].as_py()
                     classes: dict[int, list[int]] = {}
-                    for t in template or ():
-                        classes.setdefault(t["cls"], []).append(t["token"])
+                    if batch.column(3)[i].is_valid:
+                        for cls, token in zip(*(c.tolist() for c in _fields(batch.column(3)[i], "cls", "token"))):
+                            classes.setdefault(cls, []).append(token)
                     known[key] = classes
                 texts.append(main_text(page, labels, known[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_id", "_url", "text"])
 
-    joined = pages.join(side, F.col("_host") == F.col("_key"), "left")
+    joined = pages.join(_side(found), F.col("_host") == F.col("_key"), "left")
     kind = pages.schema["_id"].dataType.simpleString()
     out = joined.select("_id", "_url", "_key", "template", "_html").mapInArrow(read, f"_id {kind}, _url string, text string")
     return out.withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -119,5 +119,90 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(text[f"same/{i}"] == "Welcome\nall alike" for i in range(5))
 
 
+ARTICLE = "<h1>The long title of article {0}</h1>" + "".join(f"<p>Paragraph {k} of article {{0}} says some ten words more here.</p>" for k in range(5))
+
+
+def lines(page):
+    """Text blocks of a page by the plainest reading: what stands between tags."""
+    return "\n".join(x.strip() for x in re.split("<[^>]*>", page) if x.strip())
+
+
+def test_near_copies_of_an_article_keep_it(spark):
+    """Three near copies beside other articles, near copies only, and two of them: the article stays and the frame goes where it can be told."""
+    frame = "<html><body><div><p>Welcome</p><p>Menu one</p><p>Menu two</p></div>{}</body></html>"
+    body = lambda i, k: f"<article>{ARTICLE.format(i)}<p>updated {k}</p></article>"
+    hosts = {"mixed": [body("x", k) for k in range(3)] + [body(i, "never") for i in range(3)],
+             "most": [body("x", k) for k in range(9)] + [body(i, "never") for i in range(3)],
+             "only": [body("x", k) for k in range(4)], "two": [body("x", k) for k in range(2)]}
+    plain = {h + "-plain": [p.replace("article>", "div>") for p in pages] for h, pages in hosts.items()}
+    text = _texts(spark, {h: [frame.format(p) for p in pages] for h, pages in (hosts | plain).items()})
+    for h, pages in (hosts | plain).items():
+        for i, p in enumerate(pages):
+            own = lines(p)
+            if h in ("mixed", "most", "mixed-plain", "most-plain", "only", "two"):
+                assert text[f"{h}/{i}"] == own, h
+            else:                                          # near copies only and no mark: nothing tells frame from text, and no text is lost
+                assert text[f"{h}/{i}"].endswith(own)
+
+
+@pytest.mark.parametrize("name,kept", [
+    ("notice-period", True), ("share-price", True), ("sharePrice", True), ("login-history", True), ("notice", False), ("share-buttons", False),
+    ("cookie-notice", False), ("ad box", False), ("ad_container", False), ("user-comment", False), ("comments list", False), ("top-box", True)])
+def test_class_names_inside_content(name, kept):
+    page = f"<article><p>one</p><div class='{name}'>two</div><p>three</p></article>"
+    assert H.main_text(page, H.Labels(), {}) == ("one\ntwo\nthree" if kept else "one\nthree")
+
+
+def test_hosts_of_few_pages(spark):
+    """Two pages share a menu; single pages of many hosts share a layout."""
+    page = "<html><body><div class=top><p>Home of all</p><p>About us</p><p>Write to us</p></div><div class=rest><p>{}</p><p>{}</p></div></body></html>"
+    own = lambda i: (f"A first line that only page {i} holds and no other.", f"A second line of page {i}, as long as the first one.")
+    hosts = {"two": [page.format(*own("a")), page.format(*own("b"))]} | {f"one{k}": [page.format(*own(k))] for k in range(4)}
+    text = _texts(spark, hosts)
+    assert text["two/0"] == "\n".join(own("a")) and text["two/1"] == "\n".join(own("b"))
+    assert all(text[f"one{k}/0"] == "\n".join(own(k)) for k in range(4))
+
+
+def slow_template(pages, support=0.5, least=3):
+    """Tokens of a host's candidate classes straight from occurrence vectors."""
+    found = [tuple(t[0] for t in H.parse(p, H.Labels())) for p in pages]
+    found = list(dict.fromkeys(found))
+    vectors = {}
+    for t in set().union(*found):
+        v = tuple(f.count(t) for f in found)
+        if sum(map(bool, v)) >= max(2, support * len(found)):
+            vectors.setdefault(v, set()).add(t)
+    return {frozenset(c) for c in vectors.values() if len(c) >= least}
+
+
+def test_classes_against_occurrence_vectors(spark):
+    """The classes of the given pages' hosts equal those from whole occurrence vectors."""
+    from pyspark.sql import functions as F
+    from casewise.llm.url_filter import url_parts
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").withColumn("h", url_parts(F.col("url"))[0]).filter("h <> ''")
+    hosts = {}
+    for r in pages.collect():
+        hosts.setdefault(r["h"], []).append(r["html"])
+    once = H.page_tokens(pages.select(F.xxhash64("h"), "html"))
+    names = {r[1]: r[0] for r in pages.select("h", F.xxhash64("h")).distinct().collect()}
+    got = {names[r["host"]]: r["template"] for r in H.templates(once).collect()}
+    for h, ps in hosts.items():
+        classes = {}
+        for t in got.get(h, []):
+            classes.setdefault(t["cls"], set()).add(t["token"])
+        assert set(map(frozenset, classes.values())) == slow_template(ps), h
+
+
+def test_a_hundred_thousand_shared_lines(spark):
+    """Templates of very long pages take linear time."""
+    import time
+    shared = "".join(f"<p>line {n}</p>" for n in range(100_000))
+    pages = [f"<html><body>{shared}<article><p>{'own words ' * 20_000}{i}</p></article></body></html>" for i in range(4)]
+    start = time.time()
+    text = _texts(spark, {"long": pages})
+    assert time.time() - start < 20
+    assert all(text[f"long/{i}"].endswith(f"own words {i}") and "line 5" not in text[f"long/{i}"] for i in range(4))
+
+
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
