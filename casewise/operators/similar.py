@@ -17,6 +17,9 @@ Search
     WindowGroupLimit) merges the ``CB`` local lists.  No task ever holds more
     than one block pair; no hot key exists because blocks are hash-assigned.
 
+    Larger corpora go through ``pruned.pruned_top_k``, which runs the same block
+    products on tiles that bounds do not rule out.
+
 Exactness
     Float32 block products only pick candidates; those are scored again in
     float64, where integer counts are exact, so the similarity
@@ -210,6 +213,14 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: st
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def search(queries: DataFrame, corpus: DataFrame, k: int, *, d_block: int = 8192, **args) -> DataFrame:
+    """Exact top-k: one block pair as it is, a larger corpus by tiles and bounds (the rows are the same)."""
+    from .pruned import pruned_top_k
+    if corpus.count() <= d_block:
+        return top_k_similar(queries, corpus, k, d_block=d_block, **args)
+    return pruned_top_k(queries, corpus, k, d_block=d_block, **args)
+
+
 def distinct_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, *, exclude_self: bool = False,
                    width: int = HASH_WIDTH, **blocks) -> DataFrame:
     """Sparse top-k over distinct vectors: (qid, did, score, rank), the same rows as ``top_k_similar``.
@@ -226,8 +237,8 @@ def distinct_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, *, exclude
     d_one = materialize(near.groupBy("key").agg(F.min("did").alias("d0"), F.first("v").alias("v"),
                                                 F.sort_array(F.collect_list("did")).alias("dids")), "distinct_vectors")
     q_one = materialize(q_one, "distinct_queries")
-    hits = top_k_similar(q_one.select(F.col("q0").alias("qid"), "v"), d_one.select(F.col("d0").alias("did"), "v"), keep,
-                         width=width, **blocks)
+    hits = search(q_one.select(F.col("q0").alias("qid"), "v"), d_one.select(F.col("d0").alias("did"), "v"), keep,
+                  width=width, **blocks)
     best = Window.partitionBy("q0").orderBy(F.desc("score"), F.asc("did"))
     spread_out = (hits.select(F.col("qid").alias("q0"), F.col("did").alias("d0"), "score").join(d_one.select("d0", "dids"), "d0")
                       .select("q0", "score", F.explode("dids").alias("did"))
@@ -273,7 +284,7 @@ def dense_neighbours(df: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col:
     """J6 dense: self top-k by inner product over a vector column (qid, did, score, rank)."""
     v = df.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("v"))
     d = df.select(F.col(id_col).alias("did"), F.col(vec_col).alias("v"))
-    return top_k_similar(v, d, k, mode="dense", exclude_self=exclude_self, normalize=normalize)
+    return search(v, d, k or 5, mode="dense", exclude_self=exclude_self, normalize=normalize)
 
 
 def weighted_label_vote(neigh: DataFrame, labels: DataFrame, id_col: str = "vec_id",
