@@ -72,7 +72,7 @@ TAIL_BYTES = struct.calcsize(TAIL) + 1
 #: Documents in a frame, words that a worker keeps, characters in a piece, longest word kept.
 DOCS_PER_FRAME, WORDS_KEPT, PIECE, LONG_WORD = 4096, 1 << 19, 1 << 20, 64
 #: Characters encoded together (a longer text goes in pieces), and the mark between words given to the tokenizer.
-CHARS, MARK = 2 << 20, "\x01"
+CHARS, MARK = 4 << 20, "\x01"
 #: Between these two groups a tokenizer that takes runs of letters and runs of marks always cuts.
 APART = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?#*&])"
 
