@@ -224,9 +224,17 @@ def length_histogram_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.length_histogram(complaint_view(spark, sf_dir), "complaint_text", 15)
 
 
-@register("length_density_documents", "A7")
+@register("length_density_documents", "A7",
+          lambda: f"""
+WITH v AS (SELECT CAST({O.word_count_sql('text')} AS DOUBLE) AS wc, CAST(count(*) AS DOUBLE) AS cnt FROM documents GROUP BY 1),
+m AS (SELECT sum(wc * cnt) / sum(cnt) AS mean, sum(cnt) AS n, min(wc) AS lo, max(wc) AS hi FROM v),
+s AS (SELECT m.*, (SELECT sqrt(sum(cnt * (wc - mean) * (wc - mean)) / (sum(cnt) - 1)) FROM v) * pow(n, -0.2) AS h FROM m),
+g AS (SELECT s.*, lo + (hi - lo) * range / 199 AS x FROM s CROSS JOIN range(200))
+SELECT round(x, 6) AS word_count, round(sum(cnt * exp(-0.5 * pow((x - wc) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
+FROM g CROSS JOIN v GROUP BY x""")
 def length_density_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.length_density(read_text_table(spark, sf_dir, "documents"), "text", 200)
+    d = R.length_density(read_text_table(spark, sf_dir, "documents"), "text", 200)
+    return d.select(F.round("word_count", 6).alias("word_count"), F.round("density", 9).alias("density"))
 
 
 @register("overview_counts", "C16 A8",
@@ -238,6 +246,34 @@ def overview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overview(complaint_view(spark, sf_dir), ["true_department", "true_priority", "product_line", "country"])
 
 
+SKETCHED = ["complaint_id", "product_line", "country", "true_core_issue"]
+
+
+@register("overview_sketches", "A8 C16",
+          lambda: _c_sql() + " UNION ALL ".join(
+              f"SELECT '{g}' AS part, '{c}' AS measured, count(*) AS rows, count(DISTINCT {c}) AS distinct_values, TRUE AS within FROM c"
+              for g, c in (("all", c) for c in SKETCHED)) + " UNION ALL " + " UNION ALL ".join(
+              f"SELECT region AS part, '{c}' AS measured, count(*) AS rows, count(DISTINCT {c}) AS distinct_values, TRUE AS within FROM c GROUP BY region"
+              for c in SKETCHED))
+def overview_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per region and country stored once, merged by region and over all, beside the exact counts: within three standard errors."""
+    from ..operators import sketches as SK
+    c = complaint_view(spark, sf_dir).select("region", *SKETCHED)
+    stored = materialize(SK.sketch_table(c, ["region", "country"], SKETCHED), "sketches")
+    named = lambda df: df.select("part", "rows", F.expr(
+        f"stack({len(SKETCHED)}, {', '.join(f"'{x}', approx_{x}" for x in SKETCHED)}) AS (measured, approx)"))
+    by_region = SK.estimates(SK.merged(stored, ["region"])).withColumnRenamed("region", "part")
+    whole = SK.estimates(SK.merged(stored, [])).withColumn("part", F.lit("all"))
+    found = named(by_region).unionByName(named(whole))
+    exact = c.groupBy("region").agg(*[F.count_distinct(x).alias(x) for x in SKETCHED]).withColumnRenamed("region", "p").unionByName(
+        c.agg(*[F.count_distinct(x).alias(x) for x in SKETCHED]).withColumn("p", F.lit("all")))
+    exact = exact.unpivot(["p"], SKETCHED, "m", "distinct_values")
+    joined = found.join(exact, F.col("part").eqNullSafe(F.col("p")) & (F.col("measured") == F.col("m")))
+    error = F.abs(F.col("approx") - F.col("distinct_values"))
+    return joined.select("part", "measured", F.col("rows").cast("long").alias("rows"), "distinct_values",
+                         (error <= F.greatest(F.lit(0.5), 3 * SK.standard_error() * F.col("distinct_values"))).alias("within"))
+
+
 @register("first_complaints", "T1",
           lambda: _c_sql() + "SELECT complaint_id, complaint_text FROM c ORDER BY complaint_id LIMIT 12")
 def first_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +305,19 @@ SPLIT_COLUMNS = ["complaint_id", "complaint_text", "true_department", "true_prio
 _SAVED: dict[tuple, object] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files, sizes and times of the tables behind C: a table that is written anew gives new derived tables."""
+    found = []
+    for name in ("orders", "customer", "nation", "region"):
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{name}.parquet")
+                      .select("path", "length", F.unix_micros("modificationTime").alias("t")))
+        found.append(tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.sum(F.xxhash64("path", "length", "t").cast("decimal(38,0)"))).first()))
+    return tuple(found)
+
+
 def _saved(spark: SparkSession, sf_dir: str, what: str, build):
-    """A derived table, written once per application and table folder and read by every later query."""
-    key = (spark.sparkContext.applicationId, sf_dir, what)
+    """A derived table, written once per application and state of C's source tables and read by every later query."""
+    key = (spark.sparkContext.applicationId, sf_dir, what, _state(spark, sf_dir))
     if key not in _SAVED:
         _SAVED[key] = build()
     return _SAVED[key]
@@ -516,16 +562,19 @@ from ..operators import ml as ML  # noqa: E402
 from ..operators import cluster as CL  # noqa: E402
 
 
-def _ml_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test, train = _test_train(spark, sf_dir)
-    models = ML.fit_triage_models(train)
-    return ML.ml_triage(test.select("complaint_id", "complaint_text", "true_department", "true_priority",
-                                    "true_core_issue"), models)
+def _table_model(spark: SparkSession, sf_dir: str):
+    """The table classifier of the train side and its term statistics, fitted once and saved."""
+    def build():
+        train = _test_train(spark, sf_dir)[1]
+        return ML.fit_table_models(train)
+    return _saved(spark, sf_dir, "table_model", build)
 
 
-@register("ml_triage", "C2 C3 M5 M7 M8 M9 W5 S17 Q6 Q17")
+@register("ml_triage", "C3 M8 M9 W5 S17 Q6 Q17")
 def ml_triage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _ml_verdicts(spark, sf_dir)
+    test, _ = _test_train(spark, sf_dir)
+    model, stats = _table_model(spark, sf_dir)
+    v = ML.table_triage(test.select("complaint_id", "complaint_text"), model, stats)
     a = "analysis."
     return v.select("complaint_id", F.col(a + "core_issue").alias("core_issue"),
                     F.col(a + "department").alias("department"), F.col(a + "priority").alias("priority"),
@@ -534,14 +583,34 @@ def ml_triage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(a + "supporting_evidence", " | ").alias("supporting_evidence"))
 
 
+@register("logistic_certificate", "C2 M5 M7",
+          lambda: _split_sql_prefix().rstrip() + """,
+tr AS (SELECT c.* FROM c JOIN split USING (complaint_id) WHERE split = 'train'),
+l AS (SELECT 'issue' AS target, true_core_issue AS label FROM tr UNION ALL SELECT 'department', true_department FROM tr
+      UNION ALL SELECT 'priority', true_priority FROM tr),
+n AS (SELECT target, label, count(*) AS class_rows FROM l WHERE label IS NOT NULL GROUP BY ALL)
+SELECT target, label, CAST(sum(class_rows) OVER (PARTITION BY target) AS BIGINT) AS n_rows, class_rows,
+       round(1.0::DOUBLE / count(*) OVER (PARTITION BY target), 3) AS fitted_share, TRUE AS optimal
+FROM n""")
+def logistic_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved model's optimality, computed from its coefficient table: balanced classes carry equal shares."""
+    from ..operators.logistic import certificate
+    _, train = _test_train(spark, sf_dir)
+    model, stats = _table_model(spark, sf_dir)
+    features, _ = ML.text_features(train, "complaint_id", "complaint_text", stats)
+    proof = certificate(features, train.withColumn("id", F.col("complaint_id")), ML.TARGETS, model)
+    return proof.select("target", "label", "n_rows", "class_rows", F.round("fitted_share", 3).alias("fitted_share"),
+                        (F.col("max_gradient") <= 1.001e-4).alias("optimal"))
+
+
 @register("ml_model_comparison", "C9 C12 M7 A10 A11 A12")
 def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full comparison with the real classifier in the ML slot (rows-only check)."""
     test, train = _test_train(spark, sf_dir)
-    models = ML.fit_triage_models(train)
+    model, stats = _table_model(spark, sf_dir)
     q = test.select("complaint_id", "complaint_text", "true_core_issue", "true_department", "true_priority")
     q = rule_triage(q, out_col="rule")
-    q = ML.ml_triage(q, models, out_col="ml")
+    q = ML.table_triage(q, model, stats, out_col="ml")
     v = _retrieval_triage(q, train, 5, baseline_col="rule", out_col="retrieval", neigh=neighbours(spark, sf_dir))
     pred = EV.stack_predictions(v, ["rule", "ml", "retrieval"], LX.MODEL_ORDER)
     return EV.round_metrics(EV.macro_metrics(pred), 4)
@@ -706,6 +775,50 @@ def stream_rule_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("confidence_milli_sum").cast("double") / (F.col("n_complaints") * F.lit(1000.0))))
 
 
+def _arrivals_sql() -> str:
+    """CTE ``arr`` (complaint_id, created_at, batch): two years a batch, some rows late, some replayed one batch later."""
+    return """
+o AS (SELECT complaint_id, complaint_text, created_at, CASE WHEN complaint_id % 50 = 11 THEN 3
+             ELSE least(greatest((year(created_at) - 1995) // 2, 0), 3) END AS b FROM c WHERE created_at IS NOT NULL),
+arr AS (SELECT complaint_id, complaint_text, created_at, b AS batch FROM o
+        UNION ALL SELECT complaint_id, complaint_text, created_at, b + 1 FROM o WHERE complaint_id % 10 = 3 AND b < 3)"""
+
+
+@register("stream_department_counts", "C1 (stream extension, 2.11)",
+          lambda: _c_sql().rstrip() + "," + _arrivals_sql() + """,
+wm AS (SELECT j.range AS batch, max(arr.created_at) - INTERVAL 200 DAY AS mark FROM range(4) j LEFT JOIN arr ON arr.batch < j.range GROUP BY 1),
+seen AS (SELECT arr.*, coalesce(arr.created_at <= wm.mark, FALSE) AS late FROM arr JOIN wm USING (batch)),
+once AS (SELECT complaint_id, any_value(complaint_text) AS complaint_text, any_value(created_at) AS created_at FROM seen WHERE NOT late GROUP BY 1),
+rr AS (""" + O.rule_rows_sql("once") + """)
+SELECT CAST(year(created_at) AS INTEGER) AS year, r_department AS department, count(*) AS n,
+       (SELECT count(*) FROM seen WHERE late) AS late_rows, (SELECT count(*) FROM seen) - (SELECT count(*) FROM seen WHERE late)
+       - (SELECT count(*) FROM once) AS replays
+FROM rr GROUP BY 1, 2""")
+def stream_department_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complaints arrive in four batches with replays and late rows; a stream with a watermark counts each event once.
+
+    A row is late if its time is at most the latest time of all batches before, less 200 days.
+    """
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.triage_stream import accepted, late_rows, run_to_table, triage_stream
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text", "created_at").where("created_at IS NOT NULL")
+    period = F.least(F.greatest(F.floor((F.year("created_at") - 1995) / 2), F.lit(0)), F.lit(3))
+    first = c.withColumn("batch", F.when(F.col("complaint_id") % 50 == 11, 3).otherwise(period).cast("int"))
+    again = first.where("complaint_id % 10 = 3 AND batch < 3").withColumn("batch", F.col("batch") + 1)
+    arrivals = materialize(first.unionByName(again), "arrivals")
+    late = 0
+    for batch in range(4):
+        arrivals.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{base}/in")
+        stream = accepted(triage_stream(spark, f"{base}/in", c.schema), delay="200 days")
+        late += late_rows(run_to_table(stream, f"{base}/out", f"{base}/ckpt"))
+    out = spark.read.parquet(f"{base}/out")
+    counts = out.groupBy(F.year("created_at").alias("year"), "department").agg(F.count(F.lit(1)).alias("n"))
+    replays = arrivals.count() - late - out.count()
+    return counts.select("year", "department", "n", F.lit(late).cast("long").alias("late_rows"), F.lit(replays).cast("long").alias("replays"))
+
+
 # ---------------------------------------------------------------------------
 # Dense vectors (J6 dense, W4, A14, A10)
 # ---------------------------------------------------------------------------
@@ -885,6 +998,31 @@ def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TM.tfidf(counts, stats).select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
 
 
+@register("term_ids_documents", "M5 M6",
+          lambda: _terms_sql() + """
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id, df FROM st""")
+def term_ids_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TM.term_ids(_document_terms(spark, sf_dir)[1]).select("term", "term_id", "df")
+
+
+@register("sparse_vectors_documents", "M5 M6",
+          lambda: _terms_sql() + """, i AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM st),
+x AS (SELECT tc.id, term, (1.0 + ln(tf)) * idf AS x FROM tc JOIN st USING (term)),
+n AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM x)
+SELECT id AS doc_id, count(*) AS n_terms, CAST(sum(term_id) AS BIGINT) AS index_sum, CAST(max(term_id) AS BIGINT) AS last_index,
+       round(sum(weight * weight), 6) AS length, round(max_by(weight, term_id), 6) AS last_weight
+FROM n JOIN i USING (term) GROUP BY id""")
+def sparse_vectors_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sparse vector per document over the dense term ids, told by its sums and last entry."""
+    counts, stats = _document_terms(spark, sf_dir)
+    v = TM.sparse_vectors(TM.tfidf(counts, stats), TM.term_ids(stats))
+    total = lambda c, kind: F.aggregate(c, F.lit(0).cast(kind), lambda a, x: a + x)
+    return v.select(F.col("id").alias("doc_id"), F.size("indices").cast("long").alias("n_terms"), total("indices", "long").alias("index_sum"),
+                    F.element_at("indices", -1).alias("last_index"),
+                    F.round(total(F.transform("values", lambda x: x * x), "double"), 6).alias("length"),
+                    F.round(F.element_at("values", -1), 6).alias("last_weight"))
+
+
 @register("wrong_rows", "P6 C13",
           lambda: _pred_sql_prefix() + """
 SELECT model, complaint_id, y AS true_department, p AS predicted_department,
@@ -903,7 +1041,12 @@ def cfpb_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "model", "complaint_id", "true_department", "predicted_department", (~F.col("is_wrong")).alias("is_correct"))
 
 
-@register("verdict_json", "P14")
+@register("verdict_json", "P14",
+          lambda: _c_sql() + f"""
+SELECT complaint_id, CAST(to_json(struct_pack(core_issue := r_issue, detected_entities := r_entities, department := r_department,
+         priority := r_priority, actionable_task := r_task, confidence_score := CAST(r_milli AS DOUBLE) / 1000.0, reasoning := r_reasoning,
+         analysis_mode := '{LX.MODE_RULE}', supporting_evidence := r_evidence, retrieved_examples := CAST([] AS VARCHAR[]))) AS VARCHAR) AS verdict
+FROM ({O.rule_rows_sql('c')}) r""")
 def verdict_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.retrieval import verdict_json
     c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
@@ -966,6 +1109,30 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .agg(F.count(F.lit(1)).alias("tf")))
 
 
+@register("vector_store_refresh", "S7 S8 S9",
+          lambda: _c_sql().rstrip() + """,
+c2 AS (SELECT complaint_id, CASE WHEN complaint_id % 100 = 7 THEN coalesce(complaint_text, '') || ' Updated again.' ELSE complaint_text END
+       AS complaint_text FROM c WHERE complaint_id % 100 <> 13),""" + O.vector_ctes("c2") + """
+SELECT c2.complaint_id, CAST(coalesce(v.n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(v.s, 0) AS BIGINT) AS bucket_sum,
+       c2.complaint_id % 100 = 7 AS recomputed
+FROM c2 LEFT JOIN (SELECT id, sum(tf) AS n, sum(tf * bucket) AS s FROM vec GROUP BY id) v ON v.id = c2.complaint_id""")
+def vector_store_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of C brought up to date after 1 % of the rows changed and 1 % went: only changed texts are computed."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import vector_store as VS
+    c = complaint_view(spark, sf_dir).select("complaint_id", "complaint_text")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/store-{uuid.uuid4().hex}"
+    VS.refresh(c, root)
+    changed = F.when(F.col("complaint_id") % 100 == 7, F.concat(F.coalesce("complaint_text", F.lit("")), F.lit(" Updated again.")))
+    later = c.where("complaint_id % 100 <> 13").withColumn("complaint_text", changed.otherwise(F.col("complaint_text")))
+    version = VS.refresh(later, root)
+    v = VS.read(spark, root)
+    return v.select("complaint_id", F.size("vector").cast("long").alias("n_tokens"),
+                    F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x).alias("bucket_sum"),
+                    (F.col("part") == version["parts"][-1]).alias("recomputed"))
+
+
 @register("evaluation_report", "C12 C10",
           lambda: "SELECT m.*, 'grouped_holdout' AS evaluation_set FROM (" + _pred_sql_prefix() + O.metrics_sql("pred") + ") m"
                   " UNION ALL SELECT m.*, 'handwritten_validation' AS evaluation_set FROM ("

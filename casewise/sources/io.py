@@ -111,21 +111,15 @@ def content_hash(df: DataFrame, id_col: str = "complaint_id", text_col: str = "c
 
 
 def save_vectors(corpus: DataFrame, path: str, id_col: str = "complaint_id", text_col: str = "complaint_text") -> str:
-    """S7 + S8: metadata and hashed token vector in one Parquet table keyed by id."""
-    from ..operators.similar import hash_tokens
-    out = corpus.withColumn("vector", hash_tokens(text_col))
-    out.write.mode("overwrite").parquet(path)
-    content_hash(corpus, id_col, text_col).write.mode("overwrite").parquet(path + "_fingerprint")
+    """S7 + S8: metadata and hashed token vector of every row (see ``vector_store``)."""
+    from . import vector_store
+    vector_store.refresh(corpus, path, id_col, text_col)
     return path
 
 
 def load_or_build_vectors(spark: SparkSession, corpus: DataFrame, path: str, id_col: str = "complaint_id",
                           text_col: str = "complaint_text") -> DataFrame:
-    """Reuse the stored vectors when count and content fingerprint match, else rebuild."""
-    fresh = content_hash(corpus, id_col, text_col).first()
-    if path_exists(spark, path) and path_exists(spark, path + "_fingerprint"):
-        stored = spark.read.parquet(path + "_fingerprint").first()
-        if stored is not None and stored["n"] == fresh["n"] and stored["h"] == fresh["h"]:
-            return spark.read.parquet(path)
-    save_vectors(corpus, path, id_col, text_col)
-    return spark.read.parquet(path)
+    """Stored vectors of the corpus; only texts that the store does not hold are computed."""
+    from . import vector_store
+    vector_store.refresh(corpus, path, id_col, text_col)
+    return vector_store.read(spark, path).drop("part")

@@ -3,7 +3,7 @@
 Rule triage is a stateless projection, so the batch expression applies to a
 ``readStream`` DataFrame unchanged.  ``department_counts`` adds an
 event-time window with a watermark, the usual way to bound state for late
-rows.  Checkpoints go under the session's shared checkpoint folder unless a
+rows, and ``accepted`` removes replayed events exactly.  Checkpoints go under the session's shared checkpoint folder unless a
 location is given, so a restarted query resumes exactly once.
 """
 
@@ -42,6 +42,20 @@ def department_counts(verdicts: DataFrame, time_col: str = "created_at", window:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def accepted(verdicts: DataFrame, id_col: str = "complaint_id", time_col: str = "created_at", delay: str = "2 days") -> DataFrame:
+    """Each event once: rows at or before the watermark are late and dropped, replays of an id within ``delay`` too.
+
+    State holds the ids of the last ``delay`` of event time only.  A replay after its state has gone is late by then,
+    so nothing is counted twice.
+    """
+    return verdicts.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([id_col])
+
+
+def late_rows(query) -> int:
+    """Rows that the stateful operators of a finished query dropped because of the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run_to_table(stream: DataFrame, sink_dir: str, checkpoint: str | None = None, output_mode: str = "append"):
     """Process everything available now into Parquet at ``sink_dir`` and stop."""
     spark = stream.sparkSession
