@@ -370,8 +370,8 @@ def hashed_vectors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("complaint_id"), F.col("bucket").cast("int"), F.col("tf").cast("long"), "weight")
 
 
-def _nn_sql_prefix() -> str:
-    return (_split_sql_prefix().rstrip() + ","
+def _nn_sql_prefix(head: str | None = None) -> str:
+    return ((head or _split_sql_prefix()).rstrip() + ","
             + O.vector_ctes("c") + ",\n"
             + "qvec AS (SELECT v.* FROM vec v JOIN split s ON v.id = s.complaint_id WHERE s.split = 'test'),\n"
             + "dvec AS (SELECT v.* FROM vec v JOIN split s ON v.id = s.complaint_id WHERE s.split = 'train'),"
@@ -395,8 +395,8 @@ def similar_complaints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "raw_score")
 
 
-def _retrieval_sql_prefix() -> str:
-    return (_nn_sql_prefix().rstrip() + ",\n"
+def _retrieval_sql_prefix(head: str | None = None) -> str:
+    return (_nn_sql_prefix(head).rstrip() + ",\n"
             + f"qr AS MATERIALIZED ({O.rule_rows_sql('(SELECT c.* FROM c JOIN split s USING (complaint_id) WHERE s.split = ' + chr(39) + 'test' + chr(39) + ')')}),"
             + O.retrieval_ctes("nn", "c", "qr") + "\n")
 
@@ -452,7 +452,7 @@ _TRAIN_SQL = """SELECT c.complaint_id, c.true_core_issue, c.true_department, c.t
   FROM c JOIN split s USING (complaint_id) WHERE s.split = 'train'"""
 
 
-def _consensus_sql() -> str:
+def _consensus_sql(head: str | None = None) -> str:
     entries = O.bayes_ctes("qr", "qvec", "dvec", _TRAIN_SQL) + f""",
 ent AS (
   SELECT complaint_id, 0 AS ord, 'Rule-Based' AS name, r_issue AS issue, r_department AS dept, r_priority AS prio,
@@ -462,7 +462,7 @@ ent AS (
          ['{NB.EVIDENCE}'] FROM nb
   UNION ALL
   SELECT complaint_id, 2, 'RAG + LLM', g_issue, g_department, g_priority, g_milli, g_task, g_evidence FROM rag),"""
-    return _retrieval_sql_prefix().rstrip() + "," + entries + O.consensus_ctes("ent") + """
+    return _retrieval_sql_prefix(head).rstrip() + "," + entries + O.consensus_ctes("ent") + """
 SELECT complaint_id, c_issue AS core_issue, c_dept AS department, c_prio AS priority, c_task AS actionable_task,
        CAST(c_milli AS DOUBLE) / 1000.0 AS confidence_score, c_reasoning AS reasoning,
        array_to_string(c_evidence, ' | ') AS supporting_evidence, c_models AS agreeing_models
@@ -481,6 +481,28 @@ def consensus_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("rec_models", ", ").alias("agreeing_models"))
 
 
+def _with_findings_sql() -> str:
+    """CTEs split (of the texts alone) and c, whose test rows read text and image finding together."""
+    return (f"WITH c0 AS MATERIALIZED ({O.complaints_sql()})," + O.split_ctes("c0") + f""",
+c AS MATERIALIZED (SELECT c0.* REPLACE (CASE WHEN split.split = 'test' THEN {O.join_texts_sql('complaint_text', 'image_finding')}
+     ELSE complaint_text END AS complaint_text) FROM c0 JOIN split USING (complaint_id))""")
+
+
+@register("triage_all", "C7 J8 F25 C8", lambda: _consensus_sql(_with_findings_sql()))
+def triage_all_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All verdicts of the test complaints over text and image finding, and their consensus."""
+    from ..operators.triage import triage_all
+    test, train = _test_train(spark, sf_dir)
+    found = complaint_view(spark, sf_dir).select("complaint_id", "image_finding")
+    models = NB.fit(train)
+    v = triage_all(test.select("complaint_id", "complaint_text").join(found, "complaint_id"), train, finding_col="image_finding",
+                   classify=lambda x, text: NB.bayes_triage(x, models, text_col=text), names=COMPARED)
+    return v.select("complaint_id", *[F.col(f"recommended.{f}").alias(f) for f in (
+        "core_issue", "department", "priority", "actionable_task", "confidence_score", "reasoning")],
+        F.array_join("recommended.supporting_evidence", " | ").alias("supporting_evidence"),
+        F.array_join("recommended_models", ", ").alias("agreeing_models"))
+
+
 # ---------------------------------------------------------------------------
 # Model comparison
 # ---------------------------------------------------------------------------
@@ -603,6 +625,22 @@ def logistic_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("max_gradient") <= 1.001e-4).alias("optimal"))
 
 
+@register("saved_classifier", "S10 C2 C3",
+          lambda: _split_sql_prefix() + """
+SELECT count(*) AS n, count(*) AS equal_verdicts FROM split WHERE split = 'test'""")
+def saved_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table classifier saved and loaded again gives every test complaint the verdict it had."""
+    from ..operators.logistic import LogisticModel
+    test, _ = _test_train(spark, sf_dir)
+    model, stats = _table_model(spark, sf_dir)
+    path = _new_table(spark, "classifier")
+    model.save(path)
+    rows = test.select("complaint_id", "complaint_text")
+    before = ML.table_triage(rows, model, stats).select("complaint_id", F.to_json("analysis").alias("before"))
+    after = ML.table_triage(rows, LogisticModel.load(spark, path), stats).select("complaint_id", F.to_json("analysis").alias("after"))
+    return before.join(after, "complaint_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") == F.col("after")).alias("equal_verdicts"))
+
+
 @register("ml_model_comparison", "C9 C12 M7 A10 A11 A12")
 def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full comparison with the real classifier in the ML slot (rows-only check)."""
@@ -708,7 +746,7 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Generators (S12-S16, S15, F18-F20, J11-J13) and I/O
 # ---------------------------------------------------------------------------
 
-from ..schemas import WAREHOUSE  # noqa: E402
+from ..schemas import CFPB, WAREHOUSE  # noqa: E402
 from ..sources import generate as GEN  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
@@ -752,6 +790,61 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.read_complaints(spark, path, multi_line=True)      # some texts have line breaks
 
 
+def _new_table(spark: SparkSession, what: str) -> str:
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{what}-{uuid.uuid4().hex}"
+
+
+@register("validation_roundtrip", "S3 S17",
+          lambda: _c_sql() + "SELECT 'V' || complaint_id AS complaint_id, complaint_text, true_department, true_priority, true_core_issue FROM c")
+def validation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C in the layout of a validation set, written as CSV and read by the validation reader."""
+    c = complaint_view(spark, sf_dir).select(F.concat(F.lit("V"), F.col("complaint_id").cast("string")).alias("complaint_id"),
+                                             "complaint_text", "true_department", "true_priority", "true_core_issue")
+    return IO.read_validation(spark, IO.save_table(c, _new_table(spark, "validation"), "csv"), multi_line=True)
+
+
+_CFPB_OF_C = {"complaint_id": "'CFPB-' || complaint_id", "product": "product_line", "issue": "true_core_issue", "complaint_text": "complaint_text",
+              "company": "customer_segment", "state": "region", "submitted_via": "channel", "true_department": "true_department",
+              "true_priority": "true_priority", "true_core_issue": "true_core_issue"}
+
+
+@register("cfpb_roundtrip", "S4 S17",
+          lambda: _c_sql() + "SELECT " + ", ".join(f"{_CFPB_OF_C.get(f.name, 'CAST(NULL AS VARCHAR)')} AS {f.name}" for f in CFPB.fields) + " FROM c")
+def cfpb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C in some of the CFPB layout's columns, written as CSV and read by the CFPB reader: absent columns are null."""
+    c = complaint_view(spark, sf_dir)
+    out = c.select(*[F.expr(e.replace("|| complaint_id", "|| CAST(complaint_id AS STRING)")).alias(n) for n, e in _CFPB_OF_C.items()])
+    return IO.read_cfpb(spark, IO.save_table(out, _new_table(spark, "cfpb"), "csv"), multi_line=True)
+
+
+@register("preprocess_roundtrip", "S5 P1 S6",
+          lambda: _c_sql() + f"SELECT complaint_id, complaint_text, {O.preprocess_sql('complaint_text')} AS cleaned_text FROM c")
+def preprocess_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C as a warehouse CSV: read, checked, cleaned, written and read again by ``preprocess_dataset``."""
+    c = complaint_view(spark, sf_dir)
+    cols = [F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias(f.name) if f.name == "created_at" else F.col(f.name) for f in WAREHOUSE.fields]
+    path = IO.save_table(c.select(*cols), _new_table(spark, "warehouse"), "csv")
+    return IO.preprocess_dataset(spark, path, _new_table(spark, "processed"), multi_line=True).select(
+        "complaint_id", "complaint_text", "cleaned_text")
+
+
+@register("named_tables", "S11 C15",
+          lambda: _c_sql() + """
+SELECT 'departments' AS table_name, true_department AS label, count(*) AS n FROM c GROUP BY ALL
+UNION ALL SELECT 'priorities', true_priority, count(*) FROM c GROUP BY ALL
+UNION ALL SELECT 'issues', true_core_issue, count(*) FROM c GROUP BY ALL""")
+def named_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of named result tables written side by side and read back from the returned paths."""
+    c = complaint_view(spark, sf_dir)
+    count = lambda col: c.groupBy(F.col(col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    paths = IO.write_tables({"departments": count("true_department"), "priorities": count("true_priority"), "issues": count("true_core_issue")},
+                            _new_table(spark, "named"))
+    parts = [spark.read.parquet(p).select(F.lit(name).alias("table_name"), "label", "n") for name, p in paths.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ---------------------------------------------------------------------------
 # Streaming extension
 # ---------------------------------------------------------------------------
