@@ -735,7 +735,25 @@ def response_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("m.supporting_evidence", " | ").alias("supporting_evidence"))
 
 
-@register("prompt_rows", "F24")
+def _prompt_sql() -> str:
+    fields = ("core_issue := g_issue, detected_entities := g_entities, department := g_department, priority := g_priority, "
+              "actionable_task := g_task, confidence_score := CAST(g_milli AS DOUBLE) / 1000.0, reasoning := g_reasoning, "
+              f"analysis_mode := '{LX.MODE_RETRIEVAL}', supporting_evidence := g_evidence, retrieved_examples := examples")
+    return _retrieval_sql_prefix().rstrip() + f""",
+ex AS (SELECT nb.qid, list(struct_pack(complaint_id := CAST(d.complaint_id AS VARCHAR), complaint_text := coalesce(d.complaint_text, ''),
+              department := nb.department, priority := nb.priority, core_issue := nb.core_issue,
+              similarity := CAST(nb.milli AS DOUBLE) / 1000.0) ORDER BY nb.rank) AS examples
+       FROM rag_nb nb JOIN c d ON d.complaint_id = nb.did GROUP BY nb.qid),
+p AS (SELECT rag.*, coalesce(ex.examples, []) AS examples, coalesce(qr.complaint_text, '') AS said
+      FROM rag JOIN qr USING (complaint_id) LEFT JOIN ex ON ex.qid = rag.complaint_id)
+SELECT complaint_id, {O.q(RS.system_prompt())} AS system_prompt,
+       'Complaint:' || chr(10) || said || chr(10) || chr(10) || 'Retrieval-informed baseline:' || chr(10)
+       || CAST(to_json(struct_pack({fields})) AS VARCHAR) || chr(10) || chr(10) || 'Similar complaints:' || chr(10)
+       || CAST(to_json(examples) AS VARCHAR) || chr(10) || chr(10) || 'Return JSON only.' AS prompt
+FROM p"""
+
+
+@register("prompt_rows", "F24 P14", _prompt_sql)
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, train = _test_train(spark, sf_dir)
     c = _retrieval_triage(test.select("complaint_id", "complaint_text"), train, 5, neigh=neighbours(spark, sf_dir))
