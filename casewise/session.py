@@ -112,3 +112,19 @@ def materialize(df, name: str = "stage"):
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df) -> None:
+    """Remove the table behind a frame that ``materialize`` returned, once nothing reads it any more.
+
+    Iterations write a table in every step; the ones before the last would fill the shared folder.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/tables/"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        root = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(base)).toString().rstrip("/") + "/"
+        if fs.makeQualified(path).toString().startswith(root):
+            fs.delete(path, True)
