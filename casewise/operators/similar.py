@@ -213,12 +213,12 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, *, q_id: st
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, *, d_block: int = 8192, **args) -> DataFrame:
-    """Exact top-k: one block pair as it is, a larger corpus by tiles and bounds (the rows are the same)."""
+def search(queries: DataFrame, corpus: DataFrame, k: int, *, full_up_to: int = 1 << 18, **args) -> DataFrame:
+    """Exact top-k: all block pairs up to ``full_up_to`` vectors, a larger corpus by tiles and bounds (the rows are the same)."""
     from .pruned import pruned_top_k
-    if corpus.count() <= d_block:
-        return top_k_similar(queries, corpus, k, d_block=d_block, **args)
-    return pruned_top_k(queries, corpus, k, d_block=d_block, **args)
+    if corpus.count() <= full_up_to:
+        return top_k_similar(queries, corpus, k, **args)
+    return pruned_top_k(queries, corpus, k, **args)
 
 
 def distinct_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, *, exclude_self: bool = False,
