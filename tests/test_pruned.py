@@ -72,3 +72,29 @@ def test_small_and_empty(spark):
     assert [(r["qid"], r["did"]) for r in pruned_top_k(q, one, 3, width=5).collect()] == [(9, 1)]
     assert pruned_top_k(q, one.where("did = 2"), 3, width=5).collect() == []
     assert pruned_top_k(q.limit(0), one, 3, width=5).collect() == []
+
+
+def test_few_queries_of_a_large_corpus_take_the_full_search(spark, monkeypatch):
+    """The number of pairs decides: 5 queries of 60 vectors are fewer pairs than 20 vectors have among themselves."""
+    from casewise.operators import pruned
+
+    def never(*args, **kw):
+        raise AssertionError("pruned")
+
+    rows = sparse_rows(np.random.default_rng(5), 60)
+    corpus = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "did long, v array<int>")
+    queries = corpus.where("did < 5").withColumnRenamed("did", "qid")
+    want = rows_of(S.top_k_similar(queries, corpus, 4, width=40))
+    monkeypatch.setattr(pruned, "pruned_top_k", never)
+    assert rows_of(S.search(queries, corpus, 4, full_up_to=20, width=40)) == want
+
+
+def test_routed_queries_leave_in_small_batches(spark, monkeypatch):
+    """A batch of routed queries holds few vector entries however many tiles a query goes to; the rows are the same."""
+    from casewise.operators import pruned
+    rows = sparse_rows(np.random.default_rng(6), 300)
+    corpus = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "did long, v array<int>")
+    queries = corpus.where("did % 3 = 0").withColumnRenamed("did", "qid")
+    want = rows_of(S.top_k_similar(queries, corpus, 4, width=40))
+    monkeypatch.setattr(pruned, "MOST_ENTRIES", 64)
+    assert rows_of(pruned_top_k(queries, corpus, 4, width=40)) == want
