@@ -1,6 +1,7 @@
 """Pruned exact search against the full search and numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from casewise.operators import similar as S
@@ -124,3 +125,57 @@ def test_blocks_score_few_pairs_twice(monkeypatch, exclude_self):
         want |= {(ids[i], d, -s) for s, d in best}
     assert {(r.qid, r.did, r.score) for r in got.itertuples()} == want
     assert sum(scored) < 0.05 * 1500 * 1500
+
+
+def _counts(spark, n, seed, key):
+    """Sparse vectors of a few kinds with ties, copies, empty and null lists."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        v = [int(x) for x in np.r_[np.arange(6), 10 * (i % 9) + rng.integers(0, 8, 6), rng.integers(100, 104, 2)]]
+        rows.append((i * 7 % n, None if i % 61 == 0 else [] if i % 53 == 0 else v))
+    return spark.createDataFrame(rows, f"{key} long, v array<int>")
+
+
+def test_tiles_of_count_vectors_give_the_rows_of_the_full_search(spark):
+    from casewise.operators import pruned, similar
+    q, d = _counts(spark, 400, 1, "qid"), _counts(spark, 900, 2, "did")
+    for args in ({"k": 5}, {"k": 3, "exclude_self": True}):
+        full = sorted(map(tuple, similar.top_k_similar(q, d, width=128, **args).collect()))
+        tiled = sorted(map(tuple, pruned.tiled_top_k(q, d, width=128, q_block=64, d_block=100, centres=30, **args).collect()))
+        assert tiled == full and full
+
+
+def test_tiles_of_count_vectors_with_few_or_no_entries(spark):
+    from casewise.operators import pruned, similar
+    q = spark.createDataFrame([(1, [1, 2]), (2, [5]), (3, []), (4, [1, 1])], "qid long, v array<int>")
+    for rows in ([(9, [1]), (8, [2, 1]), (7, [])], [(9, [])], []):
+        d = spark.createDataFrame(rows, "did long, v array<int>")
+        assert sorted(map(tuple, pruned.tiled_top_k(q, d, 5, width=16).collect())) == sorted(
+            map(tuple, similar.top_k_similar(q, d, 5, width=16).collect()))
+
+
+def test_tiles_multiply_fewer_pairs(spark):
+    """A block of queries that knows its k-th scores leaves out the tiles that cannot reach them."""
+    from casewise.operators import pruned
+    centres = np.zeros((2, 16))
+    centres[0, :2], centres[1, 8:10] = 0.5 ** 0.5, 0.5 ** 0.5
+    seen = []
+    plain, pruned._exact_sparse = pruned._exact_sparse, lambda qm, dm, a, b, rows, cols: seen.append(len(rows)) or plain(qm, dm, a, b, rows, cols)
+    try:
+        run = pruned._tiles_block_fn(centres, 1, 16, False)
+        d = pd.DataFrame({"did": [1, 2, 3, 4], "v": [[0, 1], [0, 0, 1], [8, 9], [8, 8, 9]], "tile": [0, 0, 1, 1]})
+        got = run(pd.DataFrame({"qid": [5], "v": [[0, 1]], "reached": [1.0]}), d)
+    finally:
+        pruned._exact_sparse = plain
+    assert got[["qid", "did"]].values.tolist() == [[5, 1]] and sum(seen) == 1
+
+
+def test_large_sparse_searches_take_the_tiles(spark, monkeypatch):
+    from casewise.operators import pruned, similar
+    called = []
+    monkeypatch.setattr(pruned, "tiled_top_k", lambda q, d, k, **a: called.append(a) or similar.top_k_similar(q, d, k, **a))
+    q, d = _counts(spark, 50, 1, "qid"), _counts(spark, 60, 2, "did")
+    similar.search(q, d, 3, width=128, tiled_from=1000)
+    similar.search(q, d, 3, width=128)
+    assert called == [{"width": 128}]
