@@ -5,10 +5,10 @@ place of every run of other characters and a space around everything, so a
 phrase stands in a text between word borders exactly if ``" phrase "`` is a
 substring of ``word_text``.
 
-Matching takes one pass over the words: ``present`` is their intersection (by hash)
-with the vocabulary, one word of every phrase.  A text holds few of them, so a
-term is a look into a short array, and only phrases of several words whose
-rarest word is there are searched for.  No term is a regex any more.
+Matching takes one pass over the words: ``present`` are those (found by hash) in
+the vocabulary, one word of every phrase.  A text holds few of them, so only the
+phrases of these words are looked at, and only those of several words are searched
+for.  No term is a regex any more.
 """
 
 from __future__ import annotations
@@ -80,8 +80,8 @@ def anchors(phrases: list[str]) -> dict[str, str]:
 
 
 def present(words: Column, vocabulary: list[str]) -> Column:
-    """The words of ``word_text`` that are in the vocabulary."""
-    return F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), F.split(words, " "))
+    """The words of ``word_text`` that are in the vocabulary, as often as the text has them."""
+    return F.filter(F.split(words, " "), lambda x: x.isin(vocabulary))
 
 
 def word_text(normalized: Column) -> Column:

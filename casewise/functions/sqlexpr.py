@@ -37,11 +37,15 @@ def any_contains(col: str, words: list[str]) -> str:
 
 
 def count_contains(col: str, words: list[str]) -> str:
-    """How many of ``words`` occur as substrings (one loop over a literal array, so the compiled code stays small)."""
-    return bound(col, "b", f"size(filter({strings(words)}, x -> contains(b, x)))")
+    """How many of ``words`` occur as substrings (compiled tests: a loop over a literal array would be interpreted)."""
+    return "(" + " + ".join(f"CASE WHEN contains({col}, {lit(w)}) THEN 1 ELSE 0 END" for w in words) + ")" if words else "0"
 
 
 def entities(col: str, vocab) -> str:
     """Entity labels whose vocabulary hits ``col`` as a substring, label order kept."""
-    rows = ", ".join(f"named_struct('l', {lit(label)}, 'w', {strings(words)})" for label, words in vocab)
-    return bound(col, "b", f"transform(filter(array({rows}), e -> exists(e.w, x -> contains(b, x))), e -> e.l)")
+    def needed(words):
+        # A word that holds another word of its label adds no hit.
+        return [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]
+
+    rows = ", ".join(f"CASE WHEN {any_contains(col, needed(words))} THEN {lit(label)} END" for label, words in vocab)
+    return f"array_compact(array({rows}))"

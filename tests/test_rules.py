@@ -71,3 +71,15 @@ def test_custom_terms_in_any_order(spark):
     assert back.core_issue == want.core_issue and set(back.supporting_evidence) <= set(x.evidence for x in L.rule_terms())
     some = [t for t in L.rule_terms() if t.issue_ord >= 3]
     rule_triage(df, terms=some).collect()
+
+
+def test_substring_tests_are_compiled_and_words_looked_up_by_hash(spark):
+    df = rule_triage(spark.createDataFrame([(1, "x")], "id long, complaint_text string")).select("analysis.*")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and "array_intersect" not in plan
+
+
+def test_phrases_need_their_words_in_order_and_none_between(spark):
+    texts = ["double charged", "double, charged", "charged double", "double duplicate charge", "a double charge twice: charged twice"]
+    rows = rule_triage(spark.createDataFrame(list(enumerate(texts)), "id long, complaint_text string")).orderBy("id").collect()
+    assert [len([e for e in r["analysis"]["supporting_evidence"] if "Matched" in e]) for r in rows] == [2, 0, 0, 1, 2]
