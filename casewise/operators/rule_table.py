@@ -22,20 +22,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import normalize_text
+from ..functions.phrases import MARK
+from ..functions.text import bind, normalize_text
 
 NOT_TERM = r"[^\p{L}\p{N}_ ]"
 
 
 def phrases(text: Column, lengths: list[int]) -> Column:
     """Distinct sequences of ``lengths`` words of a normalized text; other characters than one space part words."""
-    runs = F.transform(F.split(text, NOT_TERM + "+"), lambda r: F.filter(F.split(r, " "), lambda w: w != ""))
+    marked = F.regexp_replace(text, NOT_TERM + "+", f" {MARK} ")
 
-    def of(n: int) -> Column:
-        return F.flatten(F.transform(F.filter(runs, lambda r: F.size(r) >= n), lambda r: F.transform(
-            F.sequence(F.lit(1), F.size(r) - (n - 1)), lambda i: F.array_join(F.slice(r, i, n), " "))))
+    def of(w: Column, n: int) -> Column:
+        if n == 1:
+            return w
+        if n <= 3:
+            return F.zip_with(F.slice(of(w, n - 1), F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))),
+                              F.slice(w, F.lit(n), F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(
+            F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(reduce(F.concat, [of(n) for n in lengths]))
+    all_of = bind(F.filter(F.split(marked, " "), lambda w: w != ""), lambda w: reduce(F.concat, [of(w, n) for n in lengths]))
+    return F.array_distinct(F.filter(all_of, lambda x: ~x.contains(MARK)))
 
 
 def triage_by_table(df: DataFrame, rules: DataFrame, id_col: str, text_col: str, small_bytes: int = 8 << 20) -> DataFrame:
@@ -55,7 +62,8 @@ def triage_by_table(df: DataFrame, rules: DataFrame, id_col: str, text_col: str,
         said = texts.select("_id", F.explode(phrases(normalize_text(F.col("_text")), sorted(seen["lengths"]))).alias("_phrase"))
         hits = said.join(F.broadcast(table) if seen["bytes"] <= small_bytes else table, "_phrase")
         blank = blank.unionByName(hits)
-    issues = blank.groupBy("_id", "_issue").agg(
+    # Laid by id once: both groupings keep that layout.
+    issues = blank.repartition("_id").groupBy("_id", "_issue").agg(
         F.sum("_milli").alias("_score"), F.count("_phrase").alias("_n"), F.sort_array(F.collect_list("_phrase")).alias("_terms"))
     best = issues.groupBy("_id").agg(
         F.min(F.struct((-F.col("_score")).alias("less"), "_issue", "_terms")).alias("_best"), F.sum("_n").alias("n_matches"))

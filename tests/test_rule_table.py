@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from casewise.functions import lexicon as L
-from casewise.operators.rule_table import triage_by_table
+from casewise.operators.rule_table import phrases, triage_by_table
 from casewise.plans.catalog import load_all
 
 RULES = "issue string, term string, weight double"
@@ -57,3 +58,20 @@ def test_excluded_model_and_document_neighbours_are_registered(spark):
     assert {"rule_triage_custom", "evaluation_without_ml", "similar_documents", "cluster_documents"} <= set(specs)
     near = specs["similar_documents"].build(spark, "/root/testdata/sf0.001").collect()
     assert near and all(r["doc_id"] % 100 == 0 and r["doc_id"] != r["neighbour_id"] for r in near)
+
+
+def test_hits_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, "a b, c")], "id long, t string")
+    rules = spark.createDataFrame([("A", "a b", 1.0)], "issue string, term string, weight double")
+    plan = triage_by_table(df, rules, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_phrases_of_all_lengths(spark):
+    texts = ["a b c d e", "a b, c d e", "a", "", "a,b", "x  y \x01 z", "a a a a"]
+    lengths = [1, 2, 3, 4, 5]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", phrases(F.col("t"), lengths).alias("p"))
+    for r in df.collect():
+        runs = [[w for w in run.split(" ") if w] for run in re.split(r"[^\w ]+", r["t"])]
+        want = {" ".join(run[i:i + n]) for run in runs for n in lengths for i in range(len(run) - n + 1)}
+        assert sorted(r["p"]) == sorted(want)
